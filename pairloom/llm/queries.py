@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import sentencepiece_codec
+from pairloom.llm import language_id, quality_divergence, sentencepiece_codec
 from pairloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_held_out(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_divergence.assess(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op3_language_id": op3_language_id,
+    "op5_quality_divergence": op5_quality_divergence,
     "op6_sentencepiece": op6_sentencepiece,
 }
 
