@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import language_id, line_dedup, quality_divergence, sentencepiece_codec, toxicity
+from pairloom.llm import language_id, line_dedup, quality_divergence, sentencepiece_codec, toxicity, warc
 from pairloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_held_out(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_warc": op2_warc,
     "op3_language_id": op3_language_id,
     "op5_quality_divergence": op5_quality_divergence,
     "op6_sentencepiece": op6_sentencepiece,
@@ -41,5 +46,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
