@@ -36,6 +36,7 @@ from pairloom.llm.common import fields, map_batches
 PER_CLASS = 6000
 FEATURES = 2000
 LONG = 6
+CACHE = 100_000  # words whose features a task remembers
 LEAST_DOCS, LEAST_ODDS = 4, 6.0
 VOTERS_PER_KIND = 6
 THRESHOLD = 0.7
@@ -83,8 +84,8 @@ def mine_features(sample: DataFrame, n_toxic: int, n_clean: int, most: int = FEA
     """Features by their log odds times the root of their support, strongest first."""
 
     def run(batch: pa.RecordBatch):
-        for start in range(0, batch.num_rows, 500):
-            part, counts = batch.slice(start, 500), {}
+        for start in range(0, batch.num_rows, 200):
+            part, counts = batch.slice(start, 200), {}
             for text, toxic in zip(part.column("text"), part.column("toxic"), strict=True):
                 t = toxic.as_py()
                 for f in document_features(text.as_py()):
@@ -183,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[dict[str
     """(weight of each feature, intercept), or None without labels of both classes."""
     from pairloom.session import settle
 
-    sample = settle(training_sample(docs, labels, allowed), "toxic-sample")
+    # the limits leave one partition; the sample's mining is worth more tasks
+    sample = settle(training_sample(docs, labels, allowed).repartition(12, F.xxhash64("text")), "toxic-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
@@ -199,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[dict[str
 def score(docs: DataFrame, model: tuple[dict[str, float], float] | None, keep: tuple[str, ...]) -> DataFrame:
     """The kept columns and ``score``; every document, whole texts, no shuffle."""
     weights, intercept = model or ({}, 0.0)
-    known: dict[str, list[str]] = {}
+    known: dict[str, tuple[str, ...]] = {}
 
     def one(text: str | None) -> float:
         if model is None:
@@ -208,9 +210,9 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float] | None, keep: t
         for word in set((text or "").lower().split()):
             found = known.get(word)
             if found is None:
-                if len(known) > 500_000:
+                if len(known) > CACHE:
                     known.clear()
-                found = known[word] = [f for f in word_features(word.strip(EDGES)) if f in weights]
+                found = known[word] = tuple(f for f in word_features(word.strip(EDGES)) if f in weights)
             hits.update(found)
         return float(1 / (1 + np.exp(-np.clip(intercept + sum(weights[h] for h in sorted(hits)), -30, 30))))
 
