@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import decontamination, language_id, line_dedup, quality_divergence, sentencepiece_codec, toxicity, warc
+from pairloom.llm import decontamination, language_id, line_dedup, near_duplicates, quality_divergence, sentencepiece_codec, toxicity, warc
 from pairloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_divergence": op5_quality_divergence,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_toxicity": op8_toxicity,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_line_dedup": op10_line_dedup,
 }
 
