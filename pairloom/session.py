@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -74,6 +75,20 @@ def settle(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete settled tables that no later step reads, and let Spark drop the shuffle files of plans
+    that are out of use."""
+    for path in paths:
+        drop_path(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def settled_path(df: DataFrame) -> str:
+    """The folder of a table that :func:`settle` returned."""
+    return df.inputFiles()[0].rpartition("/")[0]
+
+
 def worker_path(spark: SparkSession) -> None:
     """Let Python workers started by this session import this package from its folder."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
