@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import decontamination, language_id, line_dedup, near_duplicates, quality_divergence, sentencepiece_codec, toxicity, warc
+from pairloom.llm import decontamination, language_id, line_dedup, near_duplicates, quality_divergence, sentencepiece_codec, substring_dedup, toxicity, warc
 from pairloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_divergence.assess(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
     "op3_language_id": op3_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_quality_divergence": op5_quality_divergence,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_toxicity": op8_toxicity,
