@@ -37,3 +37,23 @@ def row_key(*columns: str) -> tuple[Column, Column]:
 def fields(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: what else a table carries cannot clash with working columns."""
     return df.select(*[F.col(n) for n in names])
+
+
+def packed(df: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns, ``size`` and ``blob``: texts compressed for a shuffle (null stays null)."""
+    kept = df.select(*keep, "text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
+        blobs = [None if r is None else pa.compress(r, "zstd", asbytes=True) for r in raw]
+        sizes = [None if r is None else len(r) for r in raw]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], [*keep, "size", "blob"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)
+    return map_batches(kept, run, f"{types}, size bigint, blob binary")
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The UTF-8 texts of a batch with ``size`` and ``blob``, one at a time; null as empty."""
+    for size, blob in zip(batch.column("size"), batch.column("blob"), strict=True):
+        yield pa.decompress(blob.as_buffer(), size.as_py(), "zstd", asbytes=True) if blob.is_valid and size.as_py() else b""

@@ -37,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import map_batches, row_key
+from pairloom.llm.common import map_batches, packed, row_key, unpacked
 from pairloom.llm.components import components
 from pairloom.llm.shingles import shingle_sets
-from pairloom.session import settle, worker_path
+from pairloom.session import release, settle, worker_path
 
 K = 48
 SHARE = 0.62
@@ -131,6 +131,7 @@ def canopies(classes: DataFrame) -> DataFrame:
     """(p, c): memberships, such that any two similar classes share a p. p itself is a member."""
     sketches = classes.select("c", "sketch")
     lists = settle(inverted_lists(classes), "nd-lists")
+    release(classes.sparkSession)
     found = None
     for _ in range(ROUNDS):
         pivots = lists.groupBy("x").agg(F.max(F.struct("pop", "c")).alias("top"), F.count("*").alias("m")).where("m > 1")
@@ -153,15 +154,16 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame, siz
     """(a, b): a spanning forest, for every two blocks of a canopy, of the pairs of classes whose full
     sets have at least ``percent`` hundredths of their union in common."""
     worker_path(docs.sparkSession)
-    members = members.join(classes.select("c", "n", "k1", "k2"), "c")
+    members = settle(members.join(classes.select("c", "n", "k1", "k2"), "c"), "nd-keyed")
     totals = members.groupBy("p").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    needed = settle(members.join(totals, "p"), "nd-members")
+    needed = settle(members.join(settle(totals, "nd-totals"), "p"), "nd-members")
+    release(docs.sparkSession)
     keys = needed.select("k1", "k2", "c").distinct()
     k1, k2 = row_key("doc_id", "text")
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), "text").join(keys, ["k1", "k2"]).select("c", "text")
+    texts = packed(docs.select(k1.alias("k1"), k2.alias("k2"), "text"), "k1", "k2").join(keys, ["k1", "k2"]).select("c", "size", "blob")
 
     def run_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column("c"), pa.array(list(shingle_sets(batch.column("text").to_pylist(), size)), pa.list_(pa.int64()))], ["c", "items"])
+        return pa.RecordBatch.from_arrays([batch.column("c"), pa.array(list(shingle_sets(unpacked(batch), size)), pa.list_(pa.int64()))], ["c", "items"])
 
     sets = map_batches(texts, run_sets, "c struct<c1:bigint,c2:bigint>, items array<bigint>").dropDuplicates(["c"])
     own = F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")
@@ -231,7 +233,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # rows of one class meet as partial minima
     classes = rows.where("n > 0").groupBy("c").agg(least).select("c", "rep.low", "rep.k1", "rep.k2", "rep.sketch", "rep.n")
     classes = settle(classes, "nd-classes")
+    release(docs.sparkSession)
     links = settle(confirmed_links(docs, classes, canopies(classes), size, percent), "nd-links")
+    release(docs.sparkSession)
     name = classes.select("c", F.struct(F.col("low"), F.col("c")).alias("node"))
     edges = links.join(name.select(F.col("c").alias("a"), F.col("node").alias("na")), "a").join(name.select(F.col("c").alias("b"), F.col("node").alias("nb")), "b")
     roots = components(edges.select(F.col("na").alias("a"), F.col("nb").alias("b")))

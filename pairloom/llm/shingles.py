@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -60,13 +60,13 @@ def _distinct(h: np.ndarray) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
 
 
-def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | bytes | None], size: int) -> Iterator[np.ndarray]:
     """For each text, in order, its distinct shingles as a sorted array of longs. A-Z are
     lower-cased. A text of fewer words is one shingle, one without words has none."""
     group: list[bytes] = []
     total = 0
     for text in texts:
-        group.append((text or "").encode("utf-8", "surrogatepass").lower())
+        group.append((text if isinstance(text, bytes) else (text or "").encode()).lower())
         total += len(group[-1]) + 1
         if total >= CHUNK:
             yield from _group_sets(group, size)
