@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import suffix_arrays as sa
 from pairloom.llm.anchors import WIDTH, leftmost_minima, window_hashes
-from pairloom.llm.common import map_batches, row_key
+from pairloom.llm.common import map_batches, packed, row_key, unpacked
 from pairloom.llm.shingles import B, B_INVERSE, _power, mix
 from pairloom.session import release, settle, settled_path, worker_path
 
@@ -86,11 +86,10 @@ def contexts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """(a, ctx, left, data, ns) for wanted places (k1, k2, p, a, ctx, ns); left tells how many bytes of
     the context lie before the anchor."""
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "a", "ctx", "ns")).alias("want"))
-    found = keyed.join(lists, ["k1", "k2"]).select("text", "want")
+    found = packed(keyed, "k1", "k2").join(lists, ["k1", "k2"]).select("size", "blob", "want")
 
     def run(batch: pa.RecordBatch):
-        for text, want in zip(batch.column("text"), batch.column("want"), strict=True):
-            data = text.as_py().encode()
+        for data, want in zip(unpacked(batch), batch.column("want"), strict=True):
             fields = pa.RecordBatch.from_struct_array(want.values)
             places = fields.column("p").to_pylist()
             cut = [data[max(0, p - REACH) : p + LENGTH] for p in places]
@@ -251,13 +250,13 @@ def digest(docs: DataFrame) -> DataFrame:
 def _apply(docs: DataFrame, hashed: bool) -> DataFrame:
     k1, k2 = row_key("doc_id", "text")
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", k1.alias("k1"), k2.alias("k2"))
-    joined = slim.join(repeated_runs(docs.select("doc_id", "text")), ["k1", "k2"], "left").select("doc_id", "text", "whole", "parts")
+    runs = repeated_runs(docs.select("doc_id", "text"))
+    joined = packed(slim, "doc_id", "k1", "k2").join(runs, ["k1", "k2"], "left").select("doc_id", "size", "blob", "whole", "parts")
     last, kind = ("kept_sha256", pa.string()) if hashed else ("kept_bytes", pa.binary())
 
     def run(batch: pa.RecordBatch):
         rows = []
-        for text, whole, parts in zip(*[batch.column(c) for c in ("text", "whole", "parts")], strict=True):
-            data = (text.as_py() or "").encode()
+        for data, whole, parts in zip(unpacked(batch), batch.column("whole"), batch.column("parts"), strict=True):
             start, end = merged_runs(len(data), whole.as_py(), parts.as_py())
             kept = b"".join(data[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(data)], strict=True))
             rows.append((len(data), len(data) - len(kept), len(start), hashlib.sha256(kept).hexdigest() if hashed else kept))
