@@ -68,9 +68,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_cla
     usable = fields(docs, "doc_id", "text").where("text is not null")
     kept = usable.join(F.broadcast(picked), "doc_id")
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) >= LONG)
+
+    def least_word(seed: int) -> Column:
+        return F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(seed)))), F.xxhash64("text"))
+
     for seed in (11, 12):  # at most 4 * per_class rows are left here
-        least = F.coalesce(F.array_min(F.transform(words, lambda w, s=seed: F.xxhash64(w, F.lit(s)))), F.xxhash64("text"))
-        hashed = kept.withColumn("least", least)
+        hashed = kept.withColumn("least", least_word(seed))
         first = hashed.groupBy("least").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(7)).alias("h"), "doc_id")).alias("first"))
         kept = hashed.drop("least").join(F.broadcast(first.select(F.col("first.doc_id").alias("doc_id")).distinct()), "doc_id")
     out = None
