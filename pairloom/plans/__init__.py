@@ -1 +1,12 @@
+"""Named queries over the driver tables."""
 
+import importlib
+
+MODULES = ["text_queries", "vector_queries"]
+
+
+def load():
+    """The registry, with every module of queries imported."""
+    for name in MODULES:
+        importlib.import_module(f"pairloom.plans.{name}")
+    return importlib.import_module("pairloom.plans.registry")
