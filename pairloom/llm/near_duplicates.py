@@ -44,9 +44,9 @@ from pairloom.session import release, settle, worker_path
 
 K = 48
 SHARE = 0.62
-NEAR, FAR = 0.62, 0.28  # estimated similarities: near the pivot; not far from it
+NEAR, FAR = 0.72, 0.38  # estimated similarities: near the pivot; not far from it
 ROUNDS = 3
-BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 21
+BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 19
 PAIR_BLOCK = 512
 
 
@@ -62,7 +62,7 @@ def sketched(docs: DataFrame, size: int, k: int = K) -> DataFrame:
             n.append(len(s))
             c1.append(int(a))
             c2.append(int(b))
-            sketches.append(s[:k])
+            sketches.append(s[:k].copy())  # not a view that keeps the whole set
         return pa.RecordBatch.from_arrays(
             [*[batch.column(x) for x in ("k1", "k2", "doc_id")], pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
             ["k1", "k2", "doc_id", "n", "c1", "c2", "sketch"],
@@ -75,9 +75,11 @@ def sketched(docs: DataFrame, size: int, k: int = K) -> DataFrame:
 def inverted_lists(classes: DataFrame) -> DataFrame:
     """(x, c, pop): the rarest retained values of each class that others retain too; pop tells how
     widely the class's values are shared."""
-    entries = classes.select("c", F.size("sketch").alias("q"), F.explode("sketch").alias("x"))
+    # narrow rows: the join that follows moves one for each value of each sketch
+    entries = classes.select("c.c1", "c.c2", F.explode("sketch").alias("x"))
     shared = settle(entries.groupBy("x").agg(F.count("*").alias("df")).where("df > 1"), "nd-shared")
-    held = entries.join(shared, "x").groupBy("c").agg(F.first("q").alias("q"), F.array_sort(F.collect_list(F.struct("df", "x"))).alias("held"))
+    held = entries.join(shared, "x").groupBy("c1", "c2").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("held"))
+    held = held.select(F.struct("c1", "c2").alias("c"), "held").join(classes.select("c", F.size("sketch").alias("q")), "c")
     # values of this class alone are the rarest; they fill the first places
     places = F.col("q") - F.ceil(F.col("q") * SHARE) + 1 - (F.col("q") - F.size("held"))
     listed = held.where(places > 0).select("c", F.aggregate("held", F.lit(0.0), lambda a, h: a + F.log2(h["df"])).alias("pop"), F.explode(F.slice("held", 1, places.cast("int"))).alias("h"))
