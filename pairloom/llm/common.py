@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.session import worker_path
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``fn`` over Arrow batches, without a shuffle. Spark bounds a batch by rows and by bytes
-    (``spark.sql.execution.arrow.maxBytesPerBatch``), so memory does not grow with a partition."""
+    """``fn`` over Arrow batches, without a shuffle. Batches are bounded by rows and bytes
+    (:func:`small_batches`), so memory does not grow with a partition."""
     worker_path(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # workers live long: freed batches go back
         for batch in batches:
             made = fn(batch)
             if isinstance(made, pa.RecordBatch):
@@ -27,6 +30,16 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | I
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most a thousand rows and 16 MB in an Arrow batch, unless the session asks for less: several
+    workers share an executor's memory, and every batch is there as Python objects, too."""
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        have = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < have <= most:
+            spark.conf.set(key, str(most))
+
+
 def row_key(*columns: str) -> tuple[Column, Column]:
     """A 128-bit key of a row's content as two longs. Twins (rows equal in these columns) share
     it and so share every result; rows that only share an id do not."""
@@ -44,8 +57,9 @@ def packed(df: DataFrame, *keep: str) -> DataFrame:
     kept = df.select(*keep, "text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec = pa.Codec("zstd", compression_level=6)
         raw = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
-        blobs = [None if r is None else pa.compress(r, "zstd", asbytes=True) for r in raw]
+        blobs = [None if r is None else codec.compress(r, asbytes=True) for r in raw]
         sizes = [None if r is None else len(r) for r in raw]
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], [*keep, "size", "blob"])
 
