@@ -208,7 +208,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     met = settle(every.join(often, "a"), "sa-met")
     release(spark, settled_path(every))
     same = settle(met.groupBy("a", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "p")).alias("rep")), "sa-same")
-    several = same.groupBy("a").agg(F.count("*").alias("g")).where("g > 1")
+    several = settle(same.groupBy("a").agg(F.count("*").alias("g")).where("g > 1"), "sa-several")
     mixed = settle(same.join(several, "a").select("rep.*", "a", "ctx", "n", F.ceil(F.col("g") / SPLIT_CONTEXTS).cast("int").alias("ns")), "sa-mixed")
     release(spark)
     total = mixed.count()
