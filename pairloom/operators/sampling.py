@@ -53,7 +53,7 @@ def group_split(df: DataFrame, group: str, test: float, seed: int = 42) -> DataF
 def split_issue(df: DataFrame, label: str) -> DataFrame:
     """SMP8: one row: what is wrong with a split, or NULL."""
     sides = df.groupBy(label).agg(F.count_if("is_test").alias("te"), F.count_if(~F.col("is_test")).alias("tr"))
-    total = sides.agg(F.sum("te").alias("te"), F.sum("tr").alias("tr"), F.count_if("tr > 0").alias("classes"), F.count_if("te > 0 and tr = 0").alias("lost"))
+    total = sides.agg(F.sum("te").alias("te"), F.sum("tr").alias("tr"), F.count_if(F.col("tr") > 0).alias("classes"), F.count_if((F.col("te") > 0) & (F.col("tr") == 0)).alias("lost"))
     return total.select(F.when(F.coalesce("te", F.lit(0)) * F.coalesce("tr", F.lit(0)) == 0, "empty_split").when(F.col("classes") < 2, "single_class_train").when(F.col("lost") > 0, "train_missing_class").alias("issue"))
 
 
