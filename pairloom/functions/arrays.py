@@ -87,19 +87,19 @@ def prompt(question: Column, options: Column) -> Column:
 
 @F.pandas_udf(T.IntegerType())
 def stem_offset(tokens: pd.Series, stem: pd.Series) -> pd.Series:
-    """ARR6: where the stem's tokens occur in the prompt's; up to four leading tokens of the stem may
-    be left off; -1 if nowhere."""
+    """ARR6: where the stem's tokens occur in the prompt's, or would begin if up to four of its leading
+    tokens, which may be merged differently there, are left off; NULL if nowhere."""
 
     def one(have, want):
-        have, want = list(have or []), list(want or [])
+        have, want = ([] if x is None else list(x) for x in (have, want))
         for trim in range(min(5, len(want))):
             part = want[trim:]
             for i in range(len(have) - len(part) + 1):
                 if have[i : i + len(part)] == part:
-                    return i - trim if i >= trim else i
-        return -1
+                    return i - trim
+        return None
 
-    return pd.Series([one(a, b) for a, b in zip(tokens, stem, strict=True)], dtype="int32")
+    return pd.Series([one(a, b) for a, b in zip(tokens, stem, strict=True)], dtype="Int32")
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))

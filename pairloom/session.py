@@ -72,7 +72,9 @@ def settle(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._settled_path = path
+    return back
 
 
 def release(spark: SparkSession, *paths: str) -> None:
@@ -86,7 +88,7 @@ def release(spark: SparkSession, *paths: str) -> None:
 
 def settled_path(df: DataFrame) -> str:
     """The folder of a table that :func:`settle` returned."""
-    return df.inputFiles()[0].rpartition("/")[0]
+    return df._settled_path
 
 
 def worker_path(spark: SparkSession) -> None:

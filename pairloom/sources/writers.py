@@ -97,13 +97,13 @@ class Versions:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _pointer(self) -> list[str]:
-        said = read_text(self.spark, f"{self.root}/_current")
+        said = read_text(self.spark, f"{self.root}/CURRENT")
         return json.loads(said) if said else []
 
     def write(self, df: DataFrame) -> str:
         name = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}")
-        write_text(self.spark, f"{self.root}/_current", json.dumps([name, *self._pointer()[:1]]))
+        write_text(self.spark, f"{self.root}/CURRENT", json.dumps([name, *self._pointer()[:1]]))
         return name
 
     def read(self) -> DataFrame | None:
