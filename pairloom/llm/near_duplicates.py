@@ -48,6 +48,7 @@ NEAR, FAR = 0.72, 0.38  # estimated similarities: near the pivot; not far from i
 ROUNDS = 3
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 19
 PAIR_BLOCK = 512
+BIT_ROWS = 4096
 
 
 def sketched(docs: DataFrame, size: int, k: int = K) -> DataFrame:
@@ -152,6 +153,18 @@ def canopies(classes: DataFrame) -> DataFrame:
     return found.union(found.select("p", F.col("p").alias("c")).distinct())
 
 
+def perhaps_among(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (k1, k2, ...) that may be among ``keys``: all that are, few others while the
+    keys are fewer than the bits. A bitmap of ``BIT_ROWS`` times 32,768 bits, at most 16 MB however many
+    keys there are, spares most texts the shuffle of the join that follows."""
+    place = F.pmod("k1", F.lit(BIT_ROWS)).cast("int")
+    bit = F.pmod("k2", F.lit(32768)).cast("int")
+    bits = keys.groupBy(place.alias("place")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), bit % 8 + 1)) > 0
+    return docs.join(F.broadcast(bits), (place == F.col("place")) & is_set, "left_semi")
+
+
 def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): a spanning forest, for every two blocks of a canopy, of the pairs of classes whose full
     sets have at least ``percent`` hundredths of their union in common."""
@@ -162,7 +175,8 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame, siz
     release(docs.sparkSession)
     keys = needed.select("k1", "k2", "c").distinct()
     k1, k2 = row_key("doc_id", "text")
-    texts = packed(docs.select(k1.alias("k1"), k2.alias("k2"), "text"), "k1", "k2").join(keys, ["k1", "k2"]).select("c", "size", "blob")
+    near = perhaps_among(docs.select(k1.alias("k1"), k2.alias("k2"), "text"), keys)
+    texts = packed(near, "k1", "k2").join(keys, ["k1", "k2"]).select("c", "size", "blob")
 
     def run_sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("c"), pa.array(list(shingle_sets(unpacked(batch), size)), pa.list_(pa.int64()))], ["c", "items"])
