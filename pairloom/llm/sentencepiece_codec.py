@@ -128,18 +128,18 @@ class Codec:
             out.append(got)
             source.append(where)
         data, align, end = b"".join(out), np.concatenate([*source, np.zeros(0, int)]).astype(np.int64), at
-        if self.squeeze:
-            kept = len(data.rstrip(b" "))
-            end = int(align[kept]) if kept < len(data) else end
-            data, align = data[:kept], align[:kept]
         if not data:
-            return "", np.array([end])
+            return "", np.array([0])
         if self.dummy:
             data = data + b" " if self.suffix else b" " + data
             align = np.append(align, end) if self.suffix else np.append(align[:1], align)
         if self.escape:
             align = np.repeat(align, np.where(np.frombuffer(data, np.uint8) == 32, len(SPACE_BYTES), 1))
             data = data.replace(b" ", SPACE_BYTES)
+        space = SPACE_BYTES if self.escape else b" "
+        while self.squeeze and data.endswith(space):  # a literal escape sign at the end goes, too
+            end = int(align[len(data) - len(space)])
+            data, align = data[: -len(space)], align[: -len(space)]
         return data.decode(), np.append(align, end)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
