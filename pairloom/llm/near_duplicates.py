@@ -48,7 +48,7 @@ NEAR, FAR = 0.72, 0.38  # estimated similarities: near the pivot; not far from i
 ROUNDS = 3
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 19
 PAIR_BLOCK = 512
-BIT_ROWS = 4096
+BIT_ROWS = 1024
 
 
 def sketched(docs: DataFrame, size: int, k: int = K) -> DataFrame:
@@ -155,7 +155,7 @@ def canopies(classes: DataFrame) -> DataFrame:
 
 def perhaps_among(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``docs`` (k1, k2, ...) that may be among ``keys``: all that are, few others while the
-    keys are fewer than the bits. A bitmap of ``BIT_ROWS`` times 32,768 bits, at most 16 MB however many
+    keys are fewer than the bits. A bitmap of ``BIT_ROWS`` times 32,768 bits, at most 4 MB however many
     keys there are, spares most texts the shuffle of the join that follows."""
     place = F.pmod("k1", F.lit(BIT_ROWS)).cast("int")
     bit = F.pmod("k2", F.lit(32768)).cast("int")
