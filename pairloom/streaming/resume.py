@@ -60,3 +60,12 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
     tables alike."""
     counted = events.withWatermark("ts", late) if events.isStreaming else events
     return counted.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def write_shards(df: DataFrame, root: str, rows_per_shard: int, key: str) -> DataFrame:
+    """STM6: rows in files of bounded length, and a manifest of which keys each file holds, written after
+    them; returns the manifest (file, n, first, last)."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_shard).parquet(f"{root}/shards")
+    back = df.sparkSession.read.parquet(f"{root}/shards").select(key, F.col("_metadata.file_name").alias("file"))
+    back.groupBy("file").agg(F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).write.mode("overwrite").parquet(f"{root}/manifest")
+    return df.sparkSession.read.parquet(f"{root}/manifest")

@@ -145,3 +145,17 @@ def test_external_batches(spark):
     rows = spark.createDataFrame([(1, "a"), (2, None)], "k int, prompt string")
     got = {r.k: r.response for r in external.ask(rows, "k", "prompt", lambda p: '{"p": "' + p + '"}', pause=0.0).collect()}
     assert got == {1: '{"p": "a"}', 2: None}
+
+
+def test_shards_and_manifest(spark, tmp_path):
+    m = resume.write_shards(spark.range(100).coalesce(1), str(tmp_path / "s"), 30, "id")
+    assert sorted((r.n, r.first) for r in m.collect()) == [(10, 90), (30, 0), (30, 30), (30, 60)]
+
+
+def test_observed_counters(spark):
+    from pairloom.plans.experiments import key_union, observed
+
+    df, watch = observed(spark.range(10), "c", {"even": F.col("id") % 2 == 0})
+    df.collect()
+    assert watch.get == {"even": 5}
+    assert key_union([spark.range(1), spark.range(1).withColumn("z", F.lit(1))], ["z", "q"]) == ["z", "id"]
