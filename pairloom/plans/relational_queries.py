@@ -228,7 +228,7 @@ def label_balance(spark, sf_dir):
     return out.where("n >= 10")
 
 
-@query("FLT5 ST8 AGG9", "select lang, round(avg(toxic) filter (where quality = 1), 6) as toxic_if_good, round(avg(toxic), 6) as toxic_rate, round(corr(cast(toxic as double), cast(length(text) as double)), 6) as length_corr from documents join labels using (doc_id) group by lang")
+@query("FLT5 ST8 AGG9", "select lang, round(avg(toxic) filter (where quality = 1), 6) as toxic_if_good, round(avg(toxic), 6) as toxic_rate, case when stddev_pop(toxic) > 0 then round(corr(cast(toxic as double), cast(length(text) as double)), 6) end as length_corr from documents join labels using (doc_id) group by lang")
 def conditional_rates(spark, sf_dir):
     from pairloom.plans.statistics import point_biserial
 

@@ -22,6 +22,14 @@ def cohens_d(x: Column, first: Column, second: Column) -> Column:
     return F.coalesce(F.when((na >= 2) & (nb >= 2) & (pooled >= 1e-10), (F.avg(a) - F.avg(b)) / pooled), F.lit(0.0))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's correlation, an aggregate; NULL where either side doesn't vary (Spark's own raises an
+    error there in ANSI mode)."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
 def average_rank(column: str, group: list[str] | None = None) -> Column:
     """Ranks from 1, ties share their mean."""
     w = Window.partitionBy(*(group or [])).orderBy(column)
@@ -47,7 +55,7 @@ def spearman(df: DataFrame, x: str, y: str, group: list[str] | None = None) -> D
     group = group or []
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = rows.withColumns({"_rx": average_rank(x, group), "_ry": average_rank(y, group)})
-    return ranked.groupBy(*group).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    return ranked.groupBy(*group).agg(correlation(F.col("_rx"), F.col("_ry")).alias("rho"), F.count("*").alias("n"))
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, z: str, group: list[str] | None = None) -> DataFrame:
@@ -55,7 +63,7 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, group: list[str] | N
     group = group or []
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
     r = rows.withColumns({f"_{c}": average_rank(c, group) for c in (x, y, z)}).groupBy(*group).agg(
-        F.corr(f"_{x}", f"_{y}").alias("rxy"), F.corr(f"_{x}", f"_{z}").alias("rxz"), F.corr(f"_{y}", f"_{z}").alias("ryz"), F.count("*").alias("n")
+        correlation(F.col(f"_{x}"), F.col(f"_{y}")).alias("rxy"), correlation(F.col(f"_{x}"), F.col(f"_{z}")).alias("rxz"), correlation(F.col(f"_{y}"), F.col(f"_{z}")).alias("ryz"), F.count("*").alias("n")
     )
     floor = F.lit(1e-10)
     rho = (F.col("rxy") - F.col("rxz") * F.col("ryz")) / (F.sqrt(F.greatest(1 - F.col("rxz") ** 2, floor)) * F.sqrt(F.greatest(1 - F.col("ryz") ** 2, floor)))
@@ -131,7 +139,7 @@ def wilcoxon(df: DataFrame, d: str, group: list[str] | None = None) -> DataFrame
 
 def point_biserial(flag: Column, x: Column) -> Column:
     """ST8, an aggregate."""
-    return F.corr(flag.cast("double"), x)
+    return correlation(flag.cast("double"), x)
 
 
 def pearson_matrix(df: DataFrame, key: str, item: str, value: str) -> DataFrame:
@@ -139,7 +147,7 @@ def pearson_matrix(df: DataFrame, key: str, item: str, value: str) -> DataFrame:
     dimensions: their number is fixed, the rows pass once through a join on the key."""
     a = df.select(key, F.col(item).alias("a"), F.col(value).alias("va"))
     b = df.select(key, F.col(item).alias("b"), F.col(value).alias("vb"))
-    return a.join(b, key).where("a <= b").groupBy("a", "b").agg(F.corr("va", "vb").alias("r"), F.count("*").alias("n"))
+    return a.join(b, key).where("a <= b").groupBy("a", "b").agg(correlation(F.col("va"), F.col("vb")).alias("r"), F.count("*").alias("n"))
 
 
 def bootstrap(df: DataFrame, group: str, x: str, draws: int = 2000, seed: int = 42) -> DataFrame:
