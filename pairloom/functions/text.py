@@ -12,14 +12,23 @@ from pyspark.sql import types as T
 from pairloom.operators.registry import AGE_GROUP_TERMS, AGE_PATTERN, ANSWER_BLOCK, CHILD_HOUSING
 
 
-def tags(text: Column, patterns: dict[str, str]) -> Column:
+def tags(text: Column, patterns: dict[str, str], lowered: bool = False) -> Column:
     """STR1: labels whose pattern occurs in the lower-cased text, in the order of the patterns.
     Patterns stay case-sensitive, so upper-case alternatives in them never match; that is the
-    documented behaviour. :func:`tags_any_case` is the variant without this trap."""
-    low = F.lower(text)
+    documented behaviour. :func:`tags_any_case` is the variant without this trap. For many patterns
+    over long texts pass a column that holds the lower-cased text already (``lowered``)."""
+    low = text if lowered else F.lower(text)
     return F.filter(F.array(*[F.when(low.rlike(p), F.lit(name)) for name, p in patterns.items()]), lambda x: x.isNotNull())
 
 
+def any_of(patterns: list[str]) -> str:
+    """One pattern that occurs where any of them does. Those that begin at a word boundary share the
+    check for it, so a text without a hit is passed over once, not once for each pattern."""
+    bounded = [p[2:] for p in patterns if p.startswith(r"\b")]
+    others = [p for p in patterns if not p.startswith(r"\b")]
+    return "|".join(([r"\b(?:" + "|".join(bounded) + ")"] if bounded else []) + others)
+
+
 def tags_any_case(text: Column, patterns: dict[str, str]) -> Column:
     return F.filter(F.array(*[F.when(text.rlike("(?i)" + p), F.lit(name)) for name, p in patterns.items()]), lambda x: x.isNotNull())
 

@@ -105,16 +105,20 @@ def reconcile(passes: DataFrame, keys: list[str], order: str, critical_flags: li
     """DQ6: majority labels, agreement and tier of each key over its annotation passes (a row each)."""
     reason = F.coalesce(F.lower("reason_if_null"), F.lit(""))
     state = F.when(F.col("text").isNull() & reason.contains("identical"), "identical").when(F.col("text").isNull(), "null").otherwise("has_text")
-    df = passes.withColumn("text_state", state)
+    # one shuffle by the key serves every aggregation below: a key has as many rows as passes
+    df = passes.withColumn("text_state", state).repartition(*keys)
+    flags = F.flatten(F.collect_list(F.coalesce("uncertainty_flags", F.array().cast("array<string>"))))
     out = df.groupBy(*keys).agg(
         F.coalesce(F.avg("annotation_confidence"), F.lit(0.5)).alias("mean_confidence"),
         F.min_by("text", F.when(F.col("text").isNotNull(), F.col(order))).alias("text"),
-        F.size(F.array_intersect(F.array_distinct(F.flatten(F.collect_list(F.coalesce("uncertainty_flags", F.array().cast("array<string>"))))), F.array(*[F.lit(f) for f in critical_flags]))).alias("critical"),
+        F.size(F.array_intersect(F.array_distinct(flags), F.array(*[F.lit(f) for f in critical_flags]))).alias("critical"),
         F.count("*").alias("n_passes"),
     )
-    for field in ["text_state", *R.CRITICAL_FIELDS]:
-        voted = majority(df, keys, field, order)
-        out = out.join(voted.select(*keys, F.col("majority").alias(f"{field}_majority"), F.col("majority_frac").alias(f"{field}_frac"), F.col("unanimous").alias(f"{field}_unanimous")), keys, "left")
+    fields = ["text_state", *R.CRITICAL_FIELDS]
+    votes = df.select(*keys, order, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])).alias("v")).select(*keys, order, "v.field", "v.value")
+    voted = majority(votes, [*keys, "field"], "value", order)
+    wide = voted.groupBy(*keys).agg(*[F.max(F.when(F.col("field") == f, F.col(c))).alias(f"{f}_{name}") for f in fields for c, name in (("majority", "majority"), ("majority_frac", "frac"), ("unanimous", "unanimous"))])
+    out = out.join(wide, keys, "left")
     unanimous = F.lit(True)
     for field in R.CRITICAL_FIELDS:
         unanimous = unanimous & F.coalesce(F.col(f"{field}_unanimous"), F.lit(False))
