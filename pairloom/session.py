@@ -91,6 +91,22 @@ def settled_path(df: DataFrame) -> str:
     return df._settled_path
 
 
+class Scratch:
+    """Settled tables that are deleted together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def settle(self, df: DataFrame, label: str) -> DataFrame:
+        out = settle(df, label)
+        self.paths.append(settled_path(out))
+        return out
+
+    def clear(self) -> None:
+        release(self.spark, *self.paths)
+        self.paths = []
+
+
 def worker_path(spark: SparkSession) -> None:
     """Let Python workers started by this session import this package from its folder."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
