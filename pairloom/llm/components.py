@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.session import settle
+from pairloom.session import Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the smallest node reachable.
     Nodes are of any type that orders. Each round maps every node to the smallest of its
     neighbourhood, jumps once more, and contracts the edges; paths shrink by a factor in every round,
     so there are about as many rounds as the logarithm of the longest path. The rounds are written
-    out, and only a count comes to the driver."""
+    out, and only a count comes to the driver. The tables of the rounds belong to ``scratch``: the
+    result must be written before that is cleared."""
+    settle = (scratch or Scratch(edges.sparkSession)).settle
     edges = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     roots = nodes.select("node", F.col("node").alias("root"))

@@ -4,9 +4,9 @@
    them, the K least are its sketch. Texts with equal sets form a class, and one
    sketch stands for the class from here on.
 2. Inverted lists: each sketch value that several classes retain lists them. Two
-   sets as similar as asked share at least ``SHARE`` of their sketches, so they
-   meet in a list even if each class enters only the rarest values of its sketch
-   (all but ``SHARE`` of them, and one more). Common passages drop out there.
+   sets as similar as asked share a certain part of their sketches, so they meet in a
+   list even if each class enters only the rarest values of its sketch (all but
+   that part, and one more). Common passages drop out there.
 3. Every list is compared with one pivot, its class with the most widely shared
    sketch, by the union-sketch estimate of their similarity. As the distance
    1 - similarity is a metric, classes near the pivot can only be linked with
@@ -19,7 +19,7 @@
 5. The links' connected components give the groups.
 
 Sketches are random: a pair right at the threshold is missed with a chance of
-about 1e-5 (``SHARE`` and the canopy's margins are four standard errors away).
+about 1e-5, since all bounds are four standard errors away from it.
 
 Defined results: null and empty texts and texts without words have no shingle,
 are linked with nothing and are their own group. Rows with a null id take part;
@@ -40,11 +40,11 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import map_batches, packed, row_key, unpacked
 from pairloom.llm.components import components
 from pairloom.llm.shingles import shingle_sets
-from pairloom.session import release, settle, worker_path
+from pairloom.session import Scratch, release, settle, worker_path
 
 K = 48
-SHARE = 0.62
-NEAR, FAR = 0.72, 0.38  # estimated similarities: near the pivot; not far from it
+NEAR = 0.72  # estimated similarity to the pivot of what needs no other pivot
+ERROR, ERROR_OF_TWO = 0.23, 0.19  # four standard errors: of an estimate; of the difference of two alike
 ROUNDS = 3
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 1 << 19
 PAIR_BLOCK = 512
@@ -73,16 +73,21 @@ def sketched(docs: DataFrame, size: int, k: int = K) -> DataFrame:
     return made.select("k1", "k2", "doc_id", "n", F.struct("c1", "c2").alias("c"), "sketch")
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
+def least_estimate(percent: int) -> float:
+    """What the sketches of linked sets share, and their estimate is, at least."""
+    return percent / 100 - ERROR
+
+
+def inverted_lists(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(x, c, pop): the rarest retained values of each class that others retain too; pop tells how
     widely the class's values are shared."""
     # narrow rows: the join that follows moves one for each value of each sketch
     entries = classes.select("c.c1", "c.c2", F.explode("sketch").alias("x"))
-    shared = settle(entries.groupBy("x").agg(F.count("*").alias("df")).where("df > 1"), "nd-shared")
+    shared = scratch.settle(entries.groupBy("x").agg(F.count("*").alias("df")).where("df > 1"), "nd-shared")
     held = entries.join(shared, "x").groupBy("c1", "c2").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("held"))
     held = held.select(F.struct("c1", "c2").alias("c"), "held").join(classes.select("c", F.size("sketch").alias("q")), "c")
     # values of this class alone are the rarest; they fill the first places
-    places = F.col("q") - F.ceil(F.col("q") * SHARE) + 1 - (F.col("q") - F.size("held"))
+    places = F.col("q") - F.ceil(F.col("q") * least_estimate(percent)) + 1 - (F.col("q") - F.size("held"))
     listed = held.where(places > 0).select("c", F.aggregate("held", F.lit(0.0), lambda a, h: a + F.log2(h["df"])).alias("pop"), F.explode(F.slice("held", 1, places.cast("int"))).alias("h"))
     return listed.select("h.x", "c", "pop")
 
@@ -100,10 +105,11 @@ def compare(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.distinct().join(right, "c").join(left, "p").select("p", "c", estimate(F.col("sp"), F.col("sc")).alias("est"))
 
 
-def pair_blocks(lists: DataFrame, sketches: DataFrame) -> DataFrame:
+def pair_blocks(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(p, c): all pairs within a list that may be linked by their estimate. Long lists are cut into
     blocks, any two of which meet in one group, so a group stays small."""
     worker_path(lists.sparkSession)
+    least = least_estimate(percent)
     sizes = lists.groupBy("x").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("nb")).where("nb > 0")
     own = F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")
     placed = lists.join(sizes, "x").withColumn("own", own).join(sketches, "c")
@@ -121,7 +127,7 @@ def pair_blocks(lists: DataFrame, sketches: DataFrame) -> DataFrame:
                 if i == j or own[a] != own[b]:
                     union = np.union1d(sketch[a], sketch[b])[:K]
                     both = np.intersect1d(sketch[a], sketch[b], assume_unique=True)
-                    if np.isin(union, both, assume_unique=True).sum() >= (NEAR - 0.02) * len(union):
+                    if np.isin(union, both, assume_unique=True).sum() >= least * len(union):
                         out.append((a, b))
         x, y = [o[0] for o in out], [o[1] for o in out]
         return pa.table({"p1": pa.array(c1[x], pa.int64()), "p2": pa.array(c2[x], pa.int64()), "c1": pa.array(c1[y], pa.int64()), "c2": pa.array(c2[y], pa.int64())})
@@ -130,26 +136,27 @@ def pair_blocks(lists: DataFrame, sketches: DataFrame) -> DataFrame:
     return made.select(F.struct(F.col("p1").alias("c1"), F.col("p2").alias("c2")).alias("p"), F.struct("c1", "c2").alias("c")).distinct()
 
 
-def canopies(classes: DataFrame) -> DataFrame:
+def canopies(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(p, c): memberships, such that any two similar classes share a p. p itself is a member."""
     sketches = classes.select("c", "sketch")
-    lists = settle(inverted_lists(classes), "nd-lists")
+    lists = scratch.settle(inverted_lists(classes, percent, scratch), "nd-lists")
     release(classes.sparkSession)
+    far = NEAR - (1 - percent / 100) - ERROR_OF_TWO
     found = None
     for _ in range(ROUNDS):
         pivots = lists.groupBy("x").agg(F.max(F.struct("pop", "c")).alias("top"), F.count("*").alias("m")).where("m > 1")
-        pivots = settle(pivots.select("x", F.col("top.c").alias("p")), "nd-pivots")
-        with_pivot = settle(lists.join(pivots, "x"), "nd-with-pivot")
-        compared = settle(compare(with_pivot.where("p <> c").select("p", "c"), sketches), "nd-compared")
-        member = compared.where(F.col("est") >= FAR).select("p", "c")
+        pivots = scratch.settle(pivots.select("x", F.col("top.c").alias("p")), "nd-pivots")
+        with_pivot = scratch.settle(lists.join(pivots, "x"), "nd-with-pivot")
+        compared = scratch.settle(compare(with_pivot.where("p <> c").select("p", "c"), sketches), "nd-compared")
+        member = compared.where(F.col("est") >= far).select("p", "c")
         found = member if found is None else found.union(member)
         away = compared.where(F.col("est") < NEAR).select("p", "c")
-        lists = settle(with_pivot.join(away, ["p", "c"], "left_semi").select("x", "c", "pop"), "nd-lists")
+        lists = scratch.settle(with_pivot.join(away, ["p", "c"], "left_semi").select("x", "c", "pop"), "nd-lists")
         if lists.isEmpty():
             break
     else:
-        found = found.union(pair_blocks(lists, sketches))
-    found = settle(found.distinct(), "nd-canopies")
+        found = found.union(pair_blocks(lists, sketches, percent))
+    found = scratch.settle(found.distinct(), "nd-canopies")
     return found.union(found.select("p", F.col("p").alias("c")).distinct())
 
 
@@ -165,13 +172,13 @@ def perhaps_among(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(bits), (place == F.col("place")) & is_set, "left_semi")
 
 
-def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): a spanning forest, for every two blocks of a canopy, of the pairs of classes whose full
     sets have at least ``percent`` hundredths of their union in common."""
     worker_path(docs.sparkSession)
-    members = settle(members.join(classes.select("c", "n", "k1", "k2"), "c"), "nd-keyed")
+    members = scratch.settle(members.join(classes.select("c", "n", "k1", "k2"), "c"), "nd-keyed")
     totals = members.groupBy("p").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    needed = settle(members.join(settle(totals, "nd-totals"), "p"), "nd-members")
+    needed = scratch.settle(members.join(scratch.settle(totals, "nd-totals"), "p"), "nd-members")
     release(docs.sparkSession)
     keys = needed.select("k1", "k2", "c").distinct()
     k1, k2 = row_key("doc_id", "text")
@@ -243,20 +250,22 @@ def linked(values: np.ndarray, lengths: np.ndarray, own: np.ndarray | None, perc
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(k1, k2, doc_id, n_shingles, component_id, kept) per row of ``docs``."""
+    scratch = Scratch(docs.sparkSession)
     rows = settle(sketched(docs, size), "nd-rows")
     number = F.coalesce("doc_id", F.lit(2**63 - 1))
     least = F.min(F.struct(number.alias("low"), F.col("k1"), F.col("k2"), F.col("sketch"), F.col("n"))).alias("rep")
     # rows of one class meet as partial minima
     classes = rows.where("n > 0").groupBy("c").agg(least).select("c", "rep.low", "rep.k1", "rep.k2", "rep.sketch", "rep.n")
-    classes = settle(classes, "nd-classes")
+    classes = scratch.settle(classes, "nd-classes")
     release(docs.sparkSession)
-    links = settle(confirmed_links(docs, classes, canopies(classes), size, percent), "nd-links")
+    links = scratch.settle(confirmed_links(docs, classes, canopies(classes, percent, scratch), size, percent, scratch), "nd-links")
     release(docs.sparkSession)
     name = classes.select("c", F.struct(F.col("low"), F.col("c")).alias("node"))
     edges = links.join(name.select(F.col("c").alias("a"), F.col("node").alias("na")), "a").join(name.select(F.col("c").alias("b"), F.col("node").alias("nb")), "b")
-    roots = components(edges.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    roots = components(edges.select(F.col("na").alias("a"), F.col("nb").alias("b")), scratch)
     low = classes.select("c", "low").join(roots.select(F.col("node.c").alias("c"), F.col("root.low").alias("root_low")), "c", "left").select("c", F.coalesce("root_low", "low").alias("component"))
     low = settle(low, "nd-components")
+    scratch.clear()
     # a class of very many copies meets one row of its component; AQE can split it
     joined = rows.select("k1", "k2", "doc_id", "n", "c").join(low, "c", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif(F.col("component"), F.lit(2**63 - 1)))
