@@ -20,20 +20,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import decontamination, line_dedup, near_duplicates, sentencepiece_codec, toxicity
-from pairloom.llm.common import map_batches
+from pairloom.llm.common import fresh, map_batches
 from pairloom.session import shared_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
-    scored = toxicity.score(docs, model, tuple(docs.columns))
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    (score,) = fresh(docs.columns, "score")
+    scored = toxicity.score(docs, model, tuple(docs.columns), score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_repeats(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    lines, removed = fresh(docs.columns, "n_lines", "n_removed")
+    out = line_dedup.remove_repeats(docs, counts=(lines, removed)).where((F.col(removed) == 0) | (F.col(removed) < F.col(lines)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

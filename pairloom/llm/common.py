@@ -47,6 +47,17 @@ def row_key(*columns: str) -> tuple[Column, Column]:
     return F.xxhash64(*parts), F.xxhash64(F.lit("second"), *reversed(parts))
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column of a table (whatever its case) has them."""
+    have, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fields(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: what else a table carries cannot clash with working columns."""
     return df.select(*[F.col(n) for n in names])

@@ -61,8 +61,9 @@ def covered(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     return starts.select("k1", "k2", F.array_sort(F.array_distinct(lines)).alias("gone"))
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """All columns of ``docs`` with the shortened text, and n_lines, n_removed."""
+def remove_repeats(docs: DataFrame, size: int = WINDOW, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns of ``docs`` with the shortened text, and the numbers of lines and of removed lines
+    under the names of ``counts``, which ``docs`` must not have."""
     k1, k2 = row_key("doc_id", "text")
     own = F.struct(*[F.col(c) for c in docs.columns])
     keyed = docs.select(own.alias("row"), k1.alias("k1"), k2.alias("k2"), F.col("text").alias("text"))
@@ -73,7 +74,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     stay = F.array_except(F.when(count > 0, F.sequence(F.lit(0), count - 1)), "gone")  # hashed: linear in the lines
     text = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
     shorter = out.select("row", count.cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("n_removed"), text.alias("shorter"))
-    return shorter.select(*[F.col("shorter").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns], "n_lines", "n_removed")
+    return shorter.select(*[F.col("shorter").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns], F.col("n_lines").alias(counts[0]), F.col("n_removed").alias(counts[1]))
 
 
 def digest(docs: DataFrame, size: int = WINDOW) -> DataFrame:

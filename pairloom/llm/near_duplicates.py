@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import map_batches, packed, row_key, unpacked
+from pairloom.llm.common import fresh, map_batches, packed, row_key, unpacked
 from pairloom.llm.components import components
 from pairloom.llm.shingles import shingle_sets
 from pairloom.session import Scratch, release, settle, worker_path
@@ -282,6 +282,6 @@ def drop_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, all columns. Of twin rows of a kept
     document all stay."""
     k1, k2 = row_key("doc_id", "text")
-    dropped = groups(docs, size, percent).where(~F.col("kept")).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    return keyed.join(dropped, ["_k1", "_k2"], "left_anti").select(*[F.col(c) for c in docs.columns])
+    a, b = fresh(docs.columns, "k1", "k2")
+    dropped = groups(docs.select("doc_id", "text"), size, percent).where(~F.col("kept")).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
+    return docs.withColumns({a: k1, b: k2}).join(dropped, [a, b], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

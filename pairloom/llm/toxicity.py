@@ -202,8 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[dict[str
     return dict(zip(features, weights.tolist(), strict=True)), intercept
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], float] | None, keep: tuple[str, ...]) -> DataFrame:
-    """The kept columns and ``score``; every document, whole texts, no shuffle."""
+def score(docs: DataFrame, model: tuple[dict[str, float], float] | None, keep: tuple[str, ...], name: str = "score") -> DataFrame:
+    """The kept columns and the score under ``name``; every document, whole texts, no shuffle."""
     weights, intercept = model or ({}, 0.0)
     known: dict[str, tuple[str, ...]] = {}
 
@@ -222,10 +222,10 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float] | None, keep: t
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = pa.array([one(t.as_py()) for t in batch.column("text")], pa.float64())
-        return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [made], [*keep, "score"])
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [made], [*keep, name])
 
     kept = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = T.StructType([kept.schema[c] for c in keep] + [T.StructField("score", T.DoubleType())])
+    schema = T.StructType([kept.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
     return map_batches(kept, run, schema)
 
 

@@ -59,3 +59,23 @@ def test_warc_of_odd_rows(spark):
     got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()), key=str)
     assert got == sorted([(1, 0, "response", None), (2, 0, "response", None), (None, 200, "revisit", 3), (3, 200, "response", None), (3, 200, "revisit", 3), (4, 120, "response", None)], key=str)
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_pipeline_stages_keep_extra_columns(spark, make_docs, odd_rows, tmp_path):
+    import corpus_pipeline
+
+    labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
+    benchmark(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = make_docs(odd_rows).withColumns({n: F.lit(7) for n in ("n_lines", "n_removed", "n_removed_")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == before.columns, name
+        assert docs.where("score <> 7 or n_removed <> 7 or k1 <> 7 or k2 <> 7 or _k1 <> 7").count() == 0
+    # the long text holds a benchmark item; all else stays
+    assert sorted((r.doc_id is None, r.doc_id, r.text or "") for r in docs.collect()) == sorted((r[0] is None, r[0], r[1] or "") for r in odd_rows if r[0] != 6)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(odd_rows) - 1
+    empty = make_docs([])
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0
