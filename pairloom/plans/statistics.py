@@ -189,29 +189,77 @@ def _poisson_sums(df: DataFrame, group: str, x: str, draws: int, seed: int) -> D
     return total.select(F.col("g").cast(kind).alias(group), "m")
 
 
+VALUES = 4096  # distinct values of a block of the permutation test
+
+
+def hypergeometric(rng: np.random.Generator, good: np.ndarray, bad: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """How many of ``good`` a draw of ``sample`` out of ``good + bad`` holds. numpy's own stops at 1e9: above
+    it every row is taken with the chance sample / all, and what is too few or too many of that is drawn
+    in the same way from the rest or from the taken, which is the same distribution."""
+    good, bad, sample = (np.array(v, np.int64) for v in np.broadcast_arrays(good, bad, sample))
+    out, small = np.zeros(sample.shape, np.int64), good + bad < 10**9
+    out[small] = rng.hypergeometric(good[small], bad[small], sample[small])
+    if (big := ~small & (sample > 0)).any():
+        g, b, n = good[big], bad[big], sample[big]
+        share = n / (g + b)
+        x, y = rng.binomial(g, share), rng.binomial(b, share)
+        lack = n - x - y
+        more, less = np.maximum(lack, 0), np.maximum(-lack, 0)
+        x = x + hypergeometric(rng, g - x, b - y, more) - hypergeometric(rng, x, y, less)
+        out[big] = x
+    return out
+
+
 def permutation(df: DataFrame, group: str, x: str, first: Column, draws: int = 5000, seed: int = 42) -> DataFrame:
-    """ST3: two-sided p of a difference of means, by groups of bounded size (a hash sample of at most
-    20,000 rows of each, as the test is meant for)."""
-    rows = df.where(F.col(x).isNotNull()).select(group, F.col(x).cast("double").alias("x"), first.cast("int").alias("f"))
-    few = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64("x", "f", F.lit(seed)), "x", "f"))).where("_r <= 20000").drop("_r")
+    """ST3: two-sided p of a difference of means over all rows. A permutation only decides how many of the
+    rows of each value fall to the first sample: hypergeometric counts, drawn for blocks of
+    ``VALUES`` values or so by the sizes of the blocks and then inside each block, so rows are never
+    gathered. Without rows on both sides difference and p are NaN."""
     kind = df.schema[group].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["f", "x"])
-        v, f = frame["x"].to_numpy(), frame["f"].to_numpy() == 1
-        n = int(f.sum())
-        out = {group: frame[group].iloc[:1], "difference": [np.nan], "p": [np.nan], "n": [len(v)]}
-        if 0 < n < len(v):
-            seen = abs(v[f].mean() - v[~f].mean())
-            rng = np.random.default_rng(seed)
-            hits = 0
-            for _ in range(draws):
-                chosen = v[rng.permutation(len(v))[:n]].sum()
-                hits += abs(chosen / n - (v.sum() - chosen) / (len(v) - n)) >= seen - 1e-15
-            out |= {"difference": [v[f].mean() - v[~f].mean()], "p": [hits / draws]}
-        return pd.DataFrame(out)
-
-    return few.groupBy(group).applyInPandas(run, f"`{group}` {kind}, difference double, p double, n bigint")
+    rows = df.where(F.col(x).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(x).cast("double").alias("x"), F.coalesce(first, F.lit(False)).cast("int").alias("f"))
+    values = rows.groupBy("g", "x").agg(F.count("*").alias("c"), F.sum("f").alias("k"))
+    n, k = F.sum("c"), F.sum("k")
+    s, s1 = F.sum(F.col("x") * F.col("c")), F.sum(F.col("x") * F.col("k"))
+    totals = values.groupBy("g").agg(n.alias("n"), k.alias("n1"), s.alias("s"), s1.alias("s1"), F.sum(F.abs("x") * F.col("c")).alias("size"), F.ceil(F.count("*") / VALUES).alias("blocks"))
+    dealt = values.join(totals.select(F.col("g").alias("tg"), "blocks"), F.col("g").eqNullSafe(F.col("tg"))).select("g", F.pmod(F.xxhash64("x"), "blocks").alias("block"), "x", "c", "k")
+    sizes = dealt.groupBy("g", "block").agg(n.alias("n"), k.alias("k"))
+
+    def start(g, *more: int) -> np.random.Generator:
+        return np.random.default_rng([seed, zlib.crc32(repr(g).encode()), *more])
+
+    def allot(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("block")
+        left, want, rng, taken = int(frame["n"].sum()), np.full(draws, frame["k"].sum(), np.int64), start(frame["g"].iloc[0]), []
+        for size in frame["n"]:
+            left -= size
+            taken.append(hypergeometric(rng, size, left, want))
+            want = want - taken[-1]
+        return pd.DataFrame({"g": frame["g"], "block": frame["block"], "taken": [t.tobytes() for t in taken]})
+
+    def draw(inside: pd.DataFrame, share: pd.DataFrame) -> pd.DataFrame:
+        inside = inside.sort_values("x")
+        g, block, want = share["g"].iloc[0], int(share["block"].iloc[0]), np.frombuffer(share["taken"].iloc[0], np.int64)
+        left, rng, sums = int(inside["c"].sum()), start(g, block), np.zeros(draws)
+        for value, count in zip(inside["x"], inside["c"], strict=True):
+            left -= count
+            got = hypergeometric(rng, count, left, want)
+            sums += value * got
+            want = want - got
+        return pd.DataFrame({"g": [g] * draws, "b": np.arange(draws), "s": sums})
+
+    shares = sizes.groupBy("g").applyInPandas(allot, "g string, block bigint, taken binary")
+    drawn = dealt.groupBy("g", "block").cogroup(shares.groupBy("g", "block")).applyInPandas(draw, "g string, b bigint, s double")
+    sums = drawn.groupBy("g", "b").agg(F.sum("s").alias("drawn"))
+    n2 = F.col("n") - F.col("n1")
+    seen = totals.where((F.col("n1") > 0) & (n2 > 0)).select(F.col("g").alias("tg"), "n", "n1", "s", "size", (F.col("s1") / F.col("n1") - (F.col("s") - F.col("s1")) / n2).alias("difference"))
+    both = sums.join(seen, F.col("g").eqNullSafe(F.col("tg")))
+    moved = F.abs(F.col("drawn") / F.col("n1") - (F.col("s") - F.col("drawn")) / n2)
+    # sums in another order differ in their last places
+    hit = moved >= F.abs("difference") - F.col("size") / F.col("n") * 1e-12
+    tests = both.groupBy("g").agg(F.first("difference").alias("difference"), F.avg(hit.cast("int")).alias("p"))
+    nan = F.lit(float("nan"))
+    out = totals.select(F.col("g").alias("tg"), "n").join(tests, F.col("g").eqNullSafe(F.col("tg")) & F.col("difference").isNotNull(), "left")
+    return out.select(F.col("tg").cast(kind).alias(group), F.coalesce("difference", nan).alias("difference"), F.coalesce("p", nan).alias("p"), "n")
 
 
 def rdm(df: DataFrame, group: str, item: str, vec: str) -> DataFrame:

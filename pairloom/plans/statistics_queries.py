@@ -82,7 +82,7 @@ def bootstrap_ci(spark, sf_dir):
 @query("ST3 ST23")
 def permutation_p(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag").isin("R", "N")).select("l_linestatus", "l_quantity", "l_returnflag")
-    return T.permutation(rows, "l_linestatus", "l_quantity", F.col("l_returnflag") == "R", draws=500)
+    return T.permutation(rows, "l_linestatus", "l_quantity", F.col("l_returnflag") == "R", draws=5000)
 
 
 @query("ST4 ST6")

@@ -196,6 +196,26 @@ def test_bootstrap_and_permutation(spark):
     assert T.permutation(apart, "g", "x", F.col("f") == 1, draws=200).first().p == 0.0
     assert T.permutation(rows, "g", "x", F.col("f") == 1, draws=200).first().p > 0.01
 
+def test_permutation_takes_every_row(spark):
+    # 30,000 rows, equal (x, f) in blocks; more distinct values than one block holds
+    rows = spark.range(30000).select((F.col("id") % 2).cast("int").alias("g"), (F.col("id") % 5).cast("double").alias("x"), (F.pmod(F.xxhash64("id"), F.lit(2))).cast("int").alias("f"))
+    rows = rows.withColumn("g", F.lit(None).cast("int")).union(rows.limit(100))
+    want = rows.where("g is null").agg(F.avg(F.when(F.col("f") == 1, F.col("x"))) - F.avg(F.when(F.col("f") == 0, F.col("x")))).first()[0]
+    got = {r.g: r for r in T.permutation(rows, "g", "x", F.col("f") == 1, draws=500).collect()}
+    assert got[None].n == 30000 and got[None].difference == pytest.approx(want) and got[0].n + got[1].n == 100
+    wide = spark.range(9000).select(F.lit("a").alias("g"), (F.col("id") + F.when(F.col("id") % 2 == 0, 90.0).otherwise(0.0)).alias("x"), (F.col("id") % 2).cast("int").alias("f"))
+    a = wide.toPandas()
+    d, rng = a.x[a.f == 1].mean() - a.x[a.f == 0].mean(), np.random.default_rng(0)
+    plain = np.mean([abs((s := a.x.to_numpy()[rng.permutation(9000)])[:4500].mean() - s[4500:].mean()) >= abs(d) for _ in range(2000)])
+    got = T.permutation(wide, "g", "x", F.col("f") == 1, draws=2000).first()
+    assert got.n == 9000 and got.difference == pytest.approx(d) and abs(got.p - plain) < 0.05
+
+
+def test_hypergeometric_above_a_billion():
+    rng = np.random.default_rng(1)
+    got = T.hypergeometric(rng, 3 * 10**9, 10**9, np.full(4000, 1000))
+    assert abs(got.mean() - 750) < 1 and abs(got.std() - np.sqrt(1000 * 0.75 * 0.25)) < 0.6 and T.hypergeometric(rng, 5, 2 * 10**9, np.array([0])).tolist() == [0]
+
 
 def test_probes_learn_separable_classes(spark):
     rng = np.random.default_rng(1)
