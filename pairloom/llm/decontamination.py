@@ -1,8 +1,11 @@
 """Benchmark decontamination by q-gram filtering and banded alignment.
 
-Benchmark items are cut into overlapping segments, so that a leaked part of a
-long item is found as well. A place of a document holds a segment of m
-characters if an alignment of at most k = ERRORS * m edits exists. By the q-gram
+Benchmark items are cut into overlapping segments of ``SEGMENT`` characters and
+into parts of ``PART`` characters every ``PART_STRIDE``, so that a leaked part of
+an item is found as well, whatever its offset: any verbatim part of
+``PART + PART_STRIDE - 1`` (74) characters holds a whole part. Parts of an item that
+fits one segment count only verbatim: it is edited beyond ERRORS as a whole
+otherwise. A place of a document holds a segment or part of m characters if an alignment of at most k = ERRORS * m edits exists. By the q-gram
 lemma such a place shares at least m + 1 - q * (k + 1) q-grams with the segment,
 and their diagonals (place in the text minus place in the segment) lie within k
 of each other. Shared q-grams are therefore counted in overlapping bands of
@@ -33,6 +36,7 @@ from pairloom.llm.common import map_batches
 Q = 8
 ERRORS = 0.08
 SEGMENT, STRIDE = 120, 60
+PART, PART_STRIDE = 60, 15
 MIN_ITEM = 32
 BLOCK_CHARS = 1 << 20
 SLICE = 1 << 20
@@ -58,20 +62,24 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
 
 
 class Patterns:
-    """The segments of a block of items, indexed by q-gram."""
+    """The segments and parts of a block of items, indexed by q-gram."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.codes = [], []
+        self.item, self.codes, budget = [], [], []
         for item_id, text in items:
             codes = folded(text)
             if len(codes) < MIN_ITEM:
                 continue
-            last = max(0, len(codes) - SEGMENT)
-            for start in sorted({*range(0, last, STRIDE), last}):
-                self.item.append(item_id)
-                self.codes.append(codes[start : start + SEGMENT])
+            for width, stride in ((SEGMENT, STRIDE), (PART, PART_STRIDE)):
+                if width == PART and len(codes) <= PART:
+                    continue
+                last = max(0, len(codes) - width)
+                for start in sorted({*range(0, last, stride), last}):
+                    self.item.append(item_id)
+                    self.codes.append(codes[start : start + width])
+                    budget.append(0 if width == PART and len(codes) <= SEGMENT else int(len(self.codes[-1]) * ERRORS))
         self.length = np.array([len(c) for c in self.codes], np.int64)
-        self.budget = (self.length * ERRORS).astype(np.int64)
+        self.budget = np.array(budget, np.int64)
         self.least = np.maximum(1, self.length + 1 - Q * (self.budget + 1))
         hashes = [gram_hashes(c) for c in self.codes]
         every = np.concatenate([*hashes, np.zeros(0, np.uint64)])
@@ -141,8 +149,8 @@ class Patterns:
 
 
 def search(texts: list[str | None], patterns: Patterns) -> list[tuple[int, int, int, int, int]]:
-    """(index of the text, item, edits of its best segment, segments found, place after the best
-    match), sorted."""
+    """(index of the text, item, edits of its best segment, segments and parts found, place after the
+    best match), sorted. The best match is that of the longest, then of the least edits."""
     found: dict[tuple[int, int], list] = {}
     if not len(patterns.grams):
         return []
@@ -161,11 +169,12 @@ def search(texts: list[str | None], patterns: Patterns) -> list[tuple[int, int,
             edits, end = patterns.align(codes, seg, diag)
             for s, e, z in zip(seg[ok := edits <= patterns.budget[seg]], edits[ok], end[ok], strict=True):
                 of = int(np.searchsorted(starts, max(0, z - 1), side="right")) - 1
-                entry = found.setdefault((first + of, patterns.item[s]), [int(e), set(), int(z - starts[of])])
+                rank = (-int(patterns.length[s]), int(e))
+                entry = found.setdefault((first + of, patterns.item[s]), [rank, set(), int(z - starts[of])])
                 entry[1].add(int(s))
-                if int(e) < entry[0]:
-                    entry[0], entry[2] = int(e), int(z - starts[of])
-    return sorted((i, item, edits, len(segs), end) for (i, item), (edits, segs, end) in found.items())
+                if rank < entry[0]:
+                    entry[0], entry[2] = rank, int(z - starts[of])
+    return sorted((i, item, rank[1], len(segs), end) for (i, item), (rank, segs, end) in found.items())
 
 
 def _groups(texts: list[str | None]):
@@ -192,7 +201,7 @@ def blocks(benchmark: DataFrame):
 
 def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each document row and item it holds: the kept columns, item_id, edits (of the best
-    segment), segments (found), match_end (place after the best match, in characters of the
+    match), segments (and parts found), match_end (place after the best match, in characters of the
     lower-cased text)."""
     kept = docs.select(*dict.fromkeys([*keep, "text"]))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name in keep)

@@ -162,6 +162,19 @@ def test_no_match_spans_two_documents_and_blocks_agree(spark, make_docs, monkeyp
     assert one == sorted((r.doc_id, r.item_id) for r in decontamination.find(make_docs(halves), bench).collect()) == [(3, 1)]
 
 
+def test_parts_of_items_at_any_offset(spark):
+    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
+    patterns, around = decontamination.Patterns(items), "prose that has nothing to do with the matter at hand stands here, "
+    cuts = [(80, 220), (75, 225), (60, 180)] + [(a, a + 74) for a in range(0, 226, 7)]
+    long = [(k, t) for k, t in items if len(t) >= 300]
+    texts = [around + t[a:b] + " " + around for _, t in long for a, b in cuts]
+    found = {i: k for i, k, *_ in decontamination.search(texts, patterns)}
+    assert len(long) == 11 and [found.get(i) for i in range(len(texts))] == [k for k, _ in long for _ in cuts]
+    mid = [(k, t) for k, t in items if 90 <= len(t) <= 120]
+    assert mid and [r[1] for r in decontamination.search([around + t[8:82] + around for _, t in mid], patterns)] == [k for k, _ in mid]
+    assert not decontamination.search([around * 9], patterns)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
