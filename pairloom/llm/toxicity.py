@@ -14,9 +14,10 @@
    posteriors and scores every document.
 
 The sample holds at most ``PER_CLASS`` documents of either label, taken in order
-of a hash of the id, and of documents that share the least hash of their long
-words (two hash functions, in turn) one, since copies would pass for independent
-evidence.
+of a hash of the id. Of copies with one label (texts equal but for case and white
+space, which have the same features) one is taken, since copies would pass for
+independent evidence; they go before the limit. The numbers of rows trained on are
+logged.
 
 Defined results: null and empty texts score like a text without any feature.
 A document labelled twice counts as toxic if any label says so. Without usable
@@ -25,6 +26,8 @@ labels of both classes every score is 0.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,10 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairloom.llm.common import fields, map_batches
+from pairloom.session import settle
+
+log = logging.getLogger(__name__)
 
 PER_CLASS = 6000
 FEATURES = 1000
-LONG = 6
 CACHE = 100_000  # words whose features a task remembers
 LEAST_DOCS, LEAST_ODDS = 4, 6.0
 VOTERS_PER_KIND = 6
@@ -60,28 +65,20 @@ def training_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_cla
     """(text, toxic): at most ``per_class`` documents of either label."""
     labelled = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & allowed)
     chosen = labelled.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")]
-    # top-n of each class: no task holds more than its own n best. At most 2 * 2 * per_class ids reach the broadcast
+    order = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id"), F.col("k1"), F.col("k2")]
+    usable = fields(docs, "doc_id", "text").where("text is not null")
+    plain = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
+    k1, k2 = F.xxhash64(plain), F.xxhash64(F.lit("second"), plain)
+    keyed = usable.select("doc_id", k1.alias("k1"), k2.alias("k2")).join(chosen, "doc_id")  # no text is shuffled
+    first = F.min(F.struct(F.xxhash64("doc_id", F.lit(7)).alias("h"), "doc_id")).alias("first")
+    single = settle(keyed.groupBy("toxic", "k1", "k2").agg(first).select("toxic", "k1", "k2", F.col("first.doc_id").alias("doc_id")), "toxic-single")
+    # top-n of each class: no task holds more than its own n best. At most 2 * per_class ids reach the broadcast
     picked = None
     for label in (0, 1):
-        part = chosen.where(F.col("toxic") == label).orderBy(*order).limit(2 * per_class)
+        part = single.where(F.col("toxic") == label).orderBy(*order).limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    usable = fields(docs, "doc_id", "text").where("text is not null")
-    kept = usable.join(F.broadcast(picked), "doc_id")
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) >= LONG)
-
-    def least_word(seed: int) -> Column:
-        return F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(seed)))), F.xxhash64("text"))
-
-    for seed in (11, 12):  # at most 4 * per_class rows are left here
-        hashed = kept.withColumn("least", least_word(seed))
-        first = hashed.groupBy("least").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(7)).alias("h"), "doc_id")).alias("first"))
-        kept = hashed.drop("least").join(F.broadcast(first.select(F.col("first.doc_id").alias("doc_id")).distinct()), "doc_id")
-    out = None
-    for label in (0, 1):
-        part = kept.where(F.col("toxic") == label).orderBy(*order).limit(per_class).select("text", "toxic")
-        out = part if out is None else out.unionByName(part)
-    return out
+    kept = usable.join(F.broadcast(picked), "doc_id").where((k1 == F.col("k1")) & (k2 == F.col("k2")))
+    return kept.dropDuplicates(["doc_id", "k1", "k2"]).select("text", "toxic")
 
 
 def mine_features(sample: DataFrame, n_toxic: int, n_clean: int, most: int = FEATURES) -> list[str]:
@@ -186,11 +183,10 @@ def fit_linear(post: np.ndarray, row: np.ndarray, column: np.ndarray, width: int
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[dict[str, float], float] | None:
     """(weight of each feature, intercept), or None without labels of both classes."""
-    from pairloom.session import settle
-
     # the limits leave one partition; the sample's mining is worth more tasks
     sample = settle(training_sample(docs, labels, allowed).repartition(12, F.xxhash64("text")), "toxic-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    log.info("trained on %d toxic and %d clean rows", sizes.get(1, 0), sizes.get(0, 0))
     if len(sizes) < 2:
         return None
     features = mine_features(sample, sizes[1], sizes[0])

@@ -68,6 +68,16 @@ def test_toxicity_of_held_out_documents(spark):
     assert r[0] <= 0.02 and r[1] >= 0.5
 
 
+def test_sample_drops_copies_only(spark, make_docs):
+    # every text has the same long words, so any of them could evict another before
+    rows = [(i, f"shared wording everywhere nr {i}") for i in range(40)]
+    rows += [(100 + i, "Shared  wording EVERYWHERE nr 0") for i in range(3)] + [(200, "shared wording everywhere nr 1")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)] + [(100, 1), (101, 1), (102, 1), (200, 1)], "doc_id bigint, toxic int")
+    got = Counter(r.toxic for r in toxicity.training_sample(make_docs(rows), labels, F.lit(True)).collect())
+    assert got == {1: 11, 0: 30}  # nr 0 once; nr 1 is clean and toxic
+    assert Counter(r.toxic for r in toxicity.training_sample(make_docs(rows), labels, F.lit(True), 8).collect()) == {0: 8, 1: 8}
+
+
 def test_scores_do_not_see_labels_language_source_or_id(spark):
     docs, labels = table(spark, SF, "documents").limit(300), table(spark, SF, "labels")
     model = ({"wbad": 5.0}, -2.0)
