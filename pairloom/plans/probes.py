@@ -136,31 +136,72 @@ def layer_probes(df: DataFrame, layer: str, vec: str, label: str, group: str, te
     return split.groupBy(layer).applyInPandas(run, f"`{layer}` {kind}, {METRICS}")
 
 
-def leave_one_out(df: DataFrame, key: str, vec: str, label: str, components: int = 50, c: float = 0.01, most: int = 500) -> DataFrame:
-    """ST11 / ST16 / SMP9: accuracy of leave-one-out logistic probes after principal components and
-    scaling, for each key; groups above ``most`` rows give NULL (use :func:`layer_probes`)."""
+def fit_binary(x: np.ndarray, y: np.ndarray, c: float, start: np.ndarray | None = None, steps: int = 100) -> np.ndarray:
+    """Logistic regression of 0 or 1 (ridge 1 / c, the intercept, which is last, free), Newton steps that are
+    halved until the loss falls."""
+    x1 = np.column_stack([x, np.ones(len(x))])
+    ridge = np.append(np.full(x.shape[1], 1.0 / c), 0.0)
+    w = np.zeros(x1.shape[1]) if start is None else start.copy()
+    loss = lambda v: np.logaddexp(0, s := x1 @ v).sum() - y @ s + ridge @ (v * v) / 2
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -500, 500)))
+        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(ridge + 1e-9), x1.T @ (p - y) + ridge * w)
+        have = loss(w)
+        while loss(w - step) > have + 1e-9 and np.abs(step).max() > 1e-10:
+            step /= 2
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+HELD_OUT = 256  # refits of a task
+
+
+def leave_one_out(df: DataFrame, key: str, vec: str, label: str, components: int = 50, c: float = 0.01) -> DataFrame:
+    """ST11 / ST16 / SMP9: accuracy of leave-one-out logistic probes for each key. Principal components and
+    scaling are those of the whole group; then the probe is fitted again without each row, and
+    the refits of a group are dealt to tasks. Groups of fewer than three rows or of one class give NULL."""
     kind = df.schema[key].dataType.simpleString()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        n = len(frame)
-        if n > most or n < 3 or frame["y"].nunique() < 2:
-            return pd.DataFrame({key: frame[key].iloc[:1], "accuracy": [None], "n": [n]})
-        frame = frame.sort_values("y")
-        x, y = np.stack(frame["v"].to_list()), frame["y"].to_numpy()
-        hits = 0
-        for i in range(n):
-            keep = np.arange(n) != i
-            mean = x[keep].mean(axis=0)
-            _, _, vt = np.linalg.svd(x[keep] - mean, full_matrices=False)
-            basis = vt[: min(components, n - 2)].T
-            z, one = (x[keep] - mean) @ basis, (x[i] - mean) @ basis
-            std = np.where(z.std(axis=0) > 0, z.std(axis=0), 1)
-            w = fit_logistic(z / std, y[keep], c)
-            hits += np.unique(y[keep])[(np.append(one / std, 1) @ w.T).argmax()] == y[i]
-        return pd.DataFrame({key: frame[key].iloc[:1], "accuracy": [hits / n], "n": [n]})
-
-    rows = df.select(key, F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("string").alias("y"))
-    return rows.groupBy(key).applyInPandas(run, f"`{key}` {kind}, accuracy double, n bigint")
+    def reduce(frame: pd.DataFrame) -> pd.DataFrame:
+        n, names = len(frame), sorted(frame["y"].dropna().unique())
+        row = {"g": frame["g"].iloc[0], "n": n, "z": None, "y": None}
+        if n >= 3 and len(names) >= 2:
+            frame = frame.assign(t=frame["v"].map(tuple)).sort_values(["y", "t"])
+            x = np.stack(frame["v"].to_list())
+            x = x - x.mean(axis=0)
+            _, _, vt = np.linalg.svd(x, full_matrices=False)
+            z = x @ vt[: min(components, n - 1, x.shape[1])].T
+            std = z.std(axis=0)
+            row |= {"z": (z / np.where(std > 0, std, 1)).tobytes(), "y": np.searchsorted(names, frame["y"].to_numpy(str)).astype(np.int64).tobytes()}
+        return pd.DataFrame([row])
+
+    def refit(frame: pd.DataFrame) -> pd.DataFrame:
+        r = frame.iloc[0]
+        if r["z"] is None:
+            return pd.DataFrame({"g": [r["g"]], "n": [r["n"]], "hits": [None]})
+        y = np.frombuffer(r["y"], np.int64)
+        z = np.frombuffer(r["z"], np.float64).reshape(len(y), -1)
+        first, hits, two = int(r["part"]) * HELD_OUT, 0, y.max() == 1
+        near = fit_binary(z, y, c) if two else None
+        for i in range(first, min(first + HELD_OUT, len(y))):
+            keep = np.arange(len(y)) != i
+            classes = np.unique(y[keep])
+            if len(classes) == 1:
+                hits += classes[0] == y[i]
+            elif two:
+                hits += (np.append(z[i], 1) @ fit_binary(z[keep], y[keep], c, near) > 0) == y[i]
+            else:
+                hits += classes[(np.append(z[i], 1) @ fit_logistic(z[keep], y[keep], c).T).argmax()] == y[i]
+        return pd.DataFrame({"g": [r["g"]], "n": [r["n"]], "hits": [int(hits)]})
+
+    rows = df.select(F.col(key).cast("string").alias("g"), F.col(vec).cast("array<double>").alias("v"), F.col(label).cast("string").alias("y")).where("y is not null")
+    reduced = rows.groupBy("g").applyInPandas(reduce, "g string, n bigint, z binary, y binary")
+    parts = F.when(F.col("z").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / HELD_OUT).cast("int")))
+    counted = reduced.select("*", F.explode(parts).alias("part")).groupBy("g", "part").applyInPandas(refit, "g string, n bigint, hits bigint")
+    out = counted.groupBy("g").agg((F.sum("hits") / F.first("n")).alias("accuracy"), F.first("n").alias("n"))
+    return out.select(F.col("g").cast(kind).alias(key), "accuracy", "n")
 
 
 def ward_clusters(df: DataFrame, ident: str, vec: str, cuts: tuple[int, ...] = (3, 5, 8)) -> DataFrame:

@@ -480,8 +480,8 @@ def layer_probe_metrics(spark, sf_dir):
 
 @query("ST11 ST16 SMP9")
 def loo_probes(spark, sf_dir):
-    rows = vecs(spark, sf_dir).select((F.col("vec_id") % 10).alias("fold"), F.col("label") < 5, F.slice("v", 1, 16).alias("h")).toDF("fold", "y", "h")
-    return probes.leave_one_out(rows, "fold", "h", "y", 8)
+    rows = vecs(spark, sf_dir).select((F.col("vec_id") % 10).alias("fold"), (F.col("label") < 5).alias("y"), "v")
+    return probes.leave_one_out(rows, "fold", "v", "y")
 
 
 @query("ST18")

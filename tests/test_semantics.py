@@ -227,6 +227,25 @@ def test_probes_learn_separable_classes(spark):
     assert probes.leave_one_out(df.where("id < 40"), "layer", "v", "y", 3).first().accuracy > 0.85
 
 
+def test_leave_one_out_of_a_large_group(spark):
+    rng = np.random.default_rng(2)
+    rows = [(1, int(i % 3 == 0), [float(v) for v in rng.normal(0, 1, 6) + np.eye(6)[5] * 2 * (i % 3 == 0)]) for i in range(600)]
+    got = {r.k: r for r in probes.leave_one_out(spark.createDataFrame([*rows, (2, 1, [0.0] * 6)], "k int, y int, v array<double>"), "k", "v", "y").collect()}
+    x, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    z = (x - x.mean(axis=0)) @ np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2].T
+    z = np.column_stack([z / z.std(axis=0), np.ones(600)])
+    hits = 0
+    for i in range(600):  # plain Newton, as the objective is
+        keep, w = np.arange(600) != i, np.zeros(7)
+        for _ in range(12):
+            p = 1 / (1 + np.exp(-z[keep] @ w))
+            ridge = np.append(np.full(6, 100.0), 0)
+            w -= np.linalg.solve((z[keep] * (p * (1 - p))[:, None]).T @ z[keep] + np.diag(ridge), z[keep].T @ (p - y[keep]) + ridge * w)
+        hits += (z[i] @ w > 0) == y[i]
+    assert got[1].n == 600 and got[1].accuracy == pytest.approx(hits / 600) and hits > 450
+    assert got[2].n == 1 and got[2].accuracy is None
+
+
 def test_ward_recovers_groups(spark):
     rows = [(i, [1.0, 0.1 * i, 0.0]) for i in range(3)] + [(i, [0.0, 0.1 * i, 5.0]) for i in range(3, 6)]
     got = {r.h: r.cluster_2 for r in probes.ward_clusters(spark.createDataFrame(rows, "h int, v array<double>"), "h", "v", (2,)).collect()}
