@@ -3,14 +3,16 @@
 Base spans come from four fixed patterns (email, ip, card, phone), leftmost and
 non-overlapping for each kind; matches that fail their check are dropped.
 
-The bootstrap then learns contexts. A candidate is a word with a digit in it, of
-at least ``LEAST`` characters, that no base span touches; its instance is its
-shape (letters as ``a``, digits as ``0``, runs shortened). A lexical pattern is
-the two words before a candidate or base span, digits as ``0``. Seeds (the base
-spans) give their patterns a score, patterns score the instances they occur
-with, instances score further patterns, for ``ROUNDS`` rounds over the
-pattern-instance graph in Spark. Candidates in a pattern whose final score and
-support are high become spans of the kind the pattern's seeds have most.
+The bootstrap then learns contexts. A lexical pattern is the two words before a
+place, digits as ``0``. The patterns of the seeds (the base spans) are found first;
+every word, or run of groups of digits, that follows one of them anywhere and that
+no base span touches is a candidate. Its instance is its shape (letters as ``a``,
+digits as ``0``, runs shortened). Seeds give their patterns a score, patterns score
+the instances they occur with (an instance's occurrences after words that no seed
+follows count with a score of 0), instances score the patterns again, for
+``ROUNDS`` rounds in Spark. Candidates in a pattern whose final score and support
+are high become spans of the kind the pattern's seeds have most. A pattern without
+``MIN_SUPPORT - 1`` seeds of a kind can't become one and counts as no pattern.
 
 Defined results: a null or empty text has no span. Kinds, starts and ends are
 listed as ``kind:start:end`` in code points, end exclusive. Twin rows share
@@ -21,7 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +43,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 
-LEAST = 6
+BITS = 25  # of the bitmap of patterns, 4 MB
+CACHE = 100_000  # words whose shape a task remembers
 BEFORE = 2
 ROUNDS = 3
 MIN_SCORE, MIN_SUPPORT = 0.6, 3
 DIGIT = re.compile(r"[0-9]")
+GROUPS = re.compile(r"(?<![^\x20\x09-\x0D])[(+]?[0-9][0-9().+/-]*(?:\x20[(+]?[0-9][0-9().+/-]*)*(?![^\x20\x09-\x0D,;:!?'\"])")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 TRIM = ".,;:!?'\"()[]{}<>#*$%&|"
 
@@ -116,80 +123,124 @@ def context(text: str, start: int) -> str | None:
     return " ".join(words)[:80] or None
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, str, str | None, int, int]]:
-    """(pattern, instance, kind or None, start, end) of base spans and candidates."""
-    out, taken = [], sorted((s, e) for _, s, e in base)
-    for kind, start, end in base:
-        if pattern := context(text, start):
-            out.append((pattern, "=" + kind, kind, start, end))
-    done = -1
-    for digit in DIGIT.finditer(text):
-        if digit.start() < done:
+def words(text: str) -> list[tuple[int, int]]:
+    """Places of the words of a text, without punctuation around them; groups of digits one after
+    another are one word."""
+    out, end = [], 0
+    runs = {m.start(): m.end() for m in GROUPS.finditer(text)} if DIGIT.search(text) else {}
+    for m in TOKEN.finditer(text):
+        start = m.start()
+        if start < end:
             continue
-        start = digit.start()
-        while start > 0 and text[start - 1] not in " \t\n\v\f\r":
-            start -= 1
-        word = TOKEN.match(text, start)
-        done = word.end()
-        trimmed = word[0].strip(TRIM)
-        low = start + word[0].find(trimmed) if trimmed else start
-        high = low + len(trimmed)
-        if len(trimmed) < LEAST or any(s < high and low < e for s, e in taken):
-            continue
-        if pattern := context(text, low):
-            out.append((pattern, shape(trimmed), None, low, high))
+        end = runs.get(start, m.end())
+        word = text[start:end]
+        bare = word.rstrip(TRIM) if start in runs else word.strip(TRIM)
+        if bare:
+            low = start + word.find(bare)
+            out.append((low, low + len(bare)))
     return out
 
 
-SCAN = "k1 bigint, k2 bigint, doc_id bigint, base array<struct<kind:string,s:int,e:int>>, found array<struct<pattern:string,instance:string,kind:string,s:int,e:int>>"
+def slot(pattern: str) -> int:
+    return zlib.crc32(pattern.encode("utf-8", "surrogatepass")) >> (32 - BITS)
+
+
+def seeds(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, str]]:
+    """(pattern, kind) of the base spans."""
+    return [(pattern, kind) for kind, start, _ in base if (pattern := context(text, start))]
+
+
+SCAN = "k1 bigint, k2 bigint, doc_id bigint, base array<struct<kind:string,s:int,e:int>>, seeds array<struct<pattern:string,kind:string>>"
+BASE = pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
+SEEDS = pa.list_(pa.struct([("pattern", pa.string()), ("kind", pa.string())]))
+FOUND = "k1 bigint, k2 bigint, pattern string, instance string, s int, e int, n bigint"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans and candidates of every whole text, one pass."""
+    """Base spans and their patterns of every whole text, one pass."""
     k1, k2 = row_key("doc_id", "text")
-    base_type = pa.list_(pa.struct([("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
-    found_type = pa.list_(pa.struct([("pattern", pa.string()), ("instance", pa.string()), ("kind", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bases, founds = [], []
+        bases, found = [], []
         for text in batch.column("text"):
             said = text.as_py() or ""
             base = base_spans(said)
             bases.append([dict(zip(("kind", "s", "e"), b, strict=True)) for b in base])
-            founds.append([dict(zip(("pattern", "instance", "kind", "s", "e"), c, strict=True)) for c in candidates(said, base)])
-        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("k1", "k2", "doc_id")], pa.array(bases, base_type), pa.array(founds, found_type)], ["k1", "k2", "doc_id", "base", "found"])
+            found.append([{"pattern": p, "kind": k} for p, k in seeds(said, base)])
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("k1", "k2", "doc_id")], pa.array(bases, BASE), pa.array(found, SEEDS)], ["k1", "k2", "doc_id", "base", "seeds"])
 
     slim = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return map_batches(slim, run, SCAN)
 
 
-def bootstrap(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, score): high-confidence patterns. Instances of seeds hold score 1; the score of a
-    pattern is the mean over its occurrences, the score of any other instance the mean over its
-    patterns; both are joins and sums over the graph's edges, written out each round."""
-    seen = scanned.dropDuplicates(["k1", "k2"]).select(F.explode("found").alias("f")).select("f.pattern", "f.instance", "f.kind")
-    edges = settle(seen.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "pii-edges")
-    # only patterns that a seed or a scored instance reaches matter; the others score 0
-    scores = edges.where("kind is not null").select("instance").distinct().withColumn("score", F.lit(1.0))
+def candidates(docs: DataFrame, slots: list[int]) -> DataFrame:
+    """Words after a pattern whose slot is set, one pass; with a null pattern, how often a batch has each
+    instance, whatever it follows."""
+    k1, k2 = row_key("doc_id", "text")
+    bits = np.zeros(1 << (BITS - 3), np.uint8)
+    np.bitwise_or.at(bits, np.array(slots, np.int64) >> 3, (1 << (np.array(slots, np.int64) & 7)).astype(np.uint8))
+    shared = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    shapes: dict[str, str] = {}
+
+    def shaped(word: str) -> str:
+        if (made := shapes.get(word)) is None:
+            if len(shapes) > CACHE:
+                shapes.clear()
+            made = shapes[word] = shape(word)
+        return made
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known, rows, counts = shared.value, [], Counter()
+        for a, b, text in zip(batch.column("k1"), batch.column("k2"), batch.column("text"), strict=True):
+            said, taken, at = text.as_py() or "", None, 0
+            for low, high in words(said):
+                if taken is None:
+                    taken = sorted((s, e) for _, s, e in base_spans(said))
+                while at < len(taken) and taken[at][1] <= low:
+                    at += 1
+                if any(s < high and low < e for s, e in taken[at : at + 8]):
+                    continue
+                counts[instance := shaped(said[low:high])] += 1
+                if (pattern := context(said, low)) and known[(i := slot(pattern)) >> 3] >> (i & 7) & 1:
+                    rows.append((a.as_py(), b.as_py(), pattern, instance, low, high, 1))
+        rows += [(None, None, None, i, None, None, n) for i, n in counts.items()]
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["k1", "k2", "pattern", "instance", "s", "e", "n"])
+
+    return map_batches(docs.select(k1.alias("k1"), k2.alias("k2"), "text"), run, FOUND)
+
+
+def bootstrap(seeded: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(pattern, kind, score): high-confidence patterns. Seeds hold score 1; the score of a pattern is the
+    mean over its seeds and candidates, the score of an instance the mean over all its occurrences."""
+    edges = settle(found.where("pattern is not null").groupBy("pattern", "instance").agg(F.count("*").alias("n")), "pii-edges")
+    instances = edges.select("instance").distinct()
+    every = settle(found.where("pattern is null").join(instances, "instance", "left_semi").groupBy("instance").agg(F.sum("n").alias("every")), "pii-every")
+    scores = instances.withColumn("score", F.lit(0.0))
     for _ in range(rounds):
-        patterns = edges.join(scores, "instance", "left").groupBy("pattern").agg((F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))) / F.sum("n")).alias("pattern_score"), F.sum("n").alias("support"))
-        patterns = settle(patterns.where("pattern_score > 0"), "pii-patterns")
-        instances = edges.where("kind is null").join(patterns, "pattern", "left").groupBy("instance").agg((F.sum(F.col("n") * F.coalesce("pattern_score", F.lit(0.0))) / F.sum("n")).alias("score"))
-        seeds = edges.where("kind is not null").select("instance").distinct().withColumn("score", F.lit(1.0))
-        scores = settle(instances.where("score > 0").union(seeds), "pii-scores")
-    kinds = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.sum("n").alias("n")).groupBy("pattern").agg(F.max(F.struct("n", F.col("kind"))).alias("top"))
-    strong = patterns.where((F.col("pattern_score") >= MIN_SCORE) & (F.col("support") >= MIN_SUPPORT))
-    return strong.join(kinds, "pattern").where(F.col("top.n") >= MIN_SUPPORT - 1).select("pattern", F.col("top.kind").alias("kind"), F.col("pattern_score").alias("score"))
+        open_ = edges.join(scores, "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("score")).alias("got"), F.sum("n").alias("n"))
+        both = seeded.join(open_, "pattern", "left")
+        support = F.col("n_seeds") + F.coalesce("n", F.lit(0))
+        patterns = settle(both.select("pattern", "kind", "top", support.alias("support"), ((F.col("n_seeds") + F.coalesce("got", F.lit(0.0))) / support).alias("score")), "pii-patterns")
+        sums = edges.join(patterns.select("pattern", "score"), "pattern").groupBy("instance").agg(F.sum(F.col("n") * F.col("score")).alias("got"))
+        scores = settle(sums.join(every, "instance").select("instance", (F.col("got") / F.col("every")).alias("score")), "pii-scores")
+    return patterns.where((F.col("score") >= MIN_SCORE) & (F.col("support") >= MIN_SUPPORT)).select("pattern", "kind", "score")
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """(doc_id, base, more): arrays of (kind, s, e) per row; more are the spans found by context."""
     scanned = settle(scan(docs), "pii-scan")
-    strong = settle(bootstrap(scanned), "pii-strong")
-    open_ = scanned.dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode("found").alias("f")).where("f.kind is null")
-    hits = open_.select("k1", "k2", F.col("f.pattern").alias("pattern"), F.col("f.s").alias("s"), F.col("f.e").alias("e")).join(strong, "pattern")
-    more = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("more"))
-    more = settle(more, "pii-more")
+    seen = scanned.dropDuplicates(["k1", "k2"]).select(F.explode("seeds").alias("f")).groupBy("f.pattern", "f.kind").agg(F.count("*").alias("n"))
+    seeded = seen.groupBy("pattern").agg(F.max(F.struct("n", "kind")).alias("m"), F.sum("n").alias("n_seeds"))
+    seeded = settle(seeded.select("pattern", F.col("m.kind").alias("kind"), F.col("m.n").alias("top"), "n_seeds").where(F.col("top") >= MIN_SUPPORT - 1), "pii-seeds")
+    bit = F.shiftrightunsigned(F.crc32(F.col("pattern").cast("binary")), 32 - BITS)
+    slots = [r.i for r in seeded.select(bit.alias("i")).distinct().collect()]  # at most 2 ** BITS
+    found = candidates(docs, slots).join(seeded.select("pattern").withColumn("_k", F.lit(1)), "pattern", "left").where("pattern is null or _k = 1").drop("_k")
+    found = settle(found, "pii-found")
+    unique = found.where("pattern is null").unionByName(found.where("pattern is not null").dropDuplicates(["k1", "k2", "s", "e"]))
+    strong = settle(bootstrap(seeded, unique), "pii-strong")
+    hits = unique.where("pattern is not null").select("k1", "k2", "pattern", "s", "e").join(strong, "pattern")
+    more = settle(hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("more")), "pii-more")
     empty = F.array().cast("array<struct<kind:string,s:int,e:int>>")
     return scanned.select("k1", "k2", "doc_id", "base").join(more, ["k1", "k2"], "left").select("doc_id", "base", F.coalesce("more", empty).alias("more"))
 

@@ -131,3 +131,16 @@ def test_contexts_find_unseen_identifiers(spark, make_docs):
     got = {r.doc_id: r for r in pii.digest(make_docs(rows)).collect()}
     assert all(got[100 + i].n_more == 1 and got[100 + i].spans == f"email:22:{22 + len(f'staff-{i}70011')}" for i in range(3))
     assert all(got[200 + i].n_more == 0 for i in range(9)) and all(got[i].n_email == 1 for i in range(12))
+
+
+def test_contexts_find_words_without_digits_and_runs_of_groups(spark, make_docs):
+    rows = [(i, f"hello please write to user{i}@mail{i}.org today") for i in range(12)]
+    rows += [(50 + i, f"or you ring me on +44 20 7946 {1000 + i}, thanks") for i in range(12)]
+    odd = ["jane.doe(at)corp.example", "bob@localhost"]
+    rows += [(100 + i, f"hello please write to {w} today") for i, w in enumerate(odd)]
+    runs = ["020 7946 0958", "(555) 010-9999"]
+    rows += [(200 + i, f"or you ring me on {w}, thanks") for i, w in enumerate(runs)]
+    got = {r.doc_id: r for r in pii.digest(make_docs(rows)).collect()}
+    assert [got[100 + i].spans for i in range(2)] == [f"email:22:{22 + len(w)}" for w in odd]
+    assert [got[200 + i].spans for i in range(2)] == [f"phone:18:{18 + len(w)}" for w in runs]
+    assert all(got[i].n_more == 0 for i in [*range(12), *range(50, 62)])
