@@ -205,27 +205,100 @@ AUDIT_PATTERNS = {
     },
 }
 DETECT = {
-    "has_race": r"\b(?:african[- ]?american|black|caucasian|white|hispanic|latino|latina|asian|native american|american indian|alaska native|ashkenazi|middle eastern|arab)\b",
-    "has_relationship_cue": r"\b(?:husband|wife|boyfriend|girlfriend|partner|spouse)\b",
-    "has_insurance": r"\b(?:insured|uninsured|insurance|medicaid|medicare|privately insured)\b",
-    "has_sex_gender": r"\b(?:male|female|man|woman|boy|girl)\b",
-    "has_age": r"\b\d{1,3}[- ]?year[- ]?old\b",
+    "has_race": [
+        r"\b(?:african[- ]?american|black)\b",
+        r"\b(?:caucasian|white)\b",
+        r"\b(?:hispanic|latino|latina)\b",
+        r"\basian\b",
+        r"\b(?:native american|american indian|alaska native)\b",
+        r"\bashkenazi\b",
+        r"\b(?:middle eastern|arab)\b",
+    ],
+    "has_relationship_cue": [
+        r"\bhusband\b",
+        r"\bwife\b",
+        r"\bboyfriend\b",
+        r"\bgirlfriend\b",
+        r"\bpartner\b",
+        r"\bspouse\b",
+    ],
+    "has_insurance": [r"\b(?:insured|uninsured|insurance|medicaid|medicare|privately insured)\b"],
+    "has_sex_gender": [r"\b(?:male|female|man|woman|boy|girl)\b"],
+    "has_age": [r"\b\d{1,3}[- ]?year[- ]?old\b"],
 }
-STATISTICS_WORDS = [rf"\b{w}\b" for w in (
-    "confidence interval", "p-value", "sensitivity", "specificity", "positive predictive value", "negative predictive value", "sample size",
-    "standard deviation", "mean", "median", "odds ratio", "relative risk", "study design", "randomized", "cohort", "case-control",
-    "cross-sectional", "biostatistics", "epidemiology", "researcher",
-)]
-CLINICAL_WORDS = [rf"\b{w}\b" for w in (
-    "patient", "presents", "comes to the", "brought to the", "history of", "physical exam", "lab(?:oratory)?", "temperature", "pulse",
-    "blood pressure", "gestation", "clinic", "emergency",
-)]
-ANATOMY_WORDS = [rf"\b{w}\b" for w in (
-    "pregnancy", "pregnant", r"menstruat\w*", "menstrual", r"ovari\w*", r"uter\w*", "cervix", "cervical", "prostate", "testes", "testicular",
-    "penis", "vaginal bleeding", "breast-?feeding", "lactation", "lactating", "ovarian cancer", "testicular torsion", r"endometri\w*",
-    "estrogen", "testosterone", "reproductive", r"menopaus\w*", "gestational", "gestation", "trimester", "fetus", "fetal", r"placent\w*",
-    "breast mass", r"mammogra\w*", "pap smear", "psa", r"polycystic ovar\w*",
-)]
+STATISTICS_WORDS = [
+    r"\bconfidence interval\b",
+    r"\bp-value\b",
+    r"\bsensitivity\b",
+    r"\bspecificity\b",
+    r"\bpositive predictive value\b",
+    r"\bnegative predictive value\b",
+    r"\bsample size\b",
+    r"\bstandard deviation\b",
+    r"\bmean\b",
+    r"\bmedian\b",
+    r"\bodds ratio\b",
+    r"\brelative risk\b",
+    r"\bstudy design\b",
+    r"\brandomized\b",
+    r"\bcohort\b",
+    r"\bcase-control\b",
+    r"\bcross-sectional\b",
+    r"\bbiostatistics\b",
+    r"\bepidemiology\b",
+    r"\bresearcher\b",
+]
+CLINICAL_WORDS = [
+    r"\bpatient\b",
+    r"\bpresents\b",
+    r"\bcomes to the\b",
+    r"\bbrought to the\b",
+    r"\bhistory of\b",
+    r"\bphysical exam\b",
+    r"\blab(?:oratory)?\b",
+    r"\btemperature\b",
+    r"\bpulse\b",
+    r"\bblood pressure\b",
+    r"\bgestation\b",
+    r"\bclinic\b",
+    r"\bemergency\b",
+]
+ANATOMY_WORDS = [
+    r"\bpregnancy\b",
+    r"\bpregnant\b",
+    r"\bmenstruat\w*\b",
+    r"\bmenstrual\b",
+    r"\bovari\w*\b",
+    r"\buter\w*\b",
+    r"\bcervix\b",
+    r"\bcervical\b",
+    r"\bprostate\b",
+    r"\btestes\b",
+    r"\btesticular\b",
+    r"\bpenis\b",
+    r"\bvaginal bleeding\b",
+    r"\bbreast-?feeding\b",
+    r"\blactation\b",
+    r"\blactating\b",
+    r"\bovarian cancer\b",
+    r"\btesticular torsion\b",
+    r"\bendometri\w*\b",
+    r"\bestrogen\b",
+    r"\btestosterone\b",
+    r"\breproductive\b",
+    r"\bmenopaus\w*\b",
+    r"\bgestational\b",
+    r"\bgestation\b",
+    r"\btrimester\b",
+    r"\bfetus\b",
+    r"\bfetal\b",
+    r"\bplacent\w*\b",
+    r"\bbreast mass\b",
+    r"\bmammogra\w*\b",
+    r"\bpap smear\b",
+    r"\bpsa\b",
+    r"\bpolycystic ovar\w*\b",
+]
 
 # ---------------------------------------------------------------------------
 # Our own: patterns that occur in the driver's invented prose.

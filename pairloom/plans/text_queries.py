@@ -80,14 +80,15 @@ def age_extract(spark, sf_dir):
 
 
 def _detect_sql() -> str:
-    flags = ", ".join(f"count(*) filter (where regexp_matches({LOW}, '{p}')) as {n}" for n, p in R.DETECT.items())
+    either = lambda ps: " or ".join(f"regexp_matches({LOW}, '{p}')" for p in ps)
+    flags = ", ".join(f"count(*) filter (where {either(ps)}) as {n}" for n, ps in R.DETECT.items())
     return f"select lang, {flags} from documents group by lang"
 
 
 @query("STR3", _detect_sql())
 def detect_flags(spark, sf_dir):
     low = F.lower("text")
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(*[F.count_if(low.rlike(p)).alias(n) for n, p in R.DETECT.items()])
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(*[F.count_if(low.rlike(X.any_of(ps))).alias(n) for n, ps in R.DETECT.items()])
 
 
 @query(
