@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import tempfile
 import uuid
+import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,17 +39,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_process(spark: SparkSession) -> bool:
+    """Whether driver and executors are one JVM, so that a local folder is a shared one."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a local default takes its place.
+    Read from ``spark.checkpoint.dir``; only where that is unset and the session is
+    of one process (tests, one machine) a local default takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
+        if not one_process(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file:///tmp/pairloom-checkpoints"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -65,25 +75,38 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Within, the shuffle files of an action go when it ends. Its results are written out, so
+    nothing reads them again."""
+    had = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, had) if had is not None else spark.conf.unset(FREED)
+
+
 def settle(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, so that a
-    lost executor costs only the running stage, and gives both sides of a later join
-    exchanges of their own, which AQE can split when a key is hot."""
+    lost executor costs only the running stage, gives both sides of a later join
+    exchanges of their own, which AQE can split when a key is hot, and frees the shuffle files."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    with freed_shuffles(spark):
+        df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._settled_path = path
     return back
 
 
 def release(spark: SparkSession, *paths: str) -> None:
-    """Delete settled tables that no later step reads, and let Spark drop the shuffle files of plans
-    that are out of use."""
+    """Delete settled tables that no later step reads."""
     for path in paths:
         drop_path(spark, path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
 
 def settled_path(df: DataFrame) -> str:
@@ -107,10 +130,26 @@ class Scratch:
         self.paths = []
 
 
+_shipped: set[str] = set()
+
+
 def worker_path(spark: SparkSession) -> None:
-    """Let Python workers started by this session import this package from its folder."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    """Let Python workers import this package: from its folder where they run on the driver's machine,
+    else from an archive that Spark sends to every executor, once for an application."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    if one_process(spark):
+        env = spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if os.path.dirname(root) not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([os.path.dirname(root), *paths])
+        return
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    archive = os.path.join(tempfile.mkdtemp(), "pairloom.zip")  # on the driver; Spark's file server sends it
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(full := os.path.join(folder, name), os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(spark.sparkContext.applicationId)
