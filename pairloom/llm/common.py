@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.session import worker_path
+from pairloom.session import Scratch, worker_path
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -47,6 +48,23 @@ def row_key(*columns: str) -> tuple[Column, Column]:
     return F.xxhash64(*parts), F.xxhash64(F.lit("second"), *reversed(parts))
 
 
+def split_twins(keyed: DataFrame, a: str, b: str, twins: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose key (a, b) isn't in ``twins``, one row for each key that is, with ``copies``, their
+    number). Copies meet as partial aggregates, so a key that a third of the rows have stays
+    divisible. Which of the twins' rows stands for them is open: they share id and text."""
+    if twins is None:
+        return keyed, None
+    own = F.struct(*[F.col(f"`{c}`") for c in keyed.columns])
+    one = keyed.join(twins, [a, b], "left_semi").groupBy(a, b).agg(F.first(own).alias("row"), F.count("*").alias("copies"))
+    return keyed.join(twins, [a, b], "left_anti"), one.select("row", "copies")
+
+
+def twin_keys(keys: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame | None:
+    """The keys that several rows of ``keys`` (a, b) have; None if there are none."""
+    found = scratch.settle(keys.groupBy(a, b).agg(F.count("*").alias("n")).where("n > 1").select(a, b), "twins")
+    return None if found.isEmpty() else found
+
+
 def fresh(taken: list[str], *names: str) -> list[str]:
     """The names, lengthened until no column of a table (whatever its case) has them."""
     have, out = {t.lower() for t in taken}, []
@@ -82,3 +100,24 @@ def unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
     """The UTF-8 texts of a batch with ``size`` and ``blob``, one at a time; null as empty."""
     for size, blob in zip(batch.column("size"), batch.column("blob"), strict=True):
         yield pa.decompress(blob.as_buffer(), size.as_py(), "zstd", asbytes=True) if blob.is_valid and size.as_py() else b""
+
+
+BITMAP_ROWS = 1024
+
+
+def bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """A bitmap of 2^25 bits (4 MB, however many keys there are) of a column of hashes, for
+    :func:`in_bitmap`. Spark sets the bits; 1,024 rows of 4 KB at most come to the driver."""
+    place = F.pmod(key, F.lit(BITMAP_ROWS)).cast("int")
+    bit = F.pmod(F.shiftrightunsigned(key, 10), F.lit(32768)).cast("int")
+    out = np.zeros((BITMAP_ROWS, 4096), np.uint8)
+    for row in keys.groupBy(place.alias("place")).agg(F.bitmap_construct_agg(bit).alias("bits")).collect():
+        out[row.place] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be among the keys: all that are, few others while the keys are far fewer than the bits."""
+    h = h.view(np.uint64)
+    bit = (h >> np.uint64(10)).astype(np.int64) & 32767
+    return (bits[(h & np.uint64(BITMAP_ROWS - 1)).astype(np.int64), bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0

@@ -32,17 +32,23 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ h >> np.uint64(31)
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each word, hash of each word). Words are runs outside \\x20 and \\x09-\\x0D."""
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end and hash of each word). Words are runs outside \\x20 and \\x09-\\x0D."""
     codes = np.frombuffer(data, np.uint8)
     inside = np.concatenate(([False], ~SPACE[codes], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[::2], edges[1::2]
     if not len(start):
-        return start, np.zeros(0, np.uint64)
+        return start, end, np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _power(B, len(codes)), dtype=np.uint64)))
-        return start, mix((total[end] - total[start]) * _power(B_INVERSE, len(codes))[start] ^ (end - start).astype(np.uint64))
+        return start, end, mix((total[end] - total[start]) * _power(B_INVERSE, len(codes))[start] ^ (end - start).astype(np.uint64))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start of each word, hash of each word)."""
+    start, _, h = words_of(data)
+    return start, h
 
 
 def combine(words: np.ndarray) -> np.uint64 | np.ndarray:
