@@ -14,13 +14,18 @@ else, in the same text or another one.
    (Larsson-Sadakane refinement), Kasai's walk gives their common prefixes. A
    string that reaches l bytes to the left of the anchor is repeated if another
    context agrees on l bytes to the left and LENGTH - 32 - l to the right.
-4. An anchor with too many different contexts for a shard is spread over several,
-   and any two of these are merged by binary search.
+4. An anchor with too many different contexts for a shard is spread over up to
+   ``MOST_PARTS``, and any two of these are merged by binary search. One with more
+   is told apart by longer strings: of two contexts that share a string, half of
+   what lies around the anchor is equal on the left or on the right, so each goes
+   into two groups by these halves, and again while a group is too large. At the
+   end all of the string is equal, so a context is in at most ``LENGTH`` groups.
 5. The runs found are gathered per document, merged and cut out.
 
 Defined results: null and empty texts and texts shorter than ``LENGTH`` bytes
 lose nothing. Twin rows (equal id and text) are copies of each other like any
-equal texts. Other columns are ignored.
+equal texts; their places are gathered once for all of them. Texts of any length
+are taken whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +41,12 @@ from pairloom.llm import suffix_arrays as sa
 from pairloom.llm.anchors import WIDTH, leftmost_minima, window_hashes
 from pairloom.llm.common import map_batches, packed, row_key, unpacked
 from pairloom.llm.shingles import B, B_INVERSE, _power, mix
-from pairloom.session import release, settle, settled_path, worker_path
+from pairloom.session import Scratch, worker_path
 
 LENGTH = 200
 REACH = LENGTH - WIDTH
 CHUNK = 1 << 20
-SHARD_CONTEXTS, SPLIT_CONTEXTS = 20_000, 4096
+SHARD_CONTEXTS, SPLIT_CONTEXTS, MOST_PARTS = 20_000, 2048, 4
 
 
 def anchor_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,10 +91,15 @@ def contexts(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """(a, ctx, left, data, ns) for wanted places (k1, k2, p, a, ctx, ns); left tells how many bytes of
     the context lie before the anchor."""
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "a", "ctx", "ns")).alias("want"))
-    found = packed(keyed, "k1", "k2").join(lists, ["k1", "k2"]).select("size", "blob", "want")
+    # merged, twins come one after the other, and one of them is enough
+    found = packed(keyed, "k1", "k2").join(lists.hint("merge"), ["k1", "k2"]).select("k1", "k2", "size", "blob", "want")
+    last: list[tuple[int, int]] = [(0, 0)]
 
     def run(batch: pa.RecordBatch):
-        for data, want in zip(unpacked(batch), batch.column("want"), strict=True):
+        for k1, k2, data, want in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), unpacked(batch), batch.column("want"), strict=True):
+            if last[0] == (k1, k2):
+                continue
+            last[0] = (k1, k2)
             fields = pa.RecordBatch.from_struct_array(want.values)
             places = fields.column("p").to_pylist()
             cut = [data[max(0, p - REACH) : p + LENGTH] for p in places]
@@ -177,49 +187,84 @@ def runs_of(reach: np.ndarray) -> list[int]:
 
 
 def shard_results(found: DataFrame, total: int) -> DataFrame:
-    """(a, ctx, runs) for contexts with a string repeated in another context of their anchor."""
+    """(a, ctx, runs) for contexts with a string repeated in another context of their group: those of one
+    ``key``, which no more than ``MOST_PARTS`` shards hold."""
     worker_path(found.sparkSession)
     shards = max(1, -(-total // SHARD_CONTEXTS))
     own = F.when(F.col("ns") > 1, F.pmod(F.xxhash64("ctx"), F.col("ns"))).otherwise(0).cast("int")
-    hot = F.when(F.col("ns") > 1, F.col("a"))
-    bucket = F.when(F.col("ns") > 1, -1).otherwise(F.pmod(F.xxhash64("a"), F.lit(shards))).cast("int")
+    hot = F.when(F.col("ns") > 1, F.col("key"))
+    bucket = F.when(F.col("ns") > 1, -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(shards))).cast("int")
     placed = found.withColumns({"own": own, "hot": hot, "bucket": bucket})
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ns") - 1)))
-    rows = other.select("bucket", "hot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "ctx", "left", "data")
+    rows = other.select("bucket", "hot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "a", "ctx", "left", "data")
 
     def run(group: pa.Table) -> pa.Table:
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         own = group["own"].to_numpy()
-        reach = repeated_reach(group["a"].to_numpy(), group["left"].to_numpy().astype(np.int64), group["data"].to_pylist(), None if i == j else (own == j).astype(np.int64))
+        reach = repeated_reach(group["key"].to_numpy(), group["left"].to_numpy().astype(np.int64), group["data"].to_pylist(), None if i == j else (own == j).astype(np.int64))
         hit = np.flatnonzero(reach.any(axis=1))
         return pa.table({"a": group["a"].take(hit), "ctx": group["ctx"].take(hit), "runs": pa.array([runs_of(reach[r]) for r in hit], pa.list_(pa.int32()))})
 
     return rows.groupBy("bucket", "hot", "i", "j").applyInArrow(run, "a bigint, ctx bigint, runs array<int>")
 
 
+def parts_of(n):
+    return F.ceil(n / SPLIT_CONTEXTS).cast("int")
+
+
+def narrowed(hot: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """For contexts (a, ctx, left, data) of anchors with very many: (groups by longer shared strings that
+    shards can hold, runs of those that share a whole string). ``x`` and ``y`` are the bytes before and
+    behind the anchor that a group shares."""
+    rows = hot.select("a", "ctx", "left", "data", F.lit(0).alias("x"), F.lit(0).alias("y"))
+    small = whole = None
+    while not rows.isEmpty():
+        half = F.ceil((F.lit(REACH) - F.col("x") - F.col("y")) / 2).cast("int")
+        two = F.explode(F.array(F.struct((F.col("x") + half).alias("x"), F.col("y").alias("y")), F.struct(F.col("x").alias("x"), (F.col("y") + half).alias("y"))))
+        kids = rows.select("a", "ctx", "left", "data", two.alias("s")).select("a", "ctx", "left", "data", "s.x", "s.y")
+        kids = kids.where((F.col("left") >= F.col("x")) & (F.octet_length("data") - F.col("left") - WIDTH >= F.col("y")))
+        shared = F.substring("data", F.col("left") - F.col("x") + 1, F.col("x") + F.col("y") + WIDTH)
+        kids = scratch.settle(kids.withColumn("key", F.xxhash64("a", "x", "y", shared)), "sa-kids")
+        sizes = scratch.settle(kids.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sa-sizes")
+        kids = kids.join(sizes, "key")
+        full = F.col("x") + F.col("y") >= REACH
+        fits = parts_of(F.col("n")) <= MOST_PARTS
+        ended = kids.where(full).select("a", "ctx", F.array(-F.col("x"), F.lit(LENGTH) - F.col("x")).alias("runs"))
+        held = kids.where(~full & fits).select("key", "a", "ctx", "left", "data", parts_of(F.col("n")).alias("ns"))
+        whole, small = (ended, held) if whole is None else (whole.union(ended), small.union(held))
+        rows = scratch.settle(kids.where(~full & ~fits).select("a", "ctx", "left", "data", "x", "y"), "sa-hot")
+    return small, whole
+
+
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(k1, k2, whole, parts) per document: places of anchors all of whose strings are repeated, and
     runs (starts and ends in turn, absolute) of the others."""
     spark = docs.sparkSession
+    scratch, last = Scratch(spark), Scratch(spark)
     k1, k2 = row_key("doc_id", "text")
     keyed = docs.where(F.octet_length("text") >= LENGTH).select(k1.alias("k1"), k2.alias("k2"), "text")
-    every = settle(anchors(keyed), "sa-anchors")
-    often = settle(every.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "sa-often")
-    met = settle(every.join(often, "a"), "sa-met")
-    release(spark, settled_path(every))
-    same = settle(met.groupBy("a", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "p")).alias("rep")), "sa-same")
-    several = settle(same.groupBy("a").agg(F.count("*").alias("g")).where("g > 1"), "sa-several")
-    mixed = settle(same.join(several, "a").select("rep.*", "a", "ctx", "n", F.ceil(F.col("g") / SPLIT_CONTEXTS).cast("int").alias("ns")), "sa-mixed")
-    release(spark)
-    total = mixed.count()
-    partly = settle(shard_results(contexts(keyed, mixed.drop("n")), total), "sa-parts")
-    release(spark)
+    first = Scratch(spark)
+    every = first.settle(anchors(keyed), "sa-anchors")
+    often = first.settle(every.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "sa-often")
+    met = scratch.settle(every.join(often, "a"), "sa-met")
+    first.clear()
+    same = scratch.settle(met.groupBy("a", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "p")).alias("rep")), "sa-same")
+    several = scratch.settle(same.groupBy("a").agg(F.count("*").alias("g")).where("g > 1"), "sa-several")
+    mixed = scratch.settle(same.join(several, "a").select("rep.*", "a", "ctx", "n", parts_of(F.col("g")).alias("ns")), "sa-mixed")
+    counts = mixed.agg(F.count("*"), F.count_if(F.col("ns") > MOST_PARTS)).first()
+    found = contexts(keyed, mixed.drop("n").where(F.col("ns") <= MOST_PARTS)).withColumn("key", F.col("a"))
+    partly = scratch.settle(shard_results(found, counts[0]), "sa-parts")
+    if counts[1]:
+        hot = scratch.settle(contexts(keyed, mixed.drop("n").where(F.col("ns") > MOST_PARTS)), "sa-hot")
+        small, ended = narrowed(hot, scratch)
+        partly = partly.union(scratch.settle(shard_results(small, 2 * counts[1]), "sa-parts")).union(ended)
+    # places as a set: twins have the same
     whole = met.join(same.where("n > 1").select("a", "ctx"), ["a", "ctx"], "left_semi")
-    whole = whole.groupBy("k1", "k2").agg(F.collect_list("p").alias("whole"))
+    whole = whole.groupBy("k1", "k2").agg(F.collect_set("p").alias("whole"))
     absolute = F.transform("runs", lambda r: r + F.col("p"))
     alone = mixed.where("n = 1").join(partly, ["a", "ctx"]).groupBy("k1", "k2").agg(F.flatten(F.collect_list(absolute)).alias("parts"))
-    runs = settle(whole.join(alone, ["k1", "k2"], "full_outer"), "sa-runs")
-    release(spark, settled_path(met), settled_path(same), settled_path(mixed), settled_path(partly))
+    runs = last.settle(whole.join(alone, ["k1", "k2"], "full_outer"), "sa-runs")
+    scratch.clear()
     return runs
 
 
