@@ -7,10 +7,13 @@ repeats cover, merged, are removed.
 
 Defined results: a null text has no lines and stays null; documents of fewer
 than three lines have no window and stay whole; lines are compared exactly and
-blank lines count. Twin rows (equal doc_id and text) are one document and share
-its result; rows that only share an id are told apart by their text. A null id
-orders after all others. Columns besides doc_id and text are carried by
-:func:`remove_repeats` and never looked at.
+blank lines count. Of twin rows (equal doc_id and text) one has the first
+occurrences; in the others every window is a repeat, so of three lines or more
+none stays. Twins count as one row and its copies, so where they differ in other
+columns those of one row are given for all. Rows that only share an id are told
+apart by their text. A null id orders after all others. Columns besides doc_id and
+text are carried by :func:`remove_repeats` and never looked at. A text of any
+length is one row of lines, its windows go through the shuffle as 40 bytes each.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import row_key
-from pairloom.session import settle
+from pairloom.llm.common import row_key, split_twins, twin_keys
+from pairloom.session import Scratch, settle
 
 WINDOW = 3
 LAST = 2**63 - 1
@@ -65,12 +68,19 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, counts: tuple[str, str]
     """All columns of ``docs`` with the shortened text, and the numbers of lines and of removed lines
     under the names of ``counts``, which ``docs`` must not have."""
     k1, k2 = row_key("doc_id", "text")
-    own = F.struct(*[F.col(c) for c in docs.columns])
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(own.alias("row"), k1.alias("k1"), k2.alias("k2"), F.col("text").alias("text"))
-    joined = keyed.join(covered(docs, size), ["k1", "k2"], "left")
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    out = joined.select("row", "text", gone.alias("gone"), F.split("text", "\n", -1).alias("lines"))
+    twins = twin_keys(docs.where("text is not null").select(k1.alias("k1"), k2.alias("k2")), "k1", "k2", Scratch(docs.sparkSession))
+    single, one = split_twins(keyed, "k1", "k2", twins)
+    numbered = single.withColumn("copy", F.lit(1).cast("bigint"))
+    if one is not None:
+        numbered = numbered.unionByName(one.select("row.*", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")))
+    joined = numbered.join(covered(docs, size), ["k1", "k2"], "left")
+    out = joined.select("row", "text", "copy", F.col("gone").alias("found"), F.split("text", "\n", -1).alias("lines"))
     count = F.coalesce(F.size("lines"), F.lit(0))
+    none = F.array().cast("array<int>")
+    every = F.when(count >= size, F.sequence(F.lit(0), count - 1)).otherwise(none)
+    out = out.withColumn("gone", F.when(F.col("copy") > 1, every).otherwise(F.coalesce("found", none)))
     stay = F.array_except(F.when(count > 0, F.sequence(F.lit(0), count - 1)), "gone")  # hashed: linear in the lines
     text = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
     shorter = out.select("row", count.cast("bigint").alias("n_lines"), F.size("gone").cast("bigint").alias("n_removed"), text.alias("shorter"))

@@ -24,8 +24,9 @@ about 1e-5, since all bounds are four standard errors away from it.
 Defined results: null and empty texts and texts without words have no shingle,
 are linked with nothing and are their own group. Rows with a null id take part;
 they name no group unless no member has an id (then component_id is null, and
-they are kept). Rows that repeat an id are all kept or all dropped. Other
-columns are ignored.
+they are kept). Rows that share an id and are in one group are all kept or all
+dropped by :func:`groups`; :func:`drop_copies` keeps one of twin rows (equal id and
+text). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import fresh, map_batches, packed, row_key, unpacked
+from pairloom.llm.common import fresh, map_batches, packed, row_key, split_twins, twin_keys, unpacked
 from pairloom.llm.components import components
 from pairloom.llm.shingles import shingle_sets
 from pairloom.session import Scratch, release, settle, worker_path
@@ -279,9 +280,15 @@ def digest(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, all columns. Of twin rows of a kept
-    document all stay."""
+    """The rows of ``docs`` that stay: one document of each group, all columns; of twin rows (equal id and
+    text) one."""
     k1, k2 = row_key("doc_id", "text")
     a, b = fresh(docs.columns, "k1", "k2")
-    dropped = groups(docs.select("doc_id", "text"), size, percent).where(~F.col("kept")).select(F.col("k1").alias(a), F.col("k2").alias(b)).distinct()
-    return docs.withColumns({a: k1, b: k2}).join(dropped, [a, b], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.settle(groups(docs.select("doc_id", "text"), size, percent).select(F.col("k1").alias(a), F.col("k2").alias(b), "kept"), "nd-found")
+    dropped = found.where(~F.col("kept")).select(a, b).distinct()
+    left = docs.withColumns({a: k1, b: k2}).join(dropped, [a, b], "left_anti")
+    single, one = split_twins(left, a, b, twin_keys(found.where("kept").select(a, b), a, b, scratch))
+    if one is not None:
+        single = single.unionByName(one.select("row.*"))
+    return single.select(*[F.col(f"`{c}`") for c in docs.columns])

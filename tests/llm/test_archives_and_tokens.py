@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import os
 import random
+import resource
+import time
 
 import pytest
 import sentencepiece as spm
@@ -158,8 +160,10 @@ def test_no_match_spans_two_documents_and_blocks_agree(spark, make_docs, monkeyp
     halves = [(1, item[:33]), (2, item[33:]), (3, "x " + item)]
     bench = spark.createDataFrame([(1, item)] + [(i, f"another item number {i} of some length {i * 7919}") for i in range(2, 30)], "item_id bigint, text string")
     one = sorted((r.doc_id, r.item_id) for r in decontamination.find(make_docs(halves), bench).collect())
+    left = sorted(r.doc_id for r in decontamination.clean(make_docs(halves), bench).collect())
     monkeypatch.setattr(decontamination, "BLOCK_CHARS", 200)
     assert one == sorted((r.doc_id, r.item_id) for r in decontamination.find(make_docs(halves), bench).collect()) == [(3, 1)]
+    assert left == sorted(r.doc_id for r in decontamination.clean(make_docs(halves), bench).collect()) == [1, 2]
 
 
 def test_parts_of_items_at_any_offset(spark):
@@ -175,6 +179,32 @@ def test_parts_of_items_at_any_offset(spark):
     assert not decontamination.search([around * 9], patterns)
 
 
+def test_runs_and_white_space_are_folded():
+    item = "a question on\u2003rules " + "-" * 100 + "  and\n\n" + " " * 247 + "what stands behind them, in full"
+    patterns = decontamination.Patterns([(1, item), (2, "rows " + "-=" * 100 + " end of the rows")])
+    for text in (item.replace(" ", "\u2009"), "x " + item.upper() + " y", " ".join(item.split())):
+        assert [r[1:3] for r in decontamination.search([text], patterns)] == [(1, 0)]
+    started = time.perf_counter()
+    assert decontamination.search([" " * 10_000_000, "-" * 10_000_000], patterns) == []
+    assert [r[:3] for r in decontamination.search(["-=" * 20_000], patterns)] == [(0, 2, 0)]  # its parts are found
+    assert time.perf_counter() - started < 30 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 3 << 20
+
+
+def test_short_items_are_sought_verbatim(spark, make_docs):
+    bench = spark.createDataFrame([(1, "What is it?"), (2, " what  IS it? "), (3, " \n"), (4, None)], "item_id bigint, text string")
+    docs = make_docs([(1, "so: WHAT is\nit? yes"), (2, "somewhat is it?"), (3, "what is it"), (4, None)])
+    assert sorted((r.doc_id, r.item_id, r.edits, r.match_end) for r in decontamination.find(docs, bench).collect()) == [(1, 1, 0, 15), (1, 2, 0, 15)]
+    assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [2, 3, 4]
+
+
+def test_lots_change_nothing(spark, monkeypatch):
+    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
+    texts = [r.text for r in table(spark, SF, "documents").orderBy("doc_id").limit(300).collect()] + ["".join(t for _, t in items) * 3]
+    want = decontamination.search(texts, decontamination.Patterns(items))
+    monkeypatch.setattr(decontamination, "LOT", 50)
+    assert decontamination.search(texts, decontamination.Patterns(items)) == want
+
+
 # ---------------------------------------------------------------- pipeline
 
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.llm import anchors, line_dedup, near_duplicates, shingles, substring_dedup, suffix_arrays
 from pairloom.session import table
@@ -33,7 +34,7 @@ def brute_components(rows, k, percent):
     for n, (_, s) in enumerate(sets):
         for x in s:
             inverted[x].append(n)
-    pairs = {(a, b) for v in inverted.values() for a in v for b in v if a < b and len(v) < 400}
+    pairs = {(a, b) for v in inverted.values() for a in v for b in v if a < b}
     for a, b in pairs:
         both = len(sets[a][1] & sets[b][1])
         if 100 * both >= percent * (len(sets[a][1]) + len(sets[b][1]) - both):
@@ -87,6 +88,12 @@ def test_one_of_each_group_stays(spark, make_docs):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == make_docs([]).columns
 
 
+def test_one_of_twin_rows_stays(spark, make_docs):
+    rows = [(1, "one text of a few words")] * 5 + [(2, "one text of a few words"), (3, None), (3, None), (4, ""), (1, "another text with the same id")]
+    kept = sorted((r.doc_id, r.text or "") for r in near_duplicates.drop_copies(make_docs(rows)).collect())
+    assert kept == [(1, "another text with the same id"), (1, "one text of a few words"), (3, ""), (4, "")]
+
+
 def test_shingle_counts_and_equality():
     texts = ["", None, "a", "A b", "x y z x y z x y z", " \x1c b c", "é É é"]
     got = list(shingles.shingle_sets(texts, 3))
@@ -122,9 +129,11 @@ def string_rows(seed=1):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("split", [4096, 8])
-def test_strings_against_brute_force(spark, make_docs, monkeypatch, split):
+@pytest.mark.parametrize("split,parts", [(2048, 4), (8, 99), (8, 2), (2, 1)])
+def test_strings_against_brute_force(spark, make_docs, monkeypatch, split, parts):
+    """Whole anchors; anchors over shards that are merged; anchors told apart by longer strings."""
     monkeypatch.setattr(substring_dedup, "SPLIT_CONTEXTS", split)
+    monkeypatch.setattr(substring_dedup, "MOST_PARTS", parts)
     rows = string_rows()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.digest(make_docs(rows)).collect()}
     assert got == brute_strings([(i, t.encode()) for i, t in rows])
@@ -136,6 +145,17 @@ def test_kept_bytes(spark, make_docs):
     assert got == {1: b"qqqqq", 2: b"r"}
 
 
+def test_places_of_twins_are_gathered_once(spark, make_docs):
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
+    rows = [(1, text)] * 200 + [(2, text[:5000] + "x" + text[5000:]), (3, "short")]
+    docs = make_docs(rows)
+    runs = {r.n for r in substring_dedup.repeated_runs(docs.select("doc_id", "text")).selectExpr("size(whole) as n").collect()}
+    assert max(runs) < 1000  # one list for all twins, of a text's own places
+    got = substring_dedup.digest(docs).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got} == {(1, 20000, 20000, 1), (2, 20001, 20000, 2), (3, 5, 0, 0)} and len(got) == 202
+
+
 def test_suffix_order_and_common_prefixes():
     rng = np.random.default_rng(5)
     for n, width, letters in ((1, 1, 2), (30, 6, 2), (50, 4, 3), (40, 22, 1)):
@@ -181,6 +201,15 @@ def test_lines_against_brute_force(spark, make_docs):
     assert got == brute_lines(rows)
 
 
+def test_lines_of_twin_rows(spark, make_docs):
+    text = "\n".join(f"line {i}" for i in range(40))
+    docs = make_docs([(2, text)] * 3 + [(3, text), (4, "a\nb"), (4, "a\nb"), (5, None), (5, None)]).withColumn("extra", F.lit("x"))
+    out = line_dedup.remove_repeats(docs)
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.text or "") for r in out.collect())
+    assert got == [(2, 40, 0, text), (2, 40, 40, ""), (2, 40, 40, ""), (3, 40, 40, ""), (4, 2, 0, "a\nb"), (4, 2, 0, "a\nb"), (5, 0, 0, ""), (5, 0, 0, "")]
+    assert out.where("extra <> 'x'").count() == 0
+
+
 def test_lines_run_without_python(spark, capsys):
     line_dedup.digest(table(spark, SF, "documents")).explain("formatted")
     plan = capsys.readouterr().out

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.llm import language_id, pii, quality_divergence, toxicity
-from pairloom.session import table
+from pairloom.session import Scratch, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -144,3 +144,51 @@ def test_contexts_find_words_without_digits_and_runs_of_groups(spark, make_docs)
     assert [got[100 + i].spans for i in range(2)] == [f"email:22:{22 + len(w)}" for w in odd]
     assert [got[200 + i].spans for i in range(2)] == [f"phone:18:{18 + len(w)}" for w in runs]
     assert all(got[i].n_more == 0 for i in [*range(12), *range(50, 62)])
+
+
+def test_secrets_are_found_by_context(spark):
+    docs = table(spark, SF, "documents")
+    got = pii.digest(docs).join(docs.select("doc_id", "text"), "doc_id").collect()
+    for r in got:
+        want = {(m.start(1), m.end(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text)}
+        assert {(int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "secret"} == want
+    assert sum(r.n_more for r in got) > 0 and all(r.n_spans == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_more for r in got)
+
+
+def brute_graph(patterns, edges, total, rounds):
+    """Scores of patterns and instances by plain loops."""
+    inst = {i: 0.0 for _, i, _ in edges}
+    for _ in range(rounds):
+        score = {p: (n + sum(inst[i] for q, i, _ in edges if q == p)) / (n + sum(q == p for q, _, _ in edges)) for p, (_, _, n) in patterns.items()}
+        inst = {i: min(1.0, max(sum(n * score[p] for p, j, n in edges if j == i and patterns[p][0] == side) / total[i] for side in "lr")) for i in inst}
+    return score, inst
+
+
+def test_graph_scores_against_loops(spark):
+    rng = np.random.default_rng(2)
+    patterns = {p: ("lr"[p % 2], "email", int(rng.integers(2, 9))) for p in range(12)}
+    edges = [(p, i, int(rng.integers(1, 4))) for p in range(10) for i in range(40) if rng.random() < 0.2]
+    total = {i: sum(n for _, j, n in edges if j == i) + int(rng.integers(0, 5)) for _, i, _ in edges}
+    rows = spark.createDataFrame([(p, *v) for p, v in patterns.items()], "pattern bigint, side string, kind string, n_seeds bigint")
+    got, inst = pii.bootstrap(rows, spark.createDataFrame(edges, "pattern bigint, instance bigint, n bigint"), spark.createDataFrame(list(total.items()), "instance bigint, total bigint"), Scratch(spark), 3)
+    want, wanted = brute_graph(patterns, edges, total, 3)
+    assert {r.pattern: r.score for r in got.collect()} == pytest.approx(want) and {r.instance: r.score for r in inst.collect()} == pytest.approx(wanted)
+
+
+def test_common_words_after_a_trusted_pattern_stay(spark, make_docs):
+    rows = [(i, f"please write to user{i}@mail{i}.org today") for i in range(12)]
+    rows += [(50, "please write to us today")] + [(100 + i, f"nobody asked us about it, word{i}") for i in range(20)] + [(70, "please write to qx-77-zed today")]
+    got = {r.doc_id: r for r in pii.digest(make_docs(rows)).collect()}
+    assert got[50].n_more == 0 and got[70].spans == "email:16:25"
+
+
+def test_copies_are_one_piece_of_evidence(spark, make_docs):
+    rows = [(i, "an odd context for a.b@c.org it is") for i in range(20)] + [(100, "an odd context for something7 it is")]
+    assert {r.n_more for r in pii.digest(make_docs(rows)).collect()} == {0}
+
+
+def test_candidates_take_linear_time():
+    text = ("w " * 20 + "x@y.zz ") * 20_000
+    base = pii.base_spans(text)
+    assert len(base) == 20_000 and pii.more_seeds(text, base) == []
+    assert len(pii.patterns_around(text.encode(), pii.Places(text.encode()), base)) == 20_000
