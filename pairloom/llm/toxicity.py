@@ -3,25 +3,30 @@
 1. Features (whole words, and patterns: the first three to five letters of a
    word) that labelled toxic documents have far more often than clean ones are
    mined by Spark from a bounded sample of labelled documents.
-2. The mined features are dealt to voters: lexicons of words, and pattern lists.
-   A voter votes toxic when a document has one of its entries; voters for clean
-   speak where no list of a kind does.
-3. A generative label model estimates, by EM, how often each voter is right
-   (its accuracy) and which voters go together within a class (their
-   correlations), so that voters which repeat each other don't count twice. It
-   gives each document of the sample a posterior label.
+2. Every mined feature is a voter: a lexicon entry or a pattern, which votes toxic
+   where a document has it and abstains elsewhere. The given label is one more,
+   noisy voter: how far it is to be trusted is estimated like the others' accuracy,
+   and ``MOST_TRUST`` at most.
+3. A generative label model estimates, by EM from the voters' agreement and the share
+   of toxic documents, how often each voter votes in toxic and in clean documents
+   (its accuracy), and which voters go together within a class (their correlations),
+   so that voters which repeat each other don't count twice. Each document of the
+   sample gets a posterior label, which may contradict the given one.
 4. A linear (logistic) classifier over the mined features is trained on those
    posteriors and scores every document.
 
 The sample holds at most ``PER_CLASS`` documents of either label, taken in order
-of a hash of the id. Of copies with one label (texts equal but for case and white
-space, which have the same features) one is taken, since copies would pass for
-independent evidence; they go before the limit. The numbers of rows trained on are
-logged.
-
-Defined results: null and empty texts score like a text without any feature.
-A document labelled twice counts as toxic if any label says so. Without usable
-labels of both classes every score is 0.
+of a hash of the id; more than that adds little to lists of ``FEATURES`` entries,
+which bound the classifier. Of copies with one label (texts equal but for case and
+white space, which have the same features) one is taken, since copies would pass
+for independent evidence; they go before the limit. The numbers of rows trained on
+are logged.
+
+Defined results: null and empty texts score like a text without any feature. Texts
+of any length are scored whole, a batch at a time. Twin rows have the same score;
+ties between features go to the one that sorts first. A document labelled twice
+counts as toxic if any label says so. Without usable labels of both classes, or
+without a feature that tells them apart, every score is 0.
 """
 
 from __future__ import annotations
@@ -43,10 +48,10 @@ PER_CLASS = 6000
 FEATURES = 1000
 CACHE = 100_000  # words whose features a task remembers
 LEAST_DOCS, LEAST_ODDS = 4, 6.0
-VOTERS_PER_KIND = 6
 THRESHOLD = 0.7
-GOLD, LEAST_ACCURACY = 0.99, 0.7
-RIDGE = 1e-5
+LEAST_GAIN = 2.0  # a voter votes at least so many times as often in toxic documents: it was mined to
+MOST_TRUST = 0.95
+RIDGE = 1.0  # of all rows together, so its weight falls as rows come
 EDGES = ".,;:!?'\"()[]{}#*$%&|<>-_/"
 PREFIXES = (3, 4, 5)
 
@@ -117,44 +122,40 @@ def feature_rows(sample: DataFrame, features: list[str]) -> tuple[np.ndarray, np
     return label, row, np.array([h for r in rows for h in r.hits], np.int64)
 
 
-def vote(features: list[str], n: int, row: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """Votes (documents by voters). Lists of one kind are dealt by rank, so each has strong entries;
-    they vote toxic (1) or not at all. For each kind one voter votes clean (-1) where no list votes."""
-    kinds = sorted({f[0] for f in features})
-    voter, dealt = np.zeros(len(features), np.int64), dict.fromkeys(kinds, 0)
-    for i, f in enumerate(features):
-        voter[i] = kinds.index(f[0]) * VOTERS_PER_KIND + dealt[f[0]] % VOTERS_PER_KIND
-        dealt[f[0]] += 1
-    toxic = np.zeros((n, len(kinds) * VOTERS_PER_KIND))
-    toxic[row, voter[column]] = 1
-    clean = [-(toxic[:, k * VOTERS_PER_KIND : (k + 1) * VOTERS_PER_KIND].sum(axis=1) == 0).astype(float) for k in range(len(kinds))]
-    votes = np.column_stack([toxic, *clean])
-    return votes[:, votes.any(axis=0)]
-
-
-def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Posterior of the toxic class. ``votes`` are 1 (toxic), -1 (clean) or 0 (no vote). A voter's
-    accuracy is how often it is right when it votes; its weight, the log odds of that, is shared with
-    the voters it is correlated with inside a class. The given label is one more voter, of accuracy
-    ``GOLD``; the classes count alike. EM re-estimates accuracies and correlations until the
-    posteriors settle. The voters were mined to be right, so none falls below ``LEAST_ACCURACY``."""
-    voted, post = votes != 0, GOLD * gold + (1 - GOLD) * (1 - gold)
-    trust = np.log(GOLD / (1 - GOLD)) * (2 * gold - 1)
-    for _ in range(rounds):
-        right = np.where(votes > 0, post[:, None], 1 - post[:, None]) * voted
-        accuracy = np.clip((right.sum(axis=0) + 1) / (voted.sum(axis=0) + 2), LEAST_ACCURACY, 0.995)
-        joint = np.zeros((votes.shape[1],) * 2)
-        for share in (post, 1 - post):  # correlation within a class, weighted by the classes
-            apart = voted - (share @ voted + 0.5) / (share.sum() + 1)
-            cov = (apart * share[:, None]).T @ apart / max(share.sum(), 1)
-            size = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            joint += share.mean() * np.clip(cov / np.outer(size, size), 0, 1)
-        agree = np.sign(np.outer(votes.sum(axis=0), votes.sum(axis=0))) > 0
-        np.fill_diagonal(joint, 0)
-        weight = np.log(accuracy / (1 - accuracy)) / (1 + (joint * agree).sum(axis=1))
-        logit = votes @ weight + trust
+def label_model(n: int, row: np.ndarray, column: np.ndarray, given: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Posterior of the toxic class for ``n`` documents from votes (``row``, ``column``: document and
+    voter) and the given labels. Each voter has a rate of votes in either class; its evidence, the log
+    ratio of the rates, is divided among the voters it is correlated with inside the classes. The
+    given label is a voter of limited accuracy, estimated too. EM begins with the documents of the
+    most votes as toxic ones and goes on until the posteriors settle."""
+    m, share = int(column.max(initial=-1)) + 1, float(np.clip(given.mean(), 1e-3, 0.999))
+    count = np.bincount(row, minlength=n)
+    voted = np.flatnonzero(count)
+    votes = np.zeros((len(voted), m), np.float32)  # documents without a vote only count in sums
+    votes[np.searchsorted(voted, row), column] = 1
+    silent = (count == 0).astype(float)
+    post = np.where(count >= max(1.0, np.quantile(count, 1 - share)), 0.9, 0.1 * share)
+    alike, prior = np.ones(m), np.log(share / (1 - share))
+    for k in range(rounds):
+        rate, quiet, labels, joint = {}, {}, {}, np.zeros((m, m), np.float32)
+        for toxic, part in ((True, post), (False, 1 - post)):
+            size = part.sum()
+            rate[toxic] = (part[voted] @ votes + 0.5) / (size + 1)
+            quiet[toxic], labels[toxic] = (part @ silent + 0.5) / (size + 1), (part @ given + 0.5) / (size + 1)
+            if k in (0, 1, 2, 5, 10, 20):  # correlations settle sooner than rates
+                r = rate[toxic].astype(np.float32)
+                cov = (votes * part[voted, None].astype(np.float32)).T @ votes / max(size, 1e-9) - np.outer(r, r)
+                spread = np.sqrt(np.maximum(r * (1 - r), 1e-9))
+                joint += part.mean() * np.clip(cov / np.outer(spread, spread), 0, 1)
+        if joint.any():
+            np.fill_diagonal(joint, 0)
+            alike = 1 + joint.sum(axis=1)
+        toxic, clean = np.clip(rate[True], 2e-4, 0.995), np.clip(np.minimum(rate[False], rate[True] / LEAST_GAIN), 1e-4, 0.99)
+        hit, false = min(labels[True], MOST_TRUST), max(labels[False], 1 - MOST_TRUST)
+        logit = prior + silent * np.log(quiet[True] / quiet[False]) + np.where(given == 1, np.log(hit / false), np.log((1 - hit) / (1 - false)))
+        logit[voted] += votes @ (np.log(toxic / clean) / alike)
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        done = np.abs(new - post).max() < 1e-6
+        done = np.abs(new - post).max() < 1e-5
         post = new
         if done:
             break
@@ -169,7 +170,7 @@ def fit_linear(post: np.ndarray, row: np.ndarray, column: np.ndarray, width: int
     x = np.zeros((n, width + 1), np.float32)
     x[row, column] = 1
     x[:, -1] = 1
-    w, penalty = np.zeros(width + 1), np.append(np.full(width, ridge), 1e-9)
+    w, penalty = np.zeros(width + 1), np.append(np.full(width, ridge / n), 1e-9)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))[:, None]
         gradient = (x.T @ (heavy * (p - post[:, None]))).ravel() + penalty * w
@@ -193,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[dict[str
     if not features:
         return None
     label, row, column = feature_rows(sample, features)
-    post = label_model(vote(features, len(label), row, column), label.astype(float))
+    post = label_model(len(label), row, column, label.astype(float))
     weights, intercept = fit_linear(post, row, column, len(features))
     return dict(zip(features, weights.tolist(), strict=True)), intercept
 

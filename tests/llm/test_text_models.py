@@ -87,15 +87,34 @@ def test_scores_do_not_see_labels_language_source_or_id(spark):
     del labels
 
 
-def test_label_model_shares_weight_of_copies():
+def votes_of(columns):
+    row, column = np.nonzero(np.column_stack(columns))
+    return row, column
+
+
+def noisy_votes(rng, truth, hit, false):
+    return rng.random(len(truth)) < np.where(truth == 1, hit, false)
+
+
+def test_posterior_corrects_wrong_labels():
     rng = np.random.default_rng(0)
-    gold = (rng.random(2000) < 0.5).astype(float)
-    noisy = lambda a: np.where(rng.random(2000) < a, gold, 1 - gold)
-    one, two = noisy(0.9), noisy(0.75)
-    votes = np.column_stack([one, two, two, two]) * 2 - 1
-    post = toxicity.label_model(votes, np.full(2000, 0.5) + 0.3 * (gold - 0.5))
-    clash = (one == 1) & (two == 0)
-    assert post[clash].mean() > 0.5  # three copies of a weaker voter don't outvote a better one
+    truth = (rng.random(4000) < 0.3).astype(int)
+    row, column = votes_of([noisy_votes(rng, truth, 0.5, 0.03) for _ in range(8)])
+    given = np.where(rng.random(4000) < 0.2, 1 - truth, truth)
+    post = toxicity.label_model(4000, row, column, given.astype(float))
+    assert (given == truth).mean() < 0.82 and ((post > 0.5) == truth).mean() > 0.95
+
+
+def test_label_model_shares_weight_of_copies():
+    rng = np.random.default_rng(1)
+    truth = (rng.random(4000) < 0.3).astype(int)
+    single = [noisy_votes(rng, truth, 0.5, 0.03) for _ in range(6)]
+    weak = noisy_votes(rng, truth, 0.4, 0.15)
+    alone = weak & ~np.any(single, axis=0)
+    given = np.where(rng.random(4000) < 0.2, 1 - truth, truth).astype(float)
+    once = toxicity.label_model(4000, *votes_of([*single, weak]), given)[alone].mean()
+    often = toxicity.label_model(4000, *votes_of([*single, *[weak] * 8]), given)[alone].mean()
+    assert often < once + 0.1  # eight copies of a weak voter say little more than one
 
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
