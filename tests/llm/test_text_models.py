@@ -99,7 +99,7 @@ def noisy_votes(rng, truth, hit, false):
 def test_posterior_corrects_wrong_labels():
     rng = np.random.default_rng(0)
     truth = (rng.random(4000) < 0.3).astype(int)
-    row, column = votes_of([noisy_votes(rng, truth, 0.5, 0.03) for _ in range(8)])
+    row, column = votes_of([noisy_votes(rng, truth, 0.3, 0.002) for _ in range(12)])  # rare entries, as lexicons have them
     given = np.where(rng.random(4000) < 0.2, 1 - truth, truth)
     post = toxicity.label_model(4000, row, column, given.astype(float))
     assert (given == truth).mean() < 0.82 and ((post > 0.5) == truth).mean() > 0.95
@@ -108,7 +108,7 @@ def test_posterior_corrects_wrong_labels():
 def test_label_model_shares_weight_of_copies():
     rng = np.random.default_rng(1)
     truth = (rng.random(4000) < 0.3).astype(int)
-    single = [noisy_votes(rng, truth, 0.5, 0.03) for _ in range(6)]
+    single = [noisy_votes(rng, truth, 0.3, 0.002) for _ in range(12)]
     weak = noisy_votes(rng, truth, 0.4, 0.15)
     alone = weak & ~np.any(single, axis=0)
     given = np.where(rng.random(4000) < 0.2, 1 - truth, truth).astype(float)
