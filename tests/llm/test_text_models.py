@@ -1,16 +1,19 @@
 """Language identification, quality rules, toxicity, personal data: brute force or held-out accuracy."""
 
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from pairloom.llm import language_id, pii, quality_divergence, toxicity
 from pairloom.session import Scratch, table
 
 SF = "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_languages_of_held_out_documents(spark):
@@ -29,6 +32,35 @@ def test_grams_against_counting():
     assert {decode(int(k)): int(c) for k, c in zip(keys, counts)} == want
 
 
+def brute_languages(rows, held, size):
+    """Profiles by counting, out-of-place distances by the definition."""
+    count = lambda t: Counter(g for p in [" " + " ".join(regex.findall(r"[\p{L}\p{M}]+", t.lower())) + " "] for n in (1, 2, 3) for i in range(len(p) - n + 1) if (g := p[i : i + n]) != " ")
+    order = lambda c: sorted(c, key=lambda g: (-c[g], [ord(g[-k]) if k <= len(g) else 0 for k in (3, 2, 1)]))[:size]
+    profiles = {}
+    for g in sorted({r[2] for r in rows if r[2]}):
+        total = sum((count(t) for i, t, lang in rows if lang == g and t and regex.search(r"\p{L}", t) and i not in held), Counter())
+        if total:
+            profiles[g] = {x: k for k, x in enumerate(order(total))}
+    out = {}
+    for i, t, _ in rows:
+        if not t or not regex.search(r"\p{L}", t):
+            out[i] = ("und", 0.0)
+            continue
+        mine = order(count(t))
+        far = {g: sum(abs(p[x] - k) if x in p else size for k, x in enumerate(mine)) for g, p in profiles.items()}
+        best = min(far, key=lambda g: (far[g], g))
+        out[i] = (best, 1 - far[best] / (size * len(mine)))
+    return out
+
+
+def test_languages_against_brute_force(spark, make_docs):
+    rows = [(r.doc_id, r.text, r.lang) for r in table(spark, SMALL, "documents").limit(120).collect()]
+    rows += [(1000, None, "en"), (1001, "", "de"), (1002, "12 34 !", "fr"), (1003, "word", None), (1004, "ñandú é", "es"), (1005, "ñandú é", "es")]
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    got = {r.doc_id: (r.lang_pred, pytest.approx(r.score)) for r in language_id.identify_held_out(make_docs(rows)).collect()}
+    assert got == brute_languages(rows, held, language_id.PROFILE_SIZE)
+
+
 def brute_base(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
@@ -55,6 +87,62 @@ def test_junk_is_dropped_and_clean_text_kept(spark):
     assert rates[1] >= 0.99 and rates[0] <= 0.05
 
 
+def brute_quality(rows):
+    """Distances, limits and verdicts by plain counting. ``rows`` are (id, text, lang)."""
+    q, log = quality_divergence, lambda p, m: p * np.log2(p / m) if p else 0.0
+    facts = {i: (brute_base(t or ""), (t or "").encode(), g) for i, t, g in rows}
+    bucket = lambda w: zlib.crc32(w.strip(q.EDGES)) % q.BUCKETS
+    chars = lambda d: Counter(c for c in (int(q.TABLE[b]) for b in d) if c < len(q.CLASSES))
+    words = lambda d: Counter(bucket(w) for w in d.lower().split())
+    langs = sorted({g for b, _, g in facts.values() if not b[-1] and g})
+    refs = {g: (sum((chars(d) for b, d, h in facts.values() if h == g and not b[-1]), Counter()), sum((words(d) for b, d, h in facts.values() if h == g and not b[-1]), Counter())) for g in langs}
+
+    def far(p, r):
+        sp, sr = max(sum(p.values()), 1), max(sum(r.values()), 1)
+        m = {k: (p[k] / sp + r[k] / sr) / 2 for k in {*p, *r}}
+        return np.sqrt(max(0.0, sum(log(p[k] / sp, m[k]) + log(r[k] / sr, m[k]) for k in m) / 2))
+
+    out = {}
+    for i, (base, data, lang) in facts.items():
+        found = []
+        for g in [lang] if lang in refs else langs:
+            top = {k for k, _ in sorted(refs[g][1].items(), key=lambda x: (-x[1], x[0]))[: q.COMMON]}
+            fold = lambda c: Counter({k: v for k, v in c.items() if k in top}) + Counter({-1: sum(v for k, v in c.items() if k not in top)})  # noqa: B023, E731
+            found.append((far(fold(words(data)), fold(refs[g][1])), far(chars(data), refs[g][0]), g))
+        w, c, g = min(found) if found and not base[-1] else (None, None, None)
+        out[i] = [base[-1], c if c is not None and len(data.decode()) >= q.GUARD_CHARS else None, w if w is not None and base[0] >= q.GUARD_WORDS else None, g, min(12, max(5, int(np.log2(max(base[0], 1)))))]
+    limits, usual = {}, {}
+    for k in (1, 2):
+        groups = defaultdict(list)
+        for r in out.values():
+            if r[k] is not None:
+                groups[r[3], r[4]].append(int(r[k] * q.BINS))
+        usual[k] = {g: sorted(v)[(len(v) - 1) // 2] for g, v in groups.items()}
+        excess = sorted(x - usual[k][g] for g, v in groups.items() for x in v)
+        best, limits[k] = 0.0, None
+        for cut in sorted(set(excess))[:-1]:
+            lo, hi = [x for x in excess if x <= cut], [x for x in excess if x > cut]
+            between = len(lo) * len(hi) * (np.mean(hi) - np.mean(lo)) ** 2
+            if between > best * (1 + 1e-12):
+                best, limits[k] = between, (cut + 0.5) / q.BINS if np.mean(hi) - np.mean(lo) >= q.LEAST_GAP * q.BINS else None
+    kept = lambda r: not r[0] and not any(limits[k] is not None and r[k] is not None and r[k] - (usual[k][r[3], r[4]] + 0.5) / q.BINS > limits[k] for k in (1, 2))
+    return {i: (r[1], r[2], kept(r)) for i, r in out.items()}
+
+
+def test_distances_and_verdicts_against_brute_force(spark, make_docs, odd_rows):
+    rows = [(r.doc_id, r.text, r.lang if r.doc_id % 40 else None) for r in table(spark, SF, "documents").where("length(text) < 4000").limit(300).collect()]
+    rows += [(10_000 + i, None if i == 1 else "", "en") for i in range(3)] + [(20_000, "мир и труд " * 60 + "конец слова дело жизнь", "ru")]
+    got = {r.doc_id: r for r in quality_divergence.assess(make_docs(rows)).collect()}
+    for i, (chars, words, kept) in brute_quality(rows).items():
+        assert (got[i].char_distance, got[i].word_distance) == (pytest.approx(chars), pytest.approx(words)) and got[i].kept == kept, i
+    assert len({r.kept for r in got.values()}) == 2
+
+
+def test_nobody_fails_without_a_second_group():
+    assert quality_divergence.best_cut({b: 100 - abs(b) for b in range(-90, 91)}) is None and quality_divergence.best_cut({3: 5}) is None
+    assert 0.1 < quality_divergence.best_cut({**{b: 100 for b in range(-50, 51)}, **{b: 10 for b in range(280, 300)}}) < 0.28
+
+
 def test_divergence_bounds():
     p = np.array([1.0, 0.0])
     assert quality_divergence.divergence(p, np.array([[1.0, 0.0], [0.0, 3.0]])).tolist() == [0.0, 1.0]
