@@ -13,9 +13,14 @@
    classes not far from it: both form the pivot's canopy. List members that are
    not near go through the same with pivots of their own; what is left after
    ``ROUNDS`` is estimated pair by pair, in blocks.
-4. Canopies are cut into blocks of bounded size; for every two blocks of a canopy
-   the exact intersections of all pairs of full sets are counted at once, and the
-   links go out as a spanning forest: linear in the classes, not in the pairs.
+4. In a canopy that fits a block the exact intersections of all pairs of full sets
+   are counted at once, and the links go out as a spanning forest. In a larger one
+   every member is compared with the pivot, block by block. Most members of a group
+   of near copies are linked with it. The others can only be linked with sets that
+   differ from the pivot in the same places, at least once: so of each member only
+   its differences from the pivot go on, lists of the rarest differences (as many as
+   a link may leave out, and one more) bring members together, and their exact
+   similarity follows from the differences they share.
 5. The links' connected components give the groups.
 
 Sketches are random: a pair right at the threshold is missed with a chance of
@@ -41,7 +46,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import fresh, map_batches, packed, row_key, split_twins, twin_keys, unpacked
 from pairloom.llm.components import components
 from pairloom.llm.shingles import shingle_sets
-from pairloom.session import Scratch, release, settle, worker_path
+from pairloom.session import Scratch, settle, worker_path
 
 K = 48
 NEAR = 0.72  # estimated similarity to the pivot of what needs no other pivot
@@ -106,31 +111,29 @@ def compare(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.distinct().join(right, "c").join(left, "p").select("p", "c", estimate(F.col("sp"), F.col("sc")).alias("est"))
 
 
+def blocks_of(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``lists`` (keys, c, ...) with blocks (i, j) and ``own``: long lists are cut into blocks, any
+    two of which meet in one group, so a group stays small."""
+    sizes = lists.groupBy(*keys).agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("nb"), F.count("*").alias("m")).where("m > 1").drop("m")
+    placed = lists.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("c"), F.col("nb")).cast("int"))
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return other.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "nb")
+
+
 def pair_blocks(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(p, c): all pairs within a list that may be linked by their estimate. Long lists are cut into
-    blocks, any two of which meet in one group, so a group stays small."""
+    """(p, c): all pairs within a list whose sketches share as much as an estimate for a link asks for."""
     worker_path(lists.sparkSession)
     least = least_estimate(percent)
-    sizes = lists.groupBy("x").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("nb")).where("nb > 0")
-    own = F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")
-    placed = lists.join(sizes, "x").withColumn("own", own).join(sketches, "c")
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = other.select("x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c.c1", "c.c2", "sketch")
+    rows = blocks_of(lists, ["x"]).join(sketches, "c").select("x", "i", "j", "own", "c.c1", "c.c2", "sketch")
 
     def run(group: pa.Table) -> pa.Table:
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        own = group["own"].to_numpy()
-        c1, c2 = group["c1"].to_numpy(), group["c2"].to_numpy()
-        sketch = [np.sort(s) for s in group["sketch"].to_pylist()]
-        out = []
-        for a in range(len(own)):
-            for b in range(a + 1, len(own)):
-                if i == j or own[a] != own[b]:
-                    union = np.union1d(sketch[a], sketch[b])[:K]
-                    both = np.intersect1d(sketch[a], sketch[b], assume_unique=True)
-                    if np.isin(union, both, assume_unique=True).sum() >= least * len(union):
-                        out.append((a, b))
-        x, y = [o[0] for o in out], [o[1] for o in out]
+        own, sketch = group["own"].to_numpy(), group["sketch"].combine_chunks()
+        c1, c2, size = group["c1"].to_numpy(), group["c2"].to_numpy(), np.asarray(sketch.value_lengths())
+        hit = np.triu(shared_counts(sketch.values.to_numpy(), size) >= least * np.maximum(size[:, None], size[None, :]), 1)
+        if i != j:
+            hit &= own[:, None] != own[None, :]
+        x, y = np.nonzero(hit)
         return pa.table({"p1": pa.array(c1[x], pa.int64()), "p2": pa.array(c2[x], pa.int64()), "c1": pa.array(c1[y], pa.int64()), "c2": pa.array(c2[y], pa.int64())})
 
     made = rows.groupBy("x", "i", "j").applyInArrow(run, "p1 bigint, p2 bigint, c1 bigint, c2 bigint")
@@ -141,7 +144,6 @@ def canopies(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(p, c): memberships, such that any two similar classes share a p. p itself is a member."""
     sketches = classes.select("c", "sketch")
     lists = scratch.settle(inverted_lists(classes, percent, scratch), "nd-lists")
-    release(classes.sparkSession)
     far = NEAR - (1 - percent / 100) - ERROR_OF_TWO
     found = None
     for _ in range(ROUNDS):
@@ -173,14 +175,21 @@ def perhaps_among(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(bits), (place == F.col("place")) & is_set, "left_semi")
 
 
+MADE = "p1 bigint, p2 bigint, c1 bigint, c2 bigint, linked boolean, n int, pn int, gone int, d array<bigint>"
+
+
+def pair(one: str, two: str):
+    return F.struct(F.col(one).alias("c1"), F.col(two).alias("c2"))
+
+
 def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(a, b): a spanning forest, for every two blocks of a canopy, of the pairs of classes whose full
-    sets have at least ``percent`` hundredths of their union in common."""
+    """(a, b): links between classes whose full sets have at least ``percent`` hundredths of their union in
+    common, such that all others follow: a spanning forest of each small canopy; of a large one all links
+    with its pivot, and forests of the links that its lists of differences bring up."""
     worker_path(docs.sparkSession)
     members = scratch.settle(members.join(classes.select("c", "n", "k1", "k2"), "c"), "nd-keyed")
     totals = members.groupBy("p").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     needed = scratch.settle(members.join(scratch.settle(totals, "nd-totals"), "p"), "nd-members")
-    release(docs.sparkSession)
     keys = needed.select("k1", "k2", "c").distinct()
     k1, k2 = row_key("doc_id", "text")
     near = perhaps_among(docs.select(k1.alias("k1"), k2.alias("k2"), "text"), keys)
@@ -190,32 +199,91 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame, siz
         return pa.RecordBatch.from_arrays([batch.column("c"), pa.array(list(shingle_sets(unpacked(batch), size)), pa.list_(pa.int64()))], ["c", "items"])
 
     sets = map_batches(texts, run_sets, "c struct<c1:bigint,c2:bigint>, items array<bigint>").dropDuplicates(["c"])
-    own = F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")
-    placed = needed.select("p", "c", "nb").withColumn("own", own)
-    spread = placed.join(sets, "c").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = spread.select("p", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c.c1", "c.c2", "items")
+    # a large canopy's pivot goes to each of its blocks, every other member to one
+    large, pivot = F.col("nb") > 1, F.col("c") == F.col("p")
+    own = F.array(F.pmod(F.xxhash64("c"), F.col("nb")).cast("int"))
+    placed = needed.select("p", "c", large.alias("large"), pivot.alias("pivot"), F.explode(F.when(large & pivot, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(own)).alias("block"))
+    rows = placed.join(sets, "c").select("p.c1", "p.c2", "block", "large", "pivot", F.col("c.c1").alias("m1"), F.col("c.c2").alias("m2"), "items")
 
     def run(group: pa.Table) -> pa.Table:
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
         items = group["items"].combine_chunks()
-        x, y = linked(items.values.to_numpy(), np.asarray(items.value_lengths()), group["own"].to_numpy() if i != j else None, percent)
+        values, lengths = items.values.to_numpy(), np.asarray(items.value_lengths())
+        m1, m2 = group["m1"].to_numpy(), group["m2"].to_numpy()
+        if not group["large"][0].as_py():
+            common = shared_counts(values, lengths)
+            x, y = forest(np.triu(100 * common >= percent * (lengths[:, None] + lengths[None, :] - common), 1))
+            none = pa.nulls(len(x), pa.int32())
+            return pa.table([m1[x], m2[x], m1[y], m2[y], pa.array([True] * len(x), pa.bool_()), none, none, none, pa.nulls(len(x), pa.list_(pa.int64()))], schema=made_schema)
+        ends = np.cumsum(lengths)
+        centre = int(np.flatnonzero(group["pivot"].to_numpy(zero_copy_only=False))[0])
+        base = np.sort(values[ends[centre] - lengths[centre] : ends[centre]])
+        out = []
+        for r in range(len(lengths)):
+            if r != centre:
+                own = values[ends[r] - lengths[r] : ends[r]]
+                gone, new = np.setdiff1d(base, own, assume_unique=True), np.setdiff1d(own, base, assume_unique=True)
+                common = len(own) - len(new)
+                out.append((m1[r], m2[r], 100 * common >= percent * (len(base) + len(new)), len(own), len(gone), np.concatenate((new, ~gone))))
+        k = len(out)
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        return pa.table([pa.array([m1[centre]] * k, pa.int64()), pa.array([m2[centre]] * k, pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_()), pa.array(columns[3], pa.int32()), pa.array([len(base)] * k, pa.int32()), pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.list_(pa.int64()))], schema=made_schema)
+
+    made_schema = pa.schema([*[(c, pa.int64()) for c in ("p1", "p2", "c1", "c2")], ("linked", pa.bool_()), *[(c, pa.int32()) for c in ("n", "pn", "gone")], ("d", pa.list_(pa.int64()))])
+    made = scratch.settle(rows.groupBy("c1", "c2", "block").applyInArrow(run, MADE), "nd-made")
+    links = made.where("linked").select(pair("p1", "p2").alias("a"), pair("c1", "c2").alias("b"))
+    if made.where("not linked").isEmpty():
+        return links
+    return links.union(links_by_differences(made.where("d is not null"), percent, scratch))
+
+
+def links_by_differences(made: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): the links in large canopies that need not go through the pivot: at least one side isn't linked
+    with it. ``made`` has each member's differences ``d`` from the pivot of ``pn`` shingles, ``gone``
+    of which are shingles that the member lacks."""
+    of = made.withColumns({"p": pair("p1", "p2"), "c": pair("c1", "c2")})
+    open_ = scratch.settle(of.where("not linked").select("p").distinct(), "nd-open")
+    of = of.join(open_, "p", "left_semi").select("p", "c", "linked", "n", "pn", "gone", "d")
+    # two linked sets differ in as many shingles at most as this part of either
+    slack = F.floor(F.col("n") * (100 - percent) / percent).cast("int")
+    entries = of.select("p", "c", F.explode("d").alias("x"))
+    shared = scratch.settle(entries.groupBy("p", "x").agg(F.count("*").alias("df")).where("df > 1"), "nd-differences")
+    held = entries.join(shared, ["p", "x"]).groupBy("p", "c").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("held"))
+    # differences of this member alone are the rarest; they fill the first places
+    places = F.least(F.size("d"), slack + 1) - (F.size("d") - F.size("held"))
+    listed = held.join(of.select("p", "c", "linked", "n", "d"), ["p", "c"]).where(places > 0).select("p", "c", "linked", F.explode(F.slice("held", F.lit(1), places)).alias("h"))
+    lists = scratch.settle(listed.select("p", "h.x", "c", "linked"), "nd-lists")
+    useful = lists.groupBy("p", "x").agg(F.count_if(~F.col("linked")).alias("free"), F.count("*").alias("m")).where("free > 0 and m > 1").select("p", "x")
+    rows = blocks_of(lists.join(scratch.settle(useful, "nd-useful"), ["p", "x"], "left_semi").drop("linked"), ["p", "x"])
+    rows = rows.join(of, ["p", "c"]).select("p", "x", "i", "j", "own", "c.c1", "c.c2", "linked", "n", "pn", "gone", "d")
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        own, d = group["own"].to_numpy(), group["d"].combine_chunks()
+        n, gone, base = group["n"].to_numpy(), group["gone"].to_numpy(), group["pn"][0].as_py()
+        free = ~group["linked"].to_numpy(zero_copy_only=False).astype(bool)
+        common = base - gone[:, None] - gone[None, :] + shared_counts(d.values.to_numpy(), np.asarray(d.value_lengths()))
+        hit = np.triu(100 * common >= percent * (n[:, None] + n[None, :] - common), 1) & (free[:, None] | free[None, :])
+        if i != j:
+            hit &= own[:, None] != own[None, :]
+        x, y = forest(hit)
         c1, c2 = group["c1"].to_numpy(), group["c2"].to_numpy()
-        return pa.table({"a1": c1[x], "a2": c2[x], "b1": c1[y], "b2": c2[y]})
+        return pa.table({"a1": pa.array(c1[x], pa.int64()), "a2": pa.array(c2[x], pa.int64()), "b1": pa.array(c1[y], pa.int64()), "b2": pa.array(c2[y], pa.int64())})
 
-    made = rows.groupBy("p", "i", "j").applyInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
-    return made.select(F.struct(F.col("a1").alias("c1"), F.col("a2").alias("c2")).alias("a"), F.struct(F.col("b1").alias("c1"), F.col("b2").alias("c2")).alias("b"))
+    made = rows.groupBy("p", "x", "i", "j").applyInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    return made.distinct().select(pair("a1", "a2").alias("a"), pair("b1", "b2").alias("b"))
 
 
-def linked(values: np.ndarray, lengths: np.ndarray, own: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among sets given one after the other; with ``own``, of the links
-    between different blocks only."""
+def shared_counts(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How many values any two of the sets, given one after the other, have in common."""
     n = len(lengths)
     row = np.repeat(np.arange(n), lengths)
     order = np.argsort(values, kind="stable")
     sorted_values, row = values[order], row[order]
     same = sorted_values[1:] == sorted_values[:-1]
     keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))  # shared by two sets at least
-    row, first = row[keep], np.concatenate(([True], ~same))[keep]
+    if not len(values):
+        keep = np.zeros(0, bool)
+    row, first = row[keep], np.concatenate(([True], ~same))[: len(keep)][keep]
     column = np.cumsum(first) - 1
     common = np.zeros((n, n), np.float64)
     width = 4096
@@ -227,11 +295,12 @@ def linked(values: np.ndarray, lengths: np.ndarray, own: np.ndarray | None, perc
             busy = np.flatnonzero(part.any(axis=1))
             part = part[busy]
             common[np.ix_(busy, busy)] += part @ part.T
-    union = lengths[:, None] + lengths[None, :] - common
-    hit = (100 * common >= percent * union) & np.triu(np.ones((n, n), bool), 1)
-    if own is not None:
-        hit &= own[:, None] != own[None, :]
-    root = np.arange(n)
+    return common
+
+
+def forest(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs that are set."""
+    root = np.arange(len(hit))
 
     def find(v: int) -> int:
         while root[v] != v:
@@ -258,9 +327,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     # rows of one class meet as partial minima
     classes = rows.where("n > 0").groupBy("c").agg(least).select("c", "rep.low", "rep.k1", "rep.k2", "rep.sketch", "rep.n")
     classes = scratch.settle(classes, "nd-classes")
-    release(docs.sparkSession)
     links = scratch.settle(confirmed_links(docs, classes, canopies(classes, percent, scratch), size, percent, scratch), "nd-links")
-    release(docs.sparkSession)
     name = classes.select("c", F.struct(F.col("low"), F.col("c")).alias("node"))
     edges = links.join(name.select(F.col("c").alias("a"), F.col("node").alias("na")), "a").join(name.select(F.col("c").alias("b"), F.col("node").alias("nb")), "b")
     roots = components(edges.select(F.col("na").alias("a"), F.col("nb").alias("b")), scratch)

@@ -81,6 +81,26 @@ def test_blocks_and_leftover_lists_change_nothing(spark, make_docs, monkeypatch)
     assert got == brute_components(rows, 3, 85)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_canopies_by_differences(spark, make_docs, monkeypatch, seed):
+    """Spread-out variants: many are not linked with the pivot, some with each other only."""
+    rng, rows = random.Random(seed), []
+    base = [f"w{rng.randrange(300)}" for _ in range(90)]
+    for _ in range(6):  # families around variants of their own
+        own = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            own[rng.randrange(len(own))] = f"y{rng.randrange(10**6)}"
+        for _ in range(25):
+            words = list(own)
+            for _ in range(rng.randrange(0, 4)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    monkeypatch.setattr(near_duplicates, "BLOCK_CLASSES", 10)
+    monkeypatch.setattr(near_duplicates, "PAIR_BLOCK", 6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.digest(make_docs(rows)).collect()}
+    assert got == brute_components(rows, 3, 85) and len({c for _, c in got.values()}) > 3
+
+
 def test_one_of_each_group_stays(spark, make_docs):
     rows = variants(4, groups=2, size=10)
     kept = near_duplicates.drop_copies(make_docs(rows))
