@@ -1,7 +1,8 @@
 """A deterministic, sharded WARC writer, and the reader that checks what it wrote.
 
-Records are cut into shards at page ids chosen from exact byte sums, sorted in
-each shard, and written as one gzip member per record; a file is rolled once its
+Records are cut into shards at page ids chosen from exact byte sums (a page id that
+alone outweighs a shard, and null ids, by payload digest), sorted in each shard, and
+written as one gzip member per record; a file is rolled once its
 compressed size passes a limit. Headers and digests are made from the payload.
 Every task writes under a temporary name of its own and renames the finished
 file, so a task that is lost or repeated leaves no half-written archive; the
@@ -12,10 +13,15 @@ Of records with equal payloads of ``MIN_REVISIT`` bytes or more, the one with
 the smallest page id is written in full (``response``); the others are
 ``revisit`` records that name it and repeat its HTTP headers without the payload.
 
+The reader takes the files of the manifest and fails if one has other bytes or
+another number of records, or if a digest of a record is wrong.
+
 Defined results: a null payload is empty; a null page id sorts last and is never
 the target of a revisit unless all ids of the payload are null (then the target
 is null too); of rows with equal id and payload one is the response and the
-others revisit it (they refer to their own id). Other columns are ignored,
+others revisit it (they refer to their own id). Rows of equal id and payload are
+written one after the other by one task. A record is in memory as a whole, so a
+payload of any length that a task can hold is written. Other columns are ignored,
 ``url`` may be null.
 """
 
@@ -27,18 +33,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.session import settle, shared_path, worker_path
+from pairloom.session import Scratch, shared_path, worker_path
 
 MIN_REVISIT = 100
-LEAST_SHARD, MOST_SHARDS = 4 << 20, 2048
+LEAST_SHARD, MOST_SHARDS = 4 << 20, 1 << 18
 FILE_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 BINS, FINER = 4096, 64
-LAST = 2**63 - 1
 
 
 def _files(path: str):
@@ -55,30 +62,36 @@ def _local_uri(path: str) -> str:
 # ---------------------------------------------------------------- planning
 
 
-def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, size, kind, target per row. The first of each payload is found
-    by aggregation and joined back, so a payload with very many copies stays divisible."""
+def plan_records(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """page_id, url, html, digest, size, first (struct of the target) per row. The first of each payload is
+    found by aggregation and joined back, so a payload with very many copies stays divisible."""
     body = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url"), body.alias("html"), F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("bigint").alias("size"))
-    rank = F.coalesce("page_id", F.lit(LAST))
+    rank = F.struct(F.col("page_id").isNull().alias("none"), F.coalesce("page_id", F.lit(0)).alias("id"))
     large = base.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = settle(large.select("digest", "first"), "warc-first")
+    first = scratch.settle(large.select("digest", "first"), "warc-first")
     return base.join(first, "digest", "left").select("page_id", "url", "html", "digest", "size", "first")
 
 
-def shard_edges(pages: DataFrame, shard_bytes: int | None = None) -> list[int]:
-    """Page ids at which shards begin, from exact sums of bytes over equal id ranges; a range that
-    alone outweighs a shard is divided again. The same for the same rows, however they are split.
-    At most ``BINS`` sums, and ``FINER`` for each heavy range, come to the driver in one pass."""
-    rank = F.coalesce(F.col("page_id").cast("bigint"), F.lit(LAST)).alias("rank")
-    sized = pages.select(rank, F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint").alias("size"))
-    low, high, total = sized.where(F.col("rank") < LAST).agg(F.min("rank"), F.max("rank"), F.sum("size")).first()
+def shard_ranges(pages: DataFrame, shard_bytes: int | None = None) -> tuple[list[int], list[int]]:
+    """(page ids at which ranges begin, shards of each range and, last, of null ids), from exact sums of
+    bytes over equal id ranges; a range that alone outweighs a shard is divided again, one page id
+    that does gets several shards. The same for the same rows, however they are split. At most
+    ``BINS`` sums, and ``FINER`` for each heavy range, come to the driver in one pass."""
+    sized = pages.select(F.col("page_id").cast("bigint").alias("id"), F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint").alias("size"))
+    low, high, total, none = sized.agg(F.min("id"), F.max("id"), F.sum("size"), F.sum(F.when(F.col("id").isNull(), F.col("size")))).first()
+    limit = shard_bytes or max(LEAST_SHARD, -(-(total or 0) // MOST_SHARDS))
+    last = max(1, -(-(none or 0) // limit))
     if low is None:
-        return []
-    limit = shard_bytes or max(LEAST_SHARD, -(-total // MOST_SHARDS))
+        return [], [1, last]
     step = -(-(high + 1 - low) // BINS)
-    starts = low + F.floor((F.col("rank") - low) / step).cast("bigint") * step
-    cells = sized.where(F.col("rank") < LAST).select("rank", "size", starts.alias("start"))
+
+    def cell(start, width: int):
+        """In decimals: ids may be as far apart as longs go."""
+        away = F.col("id").cast("decimal(20,0)") - start.cast("decimal(20,0)")
+        return (start.cast("decimal(20,0)") + F.floor(away / F.lit(width).cast("decimal(20,0)")) * F.lit(width).cast("decimal(20,0)")).cast("bigint")
+
+    cells = sized.where("id is not null").select("id", "size", cell(F.lit(low), step).alias("start"))
     sums: dict[int, int] = {}
     while True:
         found = cells.groupBy("start").agg(F.sum("size").alias("bytes")).collect()
@@ -87,16 +100,21 @@ def shard_edges(pages: DataFrame, shard_bytes: int | None = None) -> list[int]:
         if not heavy:
             break
         step = -(-step // FINER)
-        finer = F.col("start") + F.floor((F.col("rank") - F.col("start")) / step).cast("bigint") * step
-        cells = cells.where(F.col("start").isin(heavy)).select("rank", "size", finer.alias("start"))
+        cells = cells.where(F.col("start").isin(heavy)).select("id", "size", cell(F.col("start"), step).alias("start"))
         sums = {k: v for k, v in sums.items() if k not in set(heavy)}
-    edges, run = [], 0
+    edges, parts, run = [], [1], 0
     for start, size in sorted(sums.items()):
         if run and run + size > limit:
             edges.append(start)
+            parts.append(1)
             run = 0
         run += size
-    return edges
+        parts[-1] = max(1, -(-run // limit))  # beyond the limit a range is one page id
+    return edges, [*parts, last]
+
+
+def shard_edges(pages: DataFrame, shard_bytes: int | None = None) -> list[int]:
+    return shard_ranges(pages, shard_bytes)[0]
 
 
 # ---------------------------------------------------------------- records
@@ -179,19 +197,18 @@ def write_archives(pages: DataFrame, root: str, shard_bytes: int | None = None,
     root = _local_uri(root)
     store, base = _files(root)
     store.create_dir(base, recursive=True)
-    records = plan_records(pages)
-    edges = shard_edges(pages, shard_bytes)
-    rank = F.coalesce("page_id", F.lit(LAST))
-    numbered = records.withColumn("shard", _shard_number(edges, rank))
-    # equal shard numbers may share a task, never the other way round; sorted, they come one after the other
-    parts = numbered.repartitionByRange(len(edges) + 1, "shard") if edges else numbered.coalesce(1)
-    ordered = parts.sortWithinPartitions("shard", rank, "digest", "url")
+    scratch = Scratch(spark)
+    records = plan_records(pages, scratch)
+    edges, parts = shard_ranges(pages, shard_bytes)
+    numbered = records.withColumn("shard", _shard_number(edges, parts)(F.coalesce("page_id", F.lit(0)), F.col("page_id").isNull(), F.conv(F.substring("digest", 1, 12), 16, 10).cast("bigint")))
+    ordered = numbered.repartitionById(sum(parts), F.col("shard")).sortWithinPartitions(F.col("page_id").isNull(), "page_id", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, last, nth, made = None, None, 0, []
         for batch in batches:
             for page_id, url, html, digest, size, first, shard in zip(*[batch.column(c) for c in ("page_id", "url", "html", "digest", "size", "first", "shard")], strict=True):
-                page_id, digest, first, shard = page_id.as_py(), digest.as_py(), first.as_py(), shard.as_py()
+                page_id, digest, shard = page_id.as_py(), digest.as_py(), shard.as_py()
+                target = None if not first.is_valid or first["none"].as_py() else first["id"].as_py()
                 if roller is None or roller.shard != shard:
                     if roller:
                         roller.close()
@@ -199,35 +216,61 @@ def write_archives(pages: DataFrame, root: str, shard_bytes: int | None = None,
                     roller = Roller(root, shard, file_bytes)
                 nth = nth + 1 if last == (page_id, digest) else 0
                 last = (page_id, digest)
-                revisit = first is not None and ((LAST if page_id is None else page_id) != first or nth > 0)
-                target = None if first in (None, LAST) else first
+                revisit = first.is_valid and (page_id != target or nth > 0)
                 roller.add(make_record(page_id, url.as_py(), html.as_py(), digest, target, revisit, nth))
         if roller:
             roller.close()
             made += roller.made
         yield pa.RecordBatch.from_pylist([dict(zip(("file", "records", "bytes", "sha256"), m, strict=True)) for m in made], pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
-    files = ordered.select("page_id", "url", "html", "digest", "size", "first", F.col("shard").cast("int").alias("shard")).mapInArrow(run, "file string, records bigint, bytes bigint, sha256 string").collect()
+    files = ordered.select("page_id", "url", "html", "digest", "size", "first", "shard").mapInArrow(run, "file string, records bigint, bytes bigint, sha256 string").collect()
+    scratch.clear()
     manifest = sorted((r.asDict() for r in files), key=lambda r: r["file"])  # a line for each file of 64 MB
     temp = f"{base}/_tmp-{uuid.uuid4().hex}-manifest"
     with store.open_output_stream(temp) as out:
         out.write("".join(json.dumps(m, sort_keys=True) + "\n" for m in manifest).encode())
     store.move(temp, f"{base}/manifest.jsonl")
+    for name in _left_over(store, base):  # of tasks that were lost
+        store.delete_file(name)
     return manifest
 
 
-def _shard_number(edges: list[int], rank):
-    """A binary search over the edges as nested comparisons; there are ``MOST_SHARDS`` or few more."""
-    if not edges:
-        return F.lit(0)
-    mid = len(edges) // 2
-    upper = _shard_number(edges[mid + 1 :], rank) + F.lit(mid + 1)
-    return F.when(rank < edges[mid], _shard_number(edges[:mid], rank)).otherwise(upper)
+def _left_over(store, base: str) -> list[str]:
+    from pyarrow import fs
+
+    return [f.path for f in store.get_file_info(fs.FileSelector(base)) if f.base_name.startswith("_tmp-")]
+
+
+def _shard_number(edges: list[int], parts: list[int]):
+    """A column function of (page id, whether it is null, a number from the digest): the range by binary
+    search, the shard inside it by the digest. Only these columns go to Python."""
+    starts, sizes = np.array(edges, np.int64), np.array(parts, np.int64)
+    firsts = np.cumsum(sizes) - sizes
+
+    @F.pandas_udf("int")
+    def number(page_id: pd.Series, none: pd.Series, digest: pd.Series) -> pd.Series:
+        at = np.where(none.to_numpy(bool), len(sizes) - 1, np.searchsorted(starts, page_id.to_numpy(np.int64), side="right"))
+        return pd.Series((firsts[at] + digest.to_numpy(np.int64) % sizes[at]).astype(np.int32))
+
+    return number
 
 
 # ---------------------------------------------------------------- reading
 
 
+class Summed:
+    """A stream that adds up what is read from it."""
+
+    def __init__(self, stream):
+        self.stream, self.size, self.sum = stream, 0, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.size += len(data)
+        self.sum.update(data)
+        return data
+
+
 def read_members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The decompressed members of a gzip file, one at a time."""
     z, parts, data = zlib.decompressobj(31), [], b""
@@ -263,25 +306,27 @@ READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string,
 
 
 def read_archives(spark: SparkSession, root: str, payload: bool = True) -> DataFrame:
-    """The records of all files in the manifest; digests are verified. With ``payload`` the
-    payloads of response records come along."""
+    """The records of all files in the manifest, whose sizes, numbers of records and digests are verified,
+    as are the records' own digests. With ``payload`` the payloads of response records come along."""
     worker_path(spark)
     root = _local_uri(root)
     store, base = _files(root)
     with store.open_input_stream(f"{base}/manifest.jsonl") as f:
-        names = [json.loads(line)["file"] for line in f.read().decode().splitlines()]
+        manifest = [json.loads(line) for line in f.read().decode().splitlines()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string())])
         store, base = _files(root)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
-                rows, held = [], 0
-                with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
+            for entry in batch.to_pylist():
+                rows, held, records = [], 0, 0
+                with store.open_input_stream(f"{base}/{entry['file']}", compression=None) as raw:
+                    stream = Summed(raw)
                     for data in read_members(stream):
                         fields, block = parse_record(data)
                         if fields["WARC-Type"] == "warcinfo":
                             continue
+                        records += 1
                         http, _, body = block.partition(b"\r\n\r\n")
                         length = next(int(h.split(b": ")[1]) for h in http.split(b"\r\n") if h.startswith(b"Content-Length"))
                         digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
@@ -293,9 +338,11 @@ def read_archives(spark: SparkSession, root: str, payload: bool = True) -> DataF
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
                             rows, held = [], 0
+                if (records, stream.size, stream.sum.hexdigest()) != (entry["records"], entry["bytes"], entry["sha256"]):
+                    raise ValueError(f"{entry['file']} is not what the manifest says: wrong record count, size or digest")
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
-    listed = spark.createDataFrame([(n,) for n in names], "file string").repartition(max(1, len(names)))
+    listed = spark.createDataFrame([tuple(m[c] for c in ("file", "records", "bytes", "sha256")) for m in manifest], "file string, records bigint, bytes bigint, sha256 string").repartition(max(1, len(manifest)))
     return listed.mapInArrow(run, READ)
 
 

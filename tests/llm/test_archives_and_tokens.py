@@ -6,6 +6,7 @@ import os
 import random
 import resource
 import time
+from collections import Counter
 
 import pytest
 import sentencepiece as spm
@@ -63,6 +64,33 @@ def test_damage_is_noticed(spark, tmp_path):
         warc.read_archives(spark, f"file://{tmp_path}/w").collect()
 
 
+def test_the_manifest_is_verified(spark, tmp_path):
+    m = warc.write_archives(table(spark, SMALL, "pages"), f"file://{tmp_path}/w")[0]
+    path = f"{tmp_path}/w/{m['file']}"
+    data = open(path, "rb").read()
+    with open(path, "wb") as f:  # whole records, but the last one is missing
+        f.write(data[: data.rindex(b"\x1f\x8b\x08\x00\x00\x00\x00\x00")])
+    with pytest.raises(Exception, match="manifest"):
+        warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+
+
+def test_heavy_ids_and_null_ids_take_several_shards(spark, tmp_path):
+    rows = [(i % 7 if i < 400 else None, "u", f"{i % 390} " * 60) for i in range(800)] + [(2**63 - 1, "u", "z" * 300), (-(2**63), "u", "z" * 300)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/w", shard_bytes=5000)
+    assert max(m["records"] for m in manifest) < 150 and sum(m["records"] for m in manifest) == 802
+    got = warc.read_archives(spark, f"file://{tmp_path}/w").collect()
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h, []).append((i is None, i or 0))
+    want = Counter((i, "response" if min(first[h]) == (i is None, i or 0) else "revisit") for i, _, h in set(rows))
+    extra = len(rows) - len(set(rows))
+    kinds = Counter((r.page_id, r.record_type) for r in got)
+    assert sum((kinds - want).values()) == extra and not want - kinds
+    digest = {hashlib.sha256(h.encode()).hexdigest(): min(v) for h, v in first.items()}
+    assert all(r.refers_to == (None if digest[r.payload_digest][0] else digest[r.payload_digest][1]) for r in got if r.record_type == "revisit")
+
+
 def test_edges_refine_heavy_ranges(spark):
     rows = [(i, "u", "x" * 50) for i in range(300)] + [(10**12 + i, "u", "x" * 50) for i in range(300)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
