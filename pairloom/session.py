@@ -100,9 +100,24 @@ def settle(df: DataFrame, label: str = "stage") -> DataFrame:
         df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._settled_path = path
+    _settled.append(path)
     return back
 
 
+_settled: list[str] = []
+
+
+@contextmanager
+def swept(spark: SparkSession):
+    """Within, the tables that operators settle go in the end: for work whose result has been written."""
+    first = len(_settled)
+    try:
+        yield
+    finally:
+        release(spark, *_settled[first:])
+        del _settled[first:]
+
+
 def release(spark: SparkSession, *paths: str) -> None:
     """Delete settled tables that no later step reads."""
     for path in paths:
