@@ -9,7 +9,9 @@ profile lacks the n-gram. The nearest profile wins.
 Defined results: null text, empty text and text without a letter give ``und``
 and score 0. Ties between languages go to the name that sorts first, ties
 between n-grams to the smaller code points. Training skips rows with a null text
-or language. Without any training row every document is ``und``.
+or language. Without any training row every document is ``und``. Repeated rows count
+as often as they are there. A text of any length is counted whole, in about 40
+bytes of memory a character. Other columns are ignored.
 """
 
 from __future__ import annotations

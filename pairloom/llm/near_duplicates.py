@@ -111,6 +111,17 @@ def compare(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.distinct().join(right, "c").join(left, "p").select("p", "c", estimate(F.col("sp"), F.col("sc")).alias("est"))
 
 
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """The union-sketch estimate of two sketches against a bound."""
+    both = np.concatenate((a, b))
+    both.sort()
+    twice = both[1:] == both[:-1]
+    first = np.concatenate(([True], ~twice))
+    place = np.cumsum(first)  # of each value in the union
+    size = min(K, int(place[-1]))
+    return int((twice & (place[1:] <= size)).sum()) >= least * size
+
+
 def blocks_of(lists: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``lists`` (keys, c, ...) with blocks (i, j) and ``own``: long lists are cut into blocks, any
     two of which meet in one group, so a group stays small."""
@@ -121,7 +132,8 @@ def blocks_of(lists: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pair_blocks(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(p, c): all pairs within a list whose sketches share as much as an estimate for a link asks for."""
+    """(p, c): all pairs within a list that may be linked by their estimate. Pairs whose sketches share too
+    little for it are told by one matrix product."""
     worker_path(lists.sparkSession)
     least = least_estimate(percent)
     rows = blocks_of(lists, ["x"]).join(sketches, "c").select("x", "i", "j", "own", "c.c1", "c.c2", "sketch")
@@ -134,6 +146,9 @@ def pair_blocks(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFram
         if i != j:
             hit &= own[:, None] != own[None, :]
         x, y = np.nonzero(hit)
+        each = np.split(sketch.values.to_numpy(), np.cumsum(size)[:-1])
+        good = np.fromiter((similar(each[a], each[b], least) for a, b in zip(x, y, strict=True)), bool, len(x))
+        x, y = x[good], y[good]
         return pa.table({"p1": pa.array(c1[x], pa.int64()), "p2": pa.array(c2[x], pa.int64()), "c1": pa.array(c1[y], pa.int64()), "c2": pa.array(c2[y], pa.int64())})
 
     made = rows.groupBy("x", "i", "j").applyInArrow(run, "p1 bigint, p2 bigint, c1 bigint, c2 bigint")

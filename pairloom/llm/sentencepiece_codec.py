@@ -6,8 +6,9 @@ The merges of the model then run on the normalised string, and the pieces'
 lengths cut that alignment into spans of the original UTF-8 text.
 
 Defined results: a null text counts as empty; an empty text has no ids and
-decodes to the empty string. Rows keep their multiplicity; other columns of the
-input are ignored.
+decodes to the empty string. Texts of any length are encoded whole. Rows keep their
+multiplicity; other columns of the input are ignored. A model's path is one on
+every worker.
 """
 
 from __future__ import annotations
@@ -157,18 +158,17 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec_at(path: str) -> Codec:
-    with open(path, "rb") as f:
+def codec_at(path: str | None) -> Codec:
+    """The codec of a model file; without a path the worker looks the default model up where it runs."""
+    with open(path or default_model(), "rb") as f:
         return Codec(f.read())
 
 
 def encode_documents(docs: DataFrame, model: str | None = None, spans: bool = True) -> DataFrame:
-    """doc_id, ids, and with ``spans`` the original byte spans (starts, ends), per row of ``docs``.
-    ``model`` is a path on every worker."""
-    path = model or default_model()
+    """doc_id, ids, and with ``spans`` the original byte spans (starts, ends), per row of ``docs``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = codec_at(path)
+        codec = codec_at(model)
         made = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
         columns = [batch.column("doc_id")] + [pa.array([m[i] for m in made], pa.list_(pa.int64())) for i in range(3 if spans else 1)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "starts", "ends"][: len(columns)])
@@ -179,10 +179,9 @@ def encode_documents(docs: DataFrame, model: str | None = None, spans: bool = Tr
 
 def decode_ids(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id and decoded text per row of (doc_id, ids)."""
-    path = model or default_model()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = codec_at(path)
+        codec = codec_at(model)
         texts = [codec.decode(ids or []) for ids in batch.column("ids").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "decoded"])
 
@@ -194,10 +193,9 @@ DIGEST_SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, spans_sha256
 
 def digest_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     """Digests of ids, spans and decoded text; one pass over the texts, no shuffle."""
-    path = model or default_model()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec, rows = codec_at(path), []
+        codec, rows = codec_at(model), []
         for text in batch.column("text"):
             ids, starts, ends = codec.encode(text.as_py() or "")
             listed = ids.tolist()
