@@ -7,7 +7,13 @@ line_dedup        cuts later occurrences of three-line windows; a document of wh
 near_dedup        keeps one document of each group of near-duplicates (five-word
                   shingles, similarity 0.8)
 decontamination   drops documents that hold a benchmark item
-sentencepiece     encodes what is left, and decodes it as a check
+sentencepiece     encodes what is left, and decodes it as a check: doc_id, n_tokens, ids and
+                  decoded_sha256; the other columns end here
+
+All stages but the last keep the columns of ``documents`` and any others. A null text
+is no toxic one, has no lines, is a near-duplicate of nothing, holds no benchmark item
+and has no tokens; an empty text likewise. Of twin rows (equal id and text) one
+reaches the end. Texts of any length are taken whole; an empty table stays one.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import decontamination, line_dedup, near_duplicates, sentencepiece_codec, toxicity
 from pairloom.llm.common import fresh, map_batches
-from pairloom.session import shared_path, table
+from pairloom.session import release, shared_path, swept, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +55,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, decoded_sha256."""
-    path = sentencepiece_codec.default_model()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = sentencepiece_codec.codec_at(path)
+        codec = sentencepiece_codec.codec_at(None)
         ids, digests = [], []
         for text in batch.column("text"):
             own = codec.encode(text.as_py() or "")[0]
@@ -80,8 +85,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with swept(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            release(spark, before)
+        before = path
     return docs
