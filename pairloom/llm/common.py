@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,20 @@ from pyspark.sql import functions as F
 from pairloom.session import Scratch, worker_path
 
 
+@lru_cache(maxsize=1)
+def lean() -> None:
+    """Once in a Python worker, which lives for many tasks: memory of freed arrays goes back. glibc would
+    keep it after the first large ones, and so would Arrow's own pool; with several workers beside an
+    executor's heap this was hundreds of megabytes."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``fn`` over Arrow batches, without a shuffle. Batches are bounded by rows and bytes
     (:func:`small_batches`), so memory does not grow with a partition."""
@@ -20,7 +36,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | I
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.set_memory_pool(pa.system_memory_pool())  # workers live long: freed batches go back
+        lean()
         for batch in batches:
             made = fn(batch)
             if isinstance(made, pa.RecordBatch):

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import fresh, map_batches, packed, row_key, split_twins, twin_keys, unpacked
+from pairloom.llm.common import fresh, lean, map_batches, packed, row_key, split_twins, twin_keys, unpacked
 from pairloom.llm.components import components
 from pairloom.llm.shingles import shingle_sets
 from pairloom.session import Scratch, settle, worker_path
@@ -139,6 +139,7 @@ def pair_blocks(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     rows = blocks_of(lists, ["x"]).join(sketches, "c").select("x", "i", "j", "own", "c.c1", "c.c2", "sketch")
 
     def run(group: pa.Table) -> pa.Table:
+        lean()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         own, sketch = group["own"].to_numpy(), group["sketch"].combine_chunks()
         c1, c2, size = group["c1"].to_numpy(), group["c2"].to_numpy(), np.asarray(sketch.value_lengths())
@@ -221,6 +222,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, members: DataFrame, siz
     rows = placed.join(sets, "c").select("p.c1", "p.c2", "block", "large", "pivot", F.col("c.c1").alias("m1"), F.col("c.c2").alias("m2"), "items")
 
     def run(group: pa.Table) -> pa.Table:
+        lean()
         items = group["items"].combine_chunks()
         values, lengths = items.values.to_numpy(), np.asarray(items.value_lengths())
         m1, m2 = group["m1"].to_numpy(), group["m2"].to_numpy()
@@ -272,6 +274,7 @@ def links_by_differences(made: DataFrame, percent: int, scratch: Scratch) -> Dat
     rows = rows.join(of, ["p", "c"]).select("p", "x", "i", "j", "own", "c.c1", "c.c2", "linked", "n", "pn", "gone", "d")
 
     def run(group: pa.Table) -> pa.Table:
+        lean()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         own, d = group["own"].to_numpy(), group["d"].combine_chunks()
         n, gone, base = group["n"].to_numpy(), group["gone"].to_numpy(), group["pn"][0].as_py()

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import suffix_arrays as sa
 from pairloom.llm.anchors import WIDTH, leftmost_minima, window_hashes
-from pairloom.llm.common import map_batches, packed, row_key, unpacked
+from pairloom.llm.common import lean, map_batches, packed, row_key, unpacked
 from pairloom.llm.shingles import B, B_INVERSE, _power, mix
 from pairloom.session import Scratch, worker_path
 
@@ -199,6 +199,7 @@ def shard_results(found: DataFrame, total: int) -> DataFrame:
     rows = other.select("bucket", "hot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "a", "ctx", "left", "data")
 
     def run(group: pa.Table) -> pa.Table:
+        lean()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         own = group["own"].to_numpy()
         reach = repeated_reach(group["key"].to_numpy(), group["left"].to_numpy().astype(np.int64), group["data"].to_pylist(), None if i == j else (own == j).astype(np.int64))
