@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -154,6 +155,21 @@ def low_support(df: DataFrame, group: str, least: int) -> DataFrame:
     return counts.select(group, F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(" rows")).alias("warning"))
 
 
-def dry_run(df: DataFrame, n: int = 5) -> DataFrame:
-    """DQ13: a few rows to try a plan on."""
-    return df.limit(n)
+def dry_run(df: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]], n: int = 5) -> DataFrame:
+    """DQ13: every step of a plan on a few rows, one after the other: (step, ok, rows, columns, error). A
+    step that fails ends the run."""
+    spark, out, part = df.sparkSession, [], df.limit(n)
+    for name, step in steps.items():
+        try:
+            part = spark.createDataFrame((made := step(part)).collect(), made.schema)
+            out.append((name, True, part.count(), ",".join(part.columns), None))
+        except Exception as error:  # noqa: BLE001  any failure is the finding
+            out.append((name, False, 0, "", str(error)[:200]))
+            break
+    return spark.createDataFrame(out, "step string, ok boolean, rows bigint, columns string, error string")
+
+
+def self_checks(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """DQ10: (name, n, passed): for each check, the rows there are and those for which it holds."""
+    counts = df.agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()])
+    return counts.select("n", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("passed")) for n in checks])).alias("c")).select("c.name", "n", "c.passed")

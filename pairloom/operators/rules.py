@@ -296,7 +296,8 @@ def normalize_variant(df: DataFrame) -> DataFrame:
 def merge_side_array(main: Column, side: Column) -> Column:
     """PRJ25: entries of the side array whose type isn't there yet; of two side entries of a type the
     first comes in, since the array grows as it is merged."""
-    fresh = F.filter(side, lambda c, i: ~F.exists(main, lambda v: v["intervention_type"] == c["intervention_type"]) & ~F.exists(F.slice(side, F.lit(1), i), lambda e: e["intervention_type"] == c["intervention_type"]))
+    same = lambda c: lambda v: v["intervention_type"].eqNullSafe(c["intervention_type"])  # noqa: E731  a missing type is a type
+    fresh = F.filter(side, lambda c, i: ~F.exists(main, same(c)) & ~F.exists(F.slice(side, F.lit(1), i), same(c)))
     return F.concat(main, F.coalesce(fresh, F.slice(main, 1, 0)))
 
 

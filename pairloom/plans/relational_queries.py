@@ -87,7 +87,7 @@ def matched_controls(spark, sf_dir):
     return J.matched_first(orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'P'"), "o_custkey", S.hash_order("o_orderkey"), 500).select("o_orderkey", "matched")
 
 
-@query("JN9 JN10 STM3", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
+@query("JN9", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def semi_anti(spark, sf_dir):
     done = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return J.not_done(table(spark, sf_dir, "customer").select("c_custkey"), done, ["c_custkey"])

@@ -220,7 +220,7 @@ def missing_grid(spark, sf_dir):
     return out.where(~F.col("present")).groupBy("category", "label").agg(F.count("*").alias("n_missing"))
 
 
-@query("ARR2 SRC1 FLT1", "select event_type, count(*) as n, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as k_sum, count_if(contains(props, '[')) as n_lists from events group by event_type")
+@query("ARR2 FLT1", "select event_type, count(*) as n, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) as k_sum, count_if(contains(props, '[')) as n_lists from events group by event_type")
 def json_extract(spark, sf_dir):
     k = F.from_json("props", "k bigint")["k"]
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k_sum"), F.count_if(F.left(F.ltrim("props"), F.lit(1)) == "[").alias("n_lists"))

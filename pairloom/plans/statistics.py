@@ -30,39 +30,51 @@ def correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
 
 
-def average_rank(column: str, group: list[str] | None = None) -> Column:
-    """Ranks from 1, ties share their mean."""
-    w = Window.partitionBy(*(group or [])).orderBy(column)
-    ties = Window.partitionBy(*(group or []), column)
-    return F.rank().over(w) + (F.count("*").over(ties) - 1) / 2.0
+def ranked(df: DataFrame, column: str, name: str, group: list[str] | None = None, ties: str | None = None) -> DataFrame:
+    """Average ranks from 1 under ``name`` (``ties``: how many rows share the value), by group. No task sorts
+    a group: counts per value, running sums over range-partitioned values, and a join back, whose sides
+    AQE can split at a common value."""
+    group = group or []
+    keys = [*group, column]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    parts = counts.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id())
+    sums = parts.groupBy("_p", *group).agg(F.sum("_n").alias("_s"))  # a row for each partition, and for each group inside
+    before = Window.partitionBy(*group).orderBy("_p") if group else Window.orderBy("_p")
+    base = sums.select("_p", *group, (F.sum("_s").over(before) - F.col("_s")).alias("_base"))
+    within = F.sum("_n").over(Window.partitionBy("_p", *group).orderBy(column))
+    ranks = _same(parts.withColumn("_c", within), base, ["_p", *group])
+    ranks = ranks.select(*keys, (F.col("_base") + F.col("_c") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(name), *([F.col("_n").alias(ties)] if ties else []))
+    return _same(df, ranks, keys)
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on equal keys, NULL equal to NULL; the keys once."""
+    renamed = right.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
+    joined = left.join(renamed, on)
+    return joined.drop(*[f"_k_{i}" for i in range(len(keys))])
 
 
 def global_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Average ranks over a whole table, without one task that sorts it: counts per value, running
-    sums over range-partitioned values, and a join back."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    parts = counts.repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id())
-    sums = parts.groupBy("_p").agg(F.sum("_n").alias("_s"))
-    base = sums.select("_p", (F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).alias("_base"))  # one row per partition
-    within = F.sum("_n").over(Window.partitionBy("_p").orderBy(column))
-    ranks = parts.withColumn("_c", within).join(F.broadcast(base), "_p")
-    ranks = ranks.select(column, (F.col("_base") + F.col("_c") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(name))
-    return df.join(ranks, column)
+    """Average ranks over a whole table."""
+    return ranked(df, column, name)
 
 
 def spearman(df: DataFrame, x: str, y: str, group: list[str] | None = None) -> DataFrame:
     """ST5: rho and n per group, over rows with both values."""
     group = group or []
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.withColumns({"_rx": average_rank(x, group), "_ry": average_rank(y, group)})
-    return ranked.groupBy(*group).agg(correlation(F.col("_rx"), F.col("_ry")).alias("rho"), F.count("*").alias("n"))
+    both = ranked(ranked(rows, x, "_rx", group), y, "_ry", group)
+    return both.groupBy(*group).agg(correlation(F.col("_rx"), F.col("_ry")).alias("rho"), F.count("*").alias("n"))
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, z: str, group: list[str] | None = None) -> DataFrame:
     """ST4: correlation of x and y without z, its t value; p by :func:`t_two_sided`."""
     group = group or []
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
-    r = rows.withColumns({f"_{c}": average_rank(c, group) for c in (x, y, z)}).groupBy(*group).agg(
+    for c in (x, y, z):
+        rows = ranked(rows, c, f"_{c}", group)
+    r = rows.groupBy(*group).agg(
         correlation(F.col(f"_{x}"), F.col(f"_{y}")).alias("rxy"), correlation(F.col(f"_{x}"), F.col(f"_{z}")).alias("rxz"), correlation(F.col(f"_{y}"), F.col(f"_{z}")).alias("ryz"), F.count("*").alias("n")
     )
     floor = F.lit(1e-10)
@@ -115,8 +127,8 @@ def normal_upper(z: pd.Series) -> pd.Series:
 def mann_whitney(df: DataFrame, x: str, first: Column, group: list[str] | None = None) -> DataFrame:
     """ST6: U of the first sample and its z, with tie and continuity correction (upper side)."""
     group = group or []
-    ranked = df.where(F.col(x).isNotNull() & first.isNotNull()).withColumns({"_r": average_rank(x, group), "_f": first.cast("int"), "_t": F.count("*").over(Window.partitionBy(*group, x)).cast("double")})
-    s = ranked.groupBy(*group).agg(
+    rows = ranked(df.where(F.col(x).isNotNull() & first.isNotNull()).withColumn("_f", first.cast("int")), x, "_r", group, "_t").withColumn("_t", F.col("_t").cast("double"))
+    s = rows.groupBy(*group).agg(
         F.sum(F.col("_r") * F.col("_f")).alias("r1"), F.sum("_f").cast("double").alias("n1"), F.sum(1 - F.col("_f")).cast("double").alias("n2"), F.sum(F.col("_t") ** 2 - 1).alias("ties")
     )
     n = F.col("n1") + F.col("n2")
@@ -130,8 +142,8 @@ def wilcoxon(df: DataFrame, d: str, group: list[str] | None = None) -> DataFrame
     sensible, which the caller sees in n."""
     group = group or []
     rows = df.where(F.col(d).isNotNull() & (F.col(d) != 0)).withColumn("_a", F.abs(F.col(d)))
-    ranked = rows.withColumns({"_r": average_rank("_a", group), "_t": F.count("*").over(Window.partitionBy(*group, "_a")).cast("double")})
-    s = ranked.groupBy(*group).agg(F.sum(F.when(F.col(d) > 0, F.col("_r")).otherwise(0.0)).alias("w"), F.count("*").alias("n"), F.sum(F.col("_t") ** 2 - 1).alias("ties"))
+    rows = ranked(rows, "_a", "_r", group, "_t").withColumn("_t", F.col("_t").cast("double"))
+    s = rows.groupBy(*group).agg(F.sum(F.when(F.col(d) > 0, F.col("_r")).otherwise(0.0)).alias("w"), F.count("*").alias("n"), F.sum(F.col("_t") ** 2 - 1).alias("ties"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     return s.select(*group, "w", "n", ((F.col("w") - n * (n + 1) / 4) / F.sqrt(var)).alias("z"))
@@ -151,42 +163,35 @@ def pearson_matrix(df: DataFrame, key: str, item: str, value: str) -> DataFrame:
 
 
 def bootstrap(df: DataFrame, group: str, x: str, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """ST1: percentile interval of the mean at 95 %. Poisson counts stand for resampling (T20); each task
-    draws them for its own rows, seeded by their content, and only sums leave it, so a group of any
-    size is never gathered. The same split of the rows gives the same interval."""
-    counts = _poisson_sums(df, group, x, draws, seed)
-    q = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))
-    tails = counts.groupBy(group).agg(q.alias("q"))
-    means = df.groupBy(group).agg(F.avg(x).alias("mean"))
-    return means.join(tails, group).select(group, "mean", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
+    """ST1: percentile interval of the mean at 95 %. Poisson counts stand for resampling (T20). Rows of one
+    value are drawn together (a sum of Poisson counts is one), seeded by group and value, and only sums
+    leave a task: a group is never gathered, and however the rows are split the interval is the same."""
+    kind = df.schema[group].dataType.simpleString()
+    rows = df.select(F.col(group).cast("string").alias("g"), F.col(x).cast("double").alias("x")).where("x is not null")
+    sums = _poisson_sums(rows.groupBy("g", "x").agg(F.count("*").alias("c")), draws, seed)
+    means = sums.groupBy("g", "b").agg((F.sum("s") / F.sum("w")).alias("m"))
+    tails = means.groupBy("g").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    seen = rows.groupBy("g").agg(F.avg("x").alias("mean"))
+    return _same(seen, tails, ["g"]).select(F.col("g").cast(kind).alias(group), "mean", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
 
 
-def _poisson_sums(df: DataFrame, group: str, x: str, draws: int, seed: int) -> DataFrame:
+def _poisson_sums(values: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(g, b, s, w): for each draw b the sums of the drawn values and of their counts, of a task's values."""
     import pyarrow as pa
 
-    kind = df.schema[group].dataType.simpleString()
+    schema = pa.schema([("g", pa.string()), ("b", pa.int64()), ("s", pa.float64()), ("w", pa.float64())])
 
     def run(batches):
         sums: dict = {}
         for batch in batches:
-            frame = batch.to_pandas().dropna(subset=["x"])
-            for name, part in frame.groupby("g", dropna=False):
-                values = part["x"].to_numpy(float)
-                for start in range(0, len(values), 512):
-                    chunk = values[start : start + 512]
-                    rng = np.random.default_rng([seed, len(chunk), zlib.crc32(chunk.tobytes())])
-                    w = rng.poisson(1.0, (len(chunk), draws))
-                    s = sums.setdefault(name, np.zeros((2, draws)))
-                    s += np.stack([chunk @ w, w.sum(axis=0)])
-        names = list(sums)
-        g = [n for n in names for _ in range(draws)]
-        rows = {"g": g, "b": list(range(draws)) * len(names), "s": np.concatenate([sums[n][0] for n in names] or [np.zeros(0)]), "w": np.concatenate([sums[n][1] for n in names] or [np.zeros(0)])}
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(rows), preserve_index=False) if names else pa.RecordBatch.from_pylist([], schema)
-
-    schema = pa.schema([("g", pa.string()), ("b", pa.int64()), ("s", pa.float64()), ("w", pa.float64())])
-    made = df.select(F.col(group).cast("string").alias("g"), F.col(x).cast("double").alias("x")).mapInArrow(run, "g string, b bigint, s double, w double")
-    total = made.groupBy("g", "b").agg((F.sum("s") / F.sum("w")).alias("m"))
-    return total.select(F.col("g").cast(kind).alias(group), "m")
+            for g, v, c in zip(*[batch.column(n).to_pylist() for n in ("g", "x", "c")], strict=True):
+                w = np.random.default_rng([seed, zlib.crc32(repr((g, v)).encode())]).poisson(c, draws)
+                s = sums.setdefault(g, np.zeros((2, draws)))
+                s += np.stack([v * w, w])
+        for g, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * draws, pa.string()), pa.array(np.arange(draws)), pa.array(s[0]), pa.array(s[1])], schema=schema)
+
+    return values.mapInArrow(run, "g string, b bigint, s double, w double")
 
 
 VALUES = 4096  # distinct values of a block of the permutation test

@@ -9,7 +9,7 @@ from pairloom.operators import registry as R
 from pairloom.operators.aggregates import co_occurrence, element_frequency, rate
 from pairloom.operators.sampling import bucket_plan, group_split
 from pairloom.plans.registry import query
-from pairloom.session import table
+from pairloom.session import spread, table
 
 # RE2 knows word boundaries of ASCII only; other letters stand as x there
 LOW = "regexp_replace(lower(text), '[^\\x00-\\x7F]', 'x', 'g')"
@@ -39,7 +39,7 @@ def _labels_sql() -> str:
 def audit_labels(spark, sf_dir):
     every = F.flatten(F.array(*[F.transform(X.tags(F.col("low"), p, lowered=True), _pair(c)) for c, p in ASCII_PATTERNS.items()]))
     hit = F.col("low").rlike(X.any_of([p for ps in ASCII_PATTERNS.values() for p in ps.values()]))
-    return table(spark, sf_dir, "documents").select(F.lower("text").alias("low")).where(hit).select(F.explode(every).alias("e")).groupBy("e.category", "e.label").agg(F.count("*").alias("n"))
+    return spread(table(spark, sf_dir, "documents").select("text")).select(F.lower("text").alias("low")).where(hit).select(F.explode(every).alias("e")).groupBy("e.category", "e.label").agg(F.count("*").alias("n"))
 
 
 def _pair(category):

@@ -298,14 +298,14 @@ def projection_stats(spark, sf_dir):
 @query(
     "ST17 JN13 VEC7",
     f"""with {SV}, r as (select *, row_number() over (partition by label order by md5(cast(vec_id as varchar) || ':0'), vec_id) as r from v),
-p as (select a.label, 1 - list_cosine_similarity(a.v, b.v) as x, 1 - list_cosine_similarity(a.v[1:8], b.v[1:8]) as y from r a join r b on a.label = b.label and a.r < b.r where a.r <= 12 and b.r <= 12),
+p as (select a.label, 1 - list_cosine_similarity(a.v, b.v) as x, 1 - list_cosine_similarity(a.v[1:8], b.v[1:8]) as y from r a join r b on a.label = b.label and a.r < b.r where a.r <= 50 and b.r <= 50),
 k as (select label, rank() over (partition by label order by x) + (count(*) over (partition by label, x) - 1) / 2.0 as rx, rank() over (partition by label order by y) + (count(*) over (partition by label, y) - 1) / 2.0 as ry from p)
 select label, round(corr(rx, ry), 6) as rho, count(*) as n from k group by label""",
 )
 def rsa_by_label(spark, sf_dir):
     from pairloom.plans.statistics import spearman
 
-    pairs = J.pairs_within(vecs(spark, sf_dir), "label", "vec_id", "v", 12)
+    pairs = J.pairs_within(vecs(spark, sf_dir), "label", "vec_id", "v", 50)
     d = pairs.select("label", (1.0 - V.cosine(F.col("va"), F.col("vb"))).alias("x"), (1.0 - V.cosine(F.slice("va", 1, 8), F.slice("vb", 1, 8))).alias("y"))
     return spearman(d, "x", "y", ["label"]).withColumn("rho", F.round("rho", 6))
 

@@ -39,6 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, where a scan has fewer tasks (one small file);
+    a table of many files is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def one_process(spark: SparkSession) -> bool:
     """Whether driver and executors are one JVM, so that a local folder is a shared one."""
     master = spark.sparkContext.master

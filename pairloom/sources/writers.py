@@ -70,18 +70,24 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def write_text(spark: SparkSession, path: str, content: str) -> None:
+def write_text(spark: SparkSession, path: str, content: str | bytes) -> None:
     """SNK6: a small file, under a temporary name and then renamed."""
     fs, target, jvm = _fs(spark, path)
     temp = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp-{uuid.uuid4().hex}")
     out = fs.create(temp, True)
-    out.write(bytearray(content.encode()))
+    out.write(bytearray(content.encode() if isinstance(content, str) else content))
     out.close()
     fs.delete(target, False)
     if not fs.rename(temp, target):
         raise OSError(f"cannot rename to {path}")
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    fs, folder, _ = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     fs, target, _ = _fs(spark, path)
     if not fs.exists(target):

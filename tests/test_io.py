@@ -159,3 +159,27 @@ def test_observed_counters(spark):
     df.collect()
     assert watch.get == {"even": 5}
     assert key_union([spark.range(1), spark.range(1).withColumn("z", F.lit(1))], ["z", "q"]) == ["z", "id"]
+
+
+def test_an_uncommitted_batch_does_not_count(spark, tmp_path):
+    path = str(tmp_path / "log")
+    resume.commit(spark.range(3).withColumnRenamed("id", "k"), path)
+    spark.range(3, 9).withColumnRenamed("id", "k").write.parquet(f"{path}/batch=lost")
+    assert sorted(r.k for r in resume.finished(spark, path, "k bigint").collect()) == [0, 1, 2]
+    assert resume.resume(spark, spark.range(5).withColumnRenamed("id", "k"), path, ["k"], lambda df: df) == 5
+    resume.commit(spark.range(3).withColumnRenamed("id", "k"), path)  # another run at the same time
+    assert resume.finished(spark, path, "k bigint", ["k"]).count() == 5
+
+
+def test_old_shards_stay_until_the_new_ones_are_whole(spark, tmp_path):
+    root = str(tmp_path / "s")
+    resume.write_shards(spark.range(10), root, 4, "id")
+    spark.range(99).write.parquet(f"{root}/lost/shards")
+    assert resume.read_shards(spark, root).count() == 10
+
+
+def test_dry_run_stops_at_the_first_failure(spark):
+    from pairloom.operators.quality import dry_run
+
+    got = dry_run(spark.range(9), {"a": lambda df: df.withColumn("x", F.lit(1)), "b": lambda df: df.select("nothing"), "c": lambda df: df}, 3)
+    assert [(r.step, r.ok, r.rows) for r in got.collect()] == [("a", True, 3), ("b", False, 0)]

@@ -269,3 +269,23 @@ def test_stem_offset_and_token_map(spark):
 def test_softmax_is_a_distribution(spark):
     p = one(spark, V.softmax(F.col("z")), z=("array<double>", [1000.0, 1001.0, -5.0, 0.0]))
     assert math.isclose(sum(p), 1.0) and max(p) == p[1]
+
+
+def test_results_do_not_depend_on_the_partitioning(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([("ab"[i % 2] if i % 11 else None, float(v)) for i, v in enumerate(rng.integers(0, 40, 500))], "g string, x double")
+    one = {r.g: (r.lo, r.hi) for r in T.bootstrap(rows.coalesce(1), "g", "x", draws=300).collect()}
+    for r in T.bootstrap(rows.repartition(7), "g", "x", draws=300).collect():
+        assert (r.lo, r.hi) == pytest.approx(one[r.g])
+    want = {}
+    for g in ("a", "b", None):
+        values = sorted(r.x for r in rows.collect() if r.g == g)
+        want |= {(g, v): (values.index(v) + 1 + values.index(v) + values.count(v)) / 2 for v in values}
+    got = T.ranked(rows, "x", "rank", ["g"], "ties").collect()
+    assert len(got) == 500 and all(r["rank"] == want[r.g, r.x] for r in got)
+
+
+def test_side_array_without_types(spark):
+    v = "array<struct<intervention_type:string,text:string>>"
+    got = one(spark, rules.merge_side_array(F.col("m"), F.col("s")), m=(v, [("a", "1")]), s=(v, [(None, "x"), (None, "y")]))
+    assert [r.text for r in got] == ["1", "x"]
