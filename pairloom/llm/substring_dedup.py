@@ -18,8 +18,9 @@ else, in the same text or another one.
    ``MOST_PARTS``, and any two of these are merged by binary search. One with more
    is told apart by longer strings: of two contexts that share a string, half of
    what lies around the anchor is equal on the left or on the right, so each goes
-   into two groups by these halves, and again while a group is too large. At the
-   end all of the string is equal, so a context is in at most ``LENGTH`` groups.
+   into two groups by these halves, and again while a group is too large, at most
+   eight times. Contexts that are equal as far as a group's strings reach are
+   settled there and go on as one.
 5. The runs found are gathered per document, merged and cut out.
 
 Defined results: null and empty texts and texts shorter than ``LENGTH`` bytes
@@ -215,25 +216,31 @@ def parts_of(n):
 
 def narrowed(hot: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """For contexts (a, ctx, left, data) of anchors with very many: (groups by longer shared strings that
-    shards can hold, runs of those that share a whole string). ``x`` and ``y`` are the bytes before and
-    behind the anchor that a group shares."""
+    shards can hold, runs that need no shard). A group shares ``x`` bytes before and ``y`` behind the
+    anchor, so its strings reach over at most REACH - y and REACH - x. Contexts that are equal in all
+    of that are repeated with all strings of the group at once, and one of them stands for them."""
     rows = hot.select("a", "ctx", "left", "data", F.lit(0).alias("x"), F.lit(0).alias("y"))
     small = whole = None
     while not rows.isEmpty():
         half = F.ceil((F.lit(REACH) - F.col("x") - F.col("y")) / 2).cast("int")
         two = F.explode(F.array(F.struct((F.col("x") + half).alias("x"), F.col("y").alias("y")), F.struct(F.col("x").alias("x"), (F.col("y") + half).alias("y"))))
         kids = rows.select("a", "ctx", "left", "data", two.alias("s")).select("a", "ctx", "left", "data", "s.x", "s.y")
-        kids = kids.where((F.col("left") >= F.col("x")) & (F.octet_length("data") - F.col("left") - WIDTH >= F.col("y")))
+        right = F.octet_length("data") - F.col("left") - WIDTH
+        kids = kids.where((F.col("left") >= F.col("x")) & (right >= F.col("y")))
         shared = F.substring("data", F.col("left") - F.col("x") + 1, F.col("x") + F.col("y") + WIDTH)
-        kids = scratch.settle(kids.withColumn("key", F.xxhash64("a", "x", "y", shared)), "sa-kids")
-        sizes = scratch.settle(kids.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sa-sizes")
-        kids = kids.join(sizes, "key")
-        full = F.col("x") + F.col("y") >= REACH
-        fits = parts_of(F.col("n")) <= MOST_PARTS
-        ended = kids.where(full).select("a", "ctx", F.array(-F.col("x"), F.lit(LENGTH) - F.col("x")).alias("runs"))
-        held = kids.where(~full & fits).select("key", "a", "ctx", "left", "data", parts_of(F.col("n")).alias("ns"))
+        most, least = F.least(F.col("left"), F.lit(REACH) - F.col("y")), F.greatest(F.col("x"), F.lit(REACH) - right)
+        reach = F.substring("data", F.col("left") - most + 1, most + WIDTH + F.least(right, F.lit(REACH) - F.col("x")))
+        keyed = kids.withColumns({"key": F.xxhash64("a", "x", "y", shared), "all": F.xxhash64(most, reach), "most": most, "least": least}).where("least <= most")
+        kids = scratch.settle(keyed, "sa-kids")
+        equal = scratch.settle(kids.groupBy("key", "all").agg(F.min("ctx").alias("first"), F.count("*").alias("n")), "sa-equal")
+        sizes = scratch.settle(equal.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"), "sa-sizes")
+        several = equal.where("n > 1").select("key", "all")
+        ended = kids.join(several, ["key", "all"]).select("a", "ctx", F.array(-F.col("most"), F.lit(LENGTH) - F.col("least")).alias("runs"))
+        stand = kids.join(equal.join(sizes, "key").select("key", "all", "first", "g"), ["key", "all"]).where("ctx = first")
+        fits = parts_of(F.col("g")) <= MOST_PARTS
+        held = stand.where(fits).select("key", "a", "ctx", "left", "data", parts_of(F.col("g")).alias("ns"))
         whole, small = (ended, held) if whole is None else (whole.union(ended), small.union(held))
-        rows = scratch.settle(kids.where(~full & ~fits).select("a", "ctx", "left", "data", "x", "y"), "sa-hot")
+        rows = scratch.settle(stand.where(~fits).select("a", "ctx", "left", "data", "x", "y"), "sa-hot")
     return small, whole
 
 
@@ -258,7 +265,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     if counts[1]:
         hot = scratch.settle(contexts(keyed, mixed.drop("n").where(F.col("ns") > MOST_PARTS)), "sa-hot")
         small, ended = narrowed(hot, scratch)
-        partly = partly.union(scratch.settle(shard_results(small, 2 * counts[1]), "sa-parts")).union(ended)
+        runs = shard_results(small, 2 * counts[1]).union(ended).groupBy("a", "ctx").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        partly = partly.union(scratch.settle(runs, "sa-parts"))
     # places as a set: twins have the same
     whole = met.join(same.where("n > 1").select("a", "ctx"), ["a", "ctx"], "left_semi")
     whole = whole.groupBy("k1", "k2").agg(F.collect_set("p").alias("whole"))
