@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import decontamination, language_id, line_dedup, near_duplicates, pii, quality_divergence, sentencepiece_codec, substring_dedup, toxicity, warc
+from pairloom.llm import chat_format, decontamination, importance_resampling, language_id, line_dedup, near_duplicates, pii, quality_divergence, sentencepiece_codec, substring_dedup, toxicity, vector_codes, warc
 from pairloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -63,9 +75,14 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_line_dedup": op10_line_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLES: dict[str, str] = {
     "op2_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_chat_format": chat_format.ORACLE,
 }
