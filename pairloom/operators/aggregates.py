@@ -1,4 +1,4 @@
-"""Grouped statistics. All combine before the shuffle unless a quantile forbids it."""
+"""Grouped statistics. All combine before the shuffle."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pairloom.operators.counts import quantiles, same
+
 STATS = "n n_valid mean std median p25 p75 frac_positive frac_negative".split()
 
 
@@ -37,27 +39,18 @@ def co_occurrence(df: DataFrame, flags: list[str]) -> DataFrame:
     return df.groupBy(total.alias("n_flags")).agg(F.count("*").alias("n"))
 
 
-def upper_median(x: Column) -> Column:
-    """T12: the element at n // 2 of the sorted values. As a percentile of ranks, without gathering the
-    group: the discrete percentile at a half is the lower one, so it is taken from above."""
-    return -F.percentile_disc(F.lit(0.5)).within_group(-x) if hasattr(F, "percentile_disc") else -F.expr(f"percentile_disc(0.5) within group (order by -({x._jc.toString()}))")
-
-
-def summary(x: Column) -> list[Column]:
-    """AGG14: n, n_valid, mean, std (population), median, p25, p75, frac_positive, frac_negative; all
-    but the counts are NULL without valid values."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [
-        F.count("*").alias("n"),
-        F.count(x).alias("n_valid"),
-        F.avg(x).alias("mean"),
-        F.stddev_pop(x).alias("std"),
-        F.get(q, F.lit(1)).alias("median"),
-        F.get(q, F.lit(0)).alias("p25"),
-        F.get(q, F.lit(2)).alias("p75"),
-        F.avg((x > 0).cast("int")).alias("frac_positive"),
-        F.avg((x < 0).cast("int")).alias("frac_negative"),
-    ]
+def summary(df: DataFrame, group: list[str], x: str, upper: bool = False) -> DataFrame:
+    """AGG6 / AGG14: (group, n, n_valid, mean, std (population), median, p25, p75, frac_positive, frac_negative); all but
+    the counts are NULL without valid values. Quantiles come from counts of values (:mod:`pairloom.operators.counts`);
+    with ``upper`` there is ``upper_median`` (T12), too."""
+    v = F.col(x)
+    sums = df.groupBy(*group).agg(
+        F.count("*").alias("n"), F.count(v).alias("n_valid"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
+        F.avg((v > 0).cast("int")).alias("frac_positive"), F.avg((v < 0).cast("int")).alias("frac_negative"),
+    )
+    out = same(sums, quantiles(df, group, x, [0.25, 0.5, 0.75], "_q", upper).drop("n"), group, "left")
+    names = ["p25", "median", "p75"] + ["upper_median"] * upper
+    return out.select(*group, "n", "n_valid", "mean", "std", *[F.get("_q", F.lit(i)).alias(c) for i, c in enumerate(names)], "frac_positive", "frac_negative")
 
 
 def by_strata(df: DataFrame, strata: dict[str, Column], metrics: dict[str, Column], rates: dict[str, Column] | None = None) -> DataFrame:
@@ -67,7 +60,7 @@ def by_strata(df: DataFrame, strata: dict[str, Column], metrics: dict[str, Colum
     every = {m: c.cast("double") for m, c in metrics.items()} | {f"{m}_rate": c.cast("int").cast("double") for m, c in (rates or {}).items()}
     values = F.array(*[F.struct(F.lit(m).alias("metric"), c.alias("x")) for m, c in every.items()])
     rows = df.select(F.explode(into).alias("stratum"), values.alias("values")).select("stratum", F.explode("values").alias("v"))
-    return rows.groupBy("stratum", F.col("v.metric").alias("metric")).agg(*summary(F.col("v.x")))
+    return summary(rows.select("stratum", "v.metric", "v.x"), ["stratum", "metric"], "x")
 
 
 def flip_table(flip: Column, orig: Column, edited: Column) -> list[Column]:

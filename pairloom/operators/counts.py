@@ -16,7 +16,7 @@ from pairloom.session import settle
 def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join on equal keys, NULL equal to NULL; the keys once, from the left."""
     if not keys:
-        return left.crossJoin(F.broadcast(right))  # one row
+        return left.join(F.broadcast(right), F.lit(True), how)  # one row
     renamed = right.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
     return left.join(renamed, on, how).drop(*[f"_k_{i}" for i in range(len(keys))])
@@ -36,13 +36,14 @@ def running(counts: DataFrame, group: list[str], order: str, sums: list[str]) ->
     return both.select(*counts.columns, *[(F.col(f"_b_{c}") + F.col(f"_w_{c}")).alias(f"{c}_before") for c in sums])
 
 
-def quantiles(df: DataFrame, group: list[str], x: str, probs: list[float], name: str = "q") -> DataFrame:
+def quantiles(df: DataFrame, group: list[str], x: str, probs: list[float], name: str = "q", upper: bool = False) -> DataFrame:
     """AGG6 / AGG14 / WIN10: (group, n, ``name``): exact quantiles with linear interpolation, as an array in the order
-    of ``probs``; NULLs don't count, and groups without a value have no row."""
+    of ``probs``; with ``upper`` its last is the element at n // 2 of the sorted values (T12). NULLs don't count, and
+    groups without a value have no row."""
     counts = df.where(F.col(x).isNotNull()).groupBy(*group, x).agg(F.count("*").alias("_n"))
     placed = running(counts, group, x, ["_n"])
     n = placed.groupBy(*group).agg(F.sum("_n").alias("n"))
-    place = F.array(*[(F.col("n") - 1) * F.lit(float(p)) for p in probs])
+    place = F.array(*[(F.col("n") - 1) * F.lit(float(p)) for p in probs], *([F.floor(F.col("n") / 2).cast("double")] if upper else []))
     first, last = F.col("_n_before"), F.col("_n_before") + F.col("_n") - 1
     # of each probability the value at its lower and at its upper place, whichever this row holds
     at = F.transform(place, lambda h: F.struct(h.alias("h"), F.floor(h).alias("low"), F.ceil(h).alias("high")))

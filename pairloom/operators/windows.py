@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pairloom.operators.counts import quantiles
+
 
 def z_score(x: Column, group: list[str]) -> Column:
     """WIN1: population deviation; 0 where that is 0 or unknown."""
@@ -65,7 +67,7 @@ def label_pairs(df: DataFrame, group: str, label: str, least: int, most: int) ->
 def percentile_bins(df: DataFrame, x: str, n_bins: int, values: dict[str, Column]) -> DataFrame:
     """WIN10: bins between percentile edges, both sides closed and widened by 1e-10, so that a value on an
     inner edge counts in two bins (T15). The edges are one row; the rows meet them without a shuffle."""
-    edges = df.agg(F.percentile(x, F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])).alias("edges"))
+    edges = quantiles(df, [], x, [i / n_bins for i in range(n_bins + 1)], "edges")
     bins = edges.select(F.posexplode(F.slice("edges", 1, n_bins)).alias("bin", "low"), "edges").select("bin", "low", F.get("edges", F.col("bin") + 1).alias("high"))
     inside = df.join(F.broadcast(bins), (F.col(x) >= F.col("low") - 1e-10) & (F.col(x) <= F.col("high") + 1e-10))  # n_bins rows
     return inside.groupBy("bin").agg(F.count("*").alias("n"), *[F.avg(c).alias(name) for name, c in values.items()])

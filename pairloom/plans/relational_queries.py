@@ -176,7 +176,7 @@ NUMBER = "cast(l_extendedprice as double)"
 )
 def summary_stats(spark, sf_dir):
     x = F.col("l_extendedprice").cast("double")
-    out = table(spark, sf_dir, "lineitem").withColumn("x", x).groupBy("l_returnflag", "l_linestatus").agg(*G.summary(F.col("x")), G.upper_median(F.col("x")).alias("upper_median"))
+    out = G.summary(table(spark, sf_dir, "lineitem").withColumn("x", x), ["l_returnflag", "l_linestatus"], "x", upper=True)
     return out.withColumns({c: F.round(c, 4) for c in ("mean", "std", "median", "p25", "p75", "upper_median")} | {c: F.round(c, 6) for c in ("frac_positive", "frac_negative")})
 
 

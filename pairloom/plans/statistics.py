@@ -154,12 +154,48 @@ def point_biserial(flag: Column, x: Column) -> Column:
     return correlation(flag.cast("double"), x)
 
 
+ITEMS = 4096  # of a correlation matrix; its square comes to the driver
+
+
 def pearson_matrix(df: DataFrame, key: str, item: str, value: str) -> DataFrame:
     """ST9: correlation of every two items over the keys they share, as (a, b, r, n). Items are heads or
-    dimensions: their number is fixed, the rows pass once through a join on the key."""
-    a = df.select(key, F.col(item).alias("a"), F.col(value).alias("va"))
-    b = df.select(key, F.col(item).alias("b"), F.col(value).alias("vb"))
-    return a.join(b, key).where("a <= b").groupBy("a", "b").agg(correlation(F.col("va"), F.col("vb")).alias("r"), F.count("*").alias("n"))
+    dimensions, ``ITEMS`` at most. Each key's values become a row of a matrix (repeated items by their mean), and
+    tasks add up products of its rows, of the values about their item's mean: a key meets no other, and no join
+    is needed. r is over keys where both have a value, NULL where either doesn't vary; n counts the keys that have both
+    items, with a value or without."""
+    from pairloom.plans.probe_sweep import tree_sums
+
+    means = df.groupBy(item).agg(F.avg(value).alias("m"), F.avg(F.abs(value)).alias("size")).orderBy(item).limit(ITEMS + 1).collect()
+    if len(means) > ITEMS:
+        raise ValueError(f"a correlation matrix of over {ITEMS} items")
+    place = {r[0]: i for i, r in enumerate(means)}
+    mean = np.array([r.m or 0.0 for r in means], float)
+    m = len(means)
+    rows = df.groupBy(key).agg(F.collect_list(F.struct(F.col(item).alias("i"), F.col(value).cast("double").alias("v"))).alias("row"))  # a key's items
+
+    def make(batch) -> dict[str, np.ndarray]:
+        total, seen, have = (np.zeros((len(batch), m)) for _ in range(3))
+        for k, row in enumerate(batch.column("row").to_pylist()):
+            for cell in row:
+                i = place[cell["i"]]
+                seen[k, i] = 1
+                if cell["v"] is not None:
+                    have[k, i] += 1
+                    total[k, i] += cell["v"] - mean[i]
+        x, valid = total / np.maximum(have, 1), (have > 0).astype(float)
+        return {"": np.stack([seen.T @ seen, valid.T @ valid, x.T @ valid, x.T @ x, (x * x).T @ valid]).ravel()}
+
+    sums = tree_sums(rows.select("row"), make).get("", np.zeros(5 * m * m)).reshape(5, m, m)
+    both, n, s, xy, xx = sums
+    with np.errstate(divide="ignore", invalid="ignore"):
+        var = xx - s * s / n
+        r = (xy - s * s.T / n) / np.sqrt(var * var.T)
+    size = np.array([r_.size or 0.0 for r_ in means], float)
+    flat = ~(var > n * (1e-12 * size[:, None]) ** 2)
+    r = np.where(flat | flat.T, np.nan, r)
+    out = [(means[a][0], means[b][0], None if np.isnan(r[a, b]) else float(r[a, b]), int(both[a, b])) for a in range(m) for b in range(a, m) if both[a, b]]
+    kind = df.schema[item].dataType.simpleString()
+    return df.sparkSession.createDataFrame(out, f"a {kind}, b {kind}, r double, n bigint")
 
 
 def bootstrap(df: DataFrame, group: str, x: str, draws: int = 2000, seed: int = 42) -> DataFrame:

@@ -148,3 +148,34 @@ def test_auroc_with_ties_nulls_and_one_class(spark):
     rows = [("k", s, y) for s, y in [(0.1, False), (0.4, True), (0.4, False), (0.8, True), (0.8, True), (0.2, False), (None, True), (0.5, None)]] + [("one", 0.3, True)]
     got = {r.k: (r.auroc, r.n_positive, r.n_negative) for r in auroc(spark.createDataFrame(rows, "k string, s double, y boolean"), ["k"], "s", F.col("y")).collect()}
     assert got == {"k": ((2.5 + 3 + 3) / 9, 3, 3), "one": (None, 1, 0)}
+
+
+def test_correlations_without_a_join(spark, capsys):
+    rng = np.random.default_rng(2)
+    rows = [(k, i, float(rng.normal() + k % 3 + 1e5)) for k in range(200) for i in "abc" if rng.random() < 0.8]
+    rows += [(k, "flat", 0.1) for k in range(200)] + [(1, "a", 2e5), (2, "b", None), (900, "b", None)]
+    df = spark.createDataFrame(rows, "k int, i string, v double").repartition(5)
+    got = {(r.a, r.b): (r.r, r.n) for r in T.pearson_matrix(df, "k", "i", "v").collect()}
+    cell = {}
+    for k, i, v in rows:
+        cell.setdefault((k, i), []).append(v)
+    mean = {c: np.mean([x for x in v if x is not None]) if any(x is not None for x in v) else None for c, v in cell.items()}
+    for a, b in itertools.combinations_with_replacement(["a", "b", "c", "flat"], 2):
+        keys = [k for k in {k for k, _ in cell} if (k, a) in cell and (k, b) in cell]
+        pairs = np.array([(mean[k, a], mean[k, b]) for k in keys if mean[k, a] is not None and mean[k, b] is not None])
+        r, n = got[a, b]
+        assert n == len(keys)
+        if "flat" in (a, b):
+            assert r is None
+        else:
+            assert abs(r - np.corrcoef(pairs.T)[0, 1]) < 1e-7
+    assert T.pearson_matrix(df.where("k < 0"), "k", "i", "v").count() == 0
+
+
+def test_quantile_queries_hold_no_buffer(spark, sf, capsys):
+    from pairloom.plans import load
+
+    for name in ("summary_stats", "bin_rates", "pearson_matrix"):
+        load().QUERIES[name](spark, sf).explain("formatted")
+        plan = capsys.readouterr().out
+        assert "percentile" not in plan and "SortMergeJoin [l_orderkey" not in plan
