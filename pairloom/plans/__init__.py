@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["text_queries", "vector_queries", "relational_queries", "rule_queries", "statistics_queries", "experiment_queries", "source_queries", "closed_form_queries", "probe_queries", "resampling_queries"]
+MODULES = ["text_queries", "vector_queries", "relational_queries", "rule_queries", "statistics_queries", "experiment_queries", "source_queries", "closed_form_queries", "probe_queries", "resampling_queries", "store_queries"]
 
 
 def load():
