@@ -287,6 +287,66 @@ def shard_manifest(spark, sf_dir):
     return manifest.agg(F.sum("n").alias("rows"), F.min("first").alias("first"), F.max("last").alias("last"), (F.max("n") <= 50).alias("bounded")).crossJoin(back)
 
 
+@query("STM1 STM3", "select c_custkey, round(c_acctbal * 2, 2) as doubled, case when c_custkey % 3 = 0 then 0 else 1 end as run from customer")
+def streamed_once(spark, sf_dir):
+    """Three files that share keys; the query stops in its second batch, and goes on in another run."""
+    from pyspark.errors import StreamingQueryException
+
+    from pairloom.streaming import keyed
+
+    root, rows = shared_path(spark, "stream"), table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    for n in range(3):  # each file has its third of the keys and those of the files before
+        rows.where(f"c_custkey % 3 <= {n}").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    runs = []
+
+    def work(batch):
+        if not runs and batch.where("c_custkey % 3 <> 0").limit(1).count():
+            raise InterruptedError("stopped on the way")
+        return batch.select("c_custkey", F.round(F.col("c_acctbal") * 2, 2).alias("doubled"), F.lit(len(runs)).alias("run"))
+
+    start = lambda: keyed.stream_once(spark, f"{root}/in", "c_custkey bigint, c_acctbal double", f"{root}/out", f"{root}/state", work, ["c_custkey"], files=1)
+    try:
+        start().awaitTermination()
+    except StreamingQueryException as error:
+        if "stopped on the way" not in str(error):
+            raise
+        runs.append("stopped")
+    start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").drop("batch")
+
+
+@query("STM1 AGG12", "select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def streamed_windows(spark, sf_dir):
+    """Counts by day of a stream of events, whole after its last batch."""
+    root = shared_path(spark, "windows")
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    counts = resume.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{root}/out")  # of complete batches the last one stays
+
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("STM2", "select c_custkey, round(c_acctbal + 1, 2) as more, 1 as damaged, cast((select count(*) from customer where c_custkey % 4 = k) as bigint) as again from customer, (select 0 as k) z")
+def damaged_batch(spark, sf_dir):
+    """Four batches by key; a byte of one flips: it is set aside, and its keys alone are done again."""
+    from pairloom.streaming import verified
+
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    work = lambda df: df.select("c_custkey", F.round(F.col("c_acctbal") + 1, 2).alias("more"))
+    log = verified.VerifiedLog(spark, shared_path(spark, "verified"), "c_custkey bigint, more double", ["c_custkey"])
+    log.resume(rows.where("c_custkey % 4 = 0"), work)
+    first = sorted(resume.committed(spark, log.path))[0]
+    for n in range(1, 4):
+        log.resume(rows.where(f"c_custkey % 4 = {n}"), work)
+    verified.flip_byte(spark, f"{log.path}/batch={first}")
+    said = log.resume(rows, work)
+    return log.read().withColumns({"damaged": F.lit(said["damaged"]), "again": F.lit(said["done"]).cast("bigint")})
+
+
 # ---------------------------------------------------------------- calls and models
 
 
@@ -331,6 +391,45 @@ def hooked_rows(spark, sf_dir):
 
 # ---------------------------------------------------------------- validation
 
+RECORD = {
+    "type": "object", "required": ["id", "lines", "parts"], "additionalProperties": False,
+    "properties": {
+        "id": {"type": "string", "pattern": "^o_[0-9]+$"}, "status": {"type": ["string", "null"], "enum": ["F", "O", None]},
+        "lines": {"type": "array", "maxItems": 6, "items": {"$ref": "#/$defs/Line"}}, "parts": {"type": "object", "additionalProperties": {"type": "number", "maximum": 48}},
+    },
+    "$defs": {"Line": {"type": "object", "required": ["flag"], "properties": {"flag": {"type": "string", "enum": ["A", "N"]}, "quantity": {"type": "integer", "minimum": 2}}}},
+}
+MESSY = "with l as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_extendedprice, l_returnflag) - 1 as i from lineitem), o as (select l_orderkey as k, count(*) as n from l group by 1)"
+
+
+@query(
+    "DQ1 SRC13",
+    f"""{MESSY} select o_orderkey, path, message from (
+select o_orderkey, 'status' as path, 'is none of "F", "O", null' as message from orders join o on k = o_orderkey where o_orderstatus = 'P'
+union all select o_orderkey, '', 'must not have extra' from orders join o on k = o_orderkey where o_orderkey % 5 = 0
+union all select o_orderkey, 'id', 'does not match ^o_[0-9]+$' from orders join o on k = o_orderkey where o_orderkey % 7 = 0
+union all select k, 'lines', 'has more items than 6' from o where n > 6
+union all select l_orderkey, 'lines/' || i || '/flag', 'is none of "A", "N"' from l where l_returnflag = 'R' and l_linenumber <> 4
+union all select l_orderkey, 'lines/' || i, 'lacks flag' from l where l_linenumber = 4
+union all select l_orderkey, 'lines/' || i || '/quantity', 'is less than 2.0' from l where l_quantity < 2
+union all select l_orderkey, 'parts/p' || i, case when l_linenumber = 2 then 'is not of type number' else 'is more than 48.0' end from l where l_linenumber = 2 or l_quantity > 48)""",
+)
+def schema_violations(spark, sf_dir):
+    """Orders as nested records: types, enumerations, items, values of a map, members that should not be there."""
+    from pairloom.operators.json_schema import violations
+
+    number = F.col("l_linenumber")
+    flag = F.when(number != 4, F.col("l_returnflag"))
+    part = F.when(number == 2, F.lit('"many"')).otherwise(F.col("l_quantity").cast("string"))
+    line = F.struct(number.alias("n"), "l_quantity", "l_extendedprice", "l_returnflag", F.to_json(F.struct(flag.alias("flag"), F.col("l_quantity").cast("int").alias("quantity"))).alias("j"), part.alias("part"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("ls"))  # an order's lines
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(lines, "o_orderkey")
+    text = F.concat(
+        F.lit('{"id":"'), F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise("o_"), F.col("o_orderkey").cast("string"), F.lit('","status":"'), F.col("o_orderstatus"), F.lit('"'), F.when(F.col("o_orderkey") % 5 == 0, ',"extra":1').otherwise(""),
+        F.lit(',"lines":['), F.array_join(F.transform("ls", lambda x: x["j"]), ","), F.lit('],"parts":{'), F.array_join(F.transform("ls", lambda x, i: F.concat(F.lit('"p'), i.cast("string"), F.lit('":'), x["part"])), ","), F.lit("}}"),
+    )
+    return violations(orders.select("o_orderkey", text.alias("doc")), "doc", RECORD, ["o_orderkey"])
+
 
 @query("DQ4", "select field, count(*) as n from (select unnest([case when p_partkey % 3 = 0 then 'clinical_coherence' end, case when p_partkey % 5 = 0 then 'annotation_confidence' end, case when p_partkey % 7 = 0 then 'rationale' end, case when p_partkey % 11 = 0 then 'reason_if_null' end, case when p_partkey % 13 = 0 then 'semantic_class' end]) as field from part) where field is not null group by 1")
 def strict_violations(spark, sf_dir):
