@@ -111,15 +111,27 @@ def compare(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.distinct().join(right, "c").join(left, "p").select("p", "c", estimate(F.col("sp"), F.col("sc")).alias("est"))
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """The union-sketch estimate of two sketches against a bound."""
-    both = np.concatenate((a, b))
-    both.sort()
-    twice = both[1:] == both[:-1]
-    first = np.concatenate(([True], ~twice))
-    place = np.cumsum(first)  # of each value in the union
-    size = min(K, int(place[-1]))
-    return int((twice & (place[1:] <= size)).sum()) >= least * size
+PAIRS = 4096  # estimated at once
+
+
+def similar(sketches: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs' union-sketch estimates reach a bound. ``sketches`` has a row for each, its values first."""
+    out = np.zeros(len(x), bool)
+    place = np.arange(sketches.shape[1])
+    for at in range(0, len(x), PAIRS):
+        a, b = x[at : at + PAIRS], y[at : at + PAIRS]
+        both = np.concatenate((sketches[a], sketches[b]), axis=1)
+        empty = np.concatenate((place >= sizes[a, None], place >= sizes[b, None]), axis=1)
+        order = np.argsort(both, axis=1, kind="stable")
+        both, empty = np.take_along_axis(both, order, 1), np.take_along_axis(empty, order, 1)
+        # empty places hold the largest number there is; of equal values the filled come first
+        order = np.argsort(empty, axis=1, kind="stable")
+        both, empty = np.take_along_axis(both, order, 1), np.take_along_axis(empty, order, 1)
+        twice = (both[:, 1:] == both[:, :-1]) & ~empty[:, 1:]
+        rank = np.cumsum(np.concatenate((~empty[:, :1], ~twice & ~empty[:, 1:]), axis=1), axis=1)  # in the union
+        size = np.minimum(K, rank[:, -1])
+        out[at : at + PAIRS] = (twice & (rank[:, 1:] <= size[:, None])).sum(axis=1) >= least * size
+    return out
 
 
 def blocks_of(lists: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,24 +143,26 @@ def blocks_of(lists: DataFrame, keys: list[str]) -> DataFrame:
     return other.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "nb")
 
 
-def pair_blocks(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(p, c): all pairs within a list that may be linked by their estimate. Pairs whose sketches share too
-    little for it are told by one matrix product."""
+def pair_blocks(lists: DataFrame, sketches: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """(p, c): all pairs within a list that shared no canopy in ``rounds`` rounds and may be linked by their estimate. Pairs
+    whose sketches share too little for it are told by one matrix product."""
     worker_path(lists.sparkSession)
     least = least_estimate(percent)
-    rows = blocks_of(lists, ["x"]).join(sketches, "c").select("x", "i", "j", "own", "c.c1", "c.c2", "sketch")
+    rows = blocks_of(lists, ["x"]).join(sketches, "c").select("x", "i", "j", "own", "out", "c.c1", "c.c2", "sketch")
 
     def run(group: pa.Table) -> pa.Table:
         lean()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         own, sketch = group["own"].to_numpy(), group["sketch"].combine_chunks()
         c1, c2, size = group["c1"].to_numpy(), group["c2"].to_numpy(), np.asarray(sketch.value_lengths())
+        out, filled = group["out"].to_numpy(), np.full((len(size), K), 2**63 - 1)
+        filled[np.arange(K) < size[:, None]] = sketch.values.to_numpy()
         hit = np.triu(shared_counts(sketch.values.to_numpy(), size) >= least * np.maximum(size[:, None], size[None, :]), 1)
+        hit &= (out[:, None] | out[None, :]) == (1 << rounds) - 1
         if i != j:
             hit &= own[:, None] != own[None, :]
         x, y = np.nonzero(hit)
-        each = np.split(sketch.values.to_numpy(), np.cumsum(size)[:-1])
-        good = np.fromiter((similar(each[a], each[b], least) for a, b in zip(x, y, strict=True)), bool, len(x))
+        good = similar(filled, size, x, y, least)
         x, y = x[good], y[good]
         return pa.table({"p1": pa.array(c1[x], pa.int64()), "p2": pa.array(c2[x], pa.int64()), "c1": pa.array(c1[y], pa.int64()), "c2": pa.array(c2[y], pa.int64())})
 
@@ -156,25 +170,34 @@ def pair_blocks(lists: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     return made.select(F.struct(F.col("p1").alias("c1"), F.col("p2").alias("c2")).alias("p"), F.struct("c1", "c2").alias("c")).distinct()
 
 
+def apart(rounds: int) -> Column:
+    """Of a list's row: whether ``masks``, what its members have in ``out``, name a partner with which it shared no
+    canopy in ``rounds`` rounds. A bit of ``out`` is set for each round whose canopy a member wasn't in."""
+    return F.exists("masks", lambda m: m.bitwiseOR(F.col("out")) == (1 << rounds) - 1)
+
+
 def canopies(classes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(p, c): memberships, such that any two similar classes share a p. p itself is a member."""
     sketches = classes.select("c", "sketch")
-    lists = scratch.settle(inverted_lists(classes, percent, scratch), "nd-lists")
+    lists = scratch.settle(inverted_lists(classes, percent, scratch).withColumn("out", F.lit(0)), "nd-lists")
     far = NEAR - (1 - percent / 100) - ERROR_OF_TWO
     found = None
-    for _ in range(ROUNDS):
-        pivots = lists.groupBy("x").agg(F.max(F.struct("pop", "c")).alias("top"), F.count("*").alias("m")).where("m > 1")
-        pivots = scratch.settle(pivots.select("x", F.col("top.c").alias("p")), "nd-pivots")
-        with_pivot = scratch.settle(lists.join(pivots, "x"), "nd-with-pivot")
+    for n in range(ROUNDS):
+        pivots = lists.groupBy("x").agg(F.max(F.struct("pop", "c")).alias("top"), F.count("*").alias("m"), F.collect_set("out").alias("masks")).where("m > 1")  # a few masks
+        pivots = scratch.settle(pivots.select("x", F.col("top.c").alias("p"), "masks"), "nd-pivots")
+        with_pivot = scratch.settle(lists.join(pivots, "x").where(apart(n)).drop("masks"), "nd-with-pivot")
         compared = scratch.settle(compare(with_pivot.where("p <> c").select("p", "c"), sketches), "nd-compared")
         member = compared.where(F.col("est") >= far).select("p", "c")
         found = member if found is None else found.union(member)
-        away = compared.where(F.col("est") < NEAR).select("p", "c")
-        lists = scratch.settle(with_pivot.join(away, ["p", "c"], "left_semi").select("x", "c", "pop"), "nd-lists")
+        away = compared.where(F.col("est") < NEAR).select("p", "c", F.when(F.col("est") < far, 1 << n).otherwise(0).alias("bit"))
+        lists = with_pivot.join(away, ["p", "c"]).select("x", "c", "pop", F.col("out").bitwiseOR(F.col("bit")).alias("out"))
+        lists = scratch.settle(lists, "nd-lists")
         if lists.isEmpty():
             break
     else:
-        found = found.union(pair_blocks(lists, sketches, percent))
+        masks = scratch.settle(lists.groupBy("x").agg(F.collect_set("out").alias("masks")), "nd-masks")
+        left = scratch.settle(lists.join(masks, "x").where(apart(ROUNDS)).drop("masks"), "nd-left")
+        found = found.union(pair_blocks(left, sketches, percent, ROUNDS))
     found = scratch.settle(found.distinct(), "nd-canopies")
     return found.union(found.select("p", F.col("p").alias("c")).distinct())
 
