@@ -9,9 +9,9 @@ Defined results: a null text has no lines and stays null; documents of fewer
 than three lines have no window and stay whole; lines are compared exactly and
 blank lines count. Of twin rows (equal doc_id and text) one has the first
 occurrences; in the others every window is a repeat, so of three lines or more
-none stays. Twins count as one row and its copies, so where they differ in other
-columns those of one row are given for all. Rows that only share an id are told
-apart by their text. A null id orders after all others. Columns besides doc_id and
+none stays. Every row keeps its own other columns; of twins that differ in them, that with the
+least hash of all its columns has the first occurrences, however the rows are dealt. Rows
+that only share an id are told apart by their text. A null id orders after all others. Columns besides doc_id and
 text are carried by :func:`remove_repeats` and never looked at. A text of any
 length is one row of lines, its windows go through the shuffle as 40 bytes each.
 """
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import row_key, split_twins, twin_keys
+from pairloom.llm.common import row_key, twin_keys
 from pairloom.session import Scratch, settle
 
 WINDOW = 3
@@ -70,11 +70,20 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, counts: tuple[str, str]
     k1, k2 = row_key("doc_id", "text")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(own.alias("row"), k1.alias("k1"), k2.alias("k2"), F.col("text").alias("text"))
-    twins = twin_keys(docs.where("text is not null").select(k1.alias("k1"), k2.alias("k2")), "k1", "k2", Scratch(docs.sparkSession))
-    single, one = split_twins(keyed, "k1", "k2", twins)
-    numbered = single.withColumn("copy", F.lit(1).cast("bigint"))
-    if one is not None:
-        numbered = numbered.unionByName(one.select("row.*", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy")))
+    scratch = Scratch(docs.sparkSession)
+    twins = twin_keys(docs.where("text is not null").select(k1.alias("k1"), k2.alias("k2")), "k1", "k2", scratch)
+    if twins is None:
+        numbered = keyed.withColumn("copy", F.lit(1).cast("bigint"))
+    else:
+        # rows equal in all columns meet as partial aggregates, with their number; only of these one stands for the others
+        whole = F.to_json("row", {"ignoreNullFields": "false"})
+        same = keyed.join(twins, ["k1", "k2"], "left_semi").withColumn("h", F.struct(F.xxhash64(whole), F.xxhash64(F.lit("second"), whole)))
+        kinds = scratch.settle(same.groupBy("k1", "k2", "h").agg(F.first("row").alias("row"), F.first("text").alias("text"), F.count("*").alias("copies")), "line-kinds")
+        first = scratch.settle(kinds.groupBy("k1", "k2").agg(F.min("h").alias("least")), "line-first")
+        placed = kinds.join(first, ["k1", "k2"])  # a key of very many kinds meets one row
+        low = F.when(F.col("h") == F.col("least"), 1).otherwise(2).cast("bigint")
+        copies = placed.select("row", "k1", "k2", "text", F.explode(F.sequence(low, low + F.col("copies") - 1)).alias("copy"))
+        numbered = keyed.join(twins, ["k1", "k2"], "left_anti").withColumn("copy", F.lit(1).cast("bigint")).unionByName(copies)
     joined = numbered.join(covered(docs, size), ["k1", "k2"], "left")
     out = joined.select("row", "text", "copy", F.col("gone").alias("found"), F.split("text", "\n", -1).alias("lines"))
     count = F.coalesce(F.size("lines"), F.lit(0))
