@@ -234,3 +234,73 @@ def test_lines_run_without_python(spark, capsys):
     line_dedup.digest(table(spark, SF, "documents")).explain("formatted")
     plan = capsys.readouterr().out
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def templates(seed, n, common=200, own=85, linked=0):
+    """Documents that are mostly one text, each with words of its own; some in pairs that are linked."""
+    rng = random.Random(seed)
+    text = [f"t{i}" for i in range(common)]
+    rows = []
+    for i in range(n):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(own)]
+        rows.append((len(rows), " ".join(text + words)))
+        if i < linked:
+            words = list(words)
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(own)] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(text + words)))
+    return rows
+
+
+@pytest.mark.parametrize("common,own", [(200, 85), (120, 85), (200, 30), (90, 85)])
+def test_documents_of_mostly_one_text(spark, make_docs, common, own):
+    rows = templates(common + own, 150, common, own, 40)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.digest(make_docs(rows)).collect()}
+    assert got == brute_components(rows, 3, 85)
+
+
+def test_rows_of_templates_stay_in_proportion(spark):
+    """Of thousands of them no list is left to be compared pair by pair."""
+    from pairloom.session import Scratch
+
+    docs = spark.createDataFrame(templates(1, 3000), "doc_id bigint, text string").repartition(8)
+    scratch = Scratch(spark)
+    rows = near_duplicates.sketched(docs, 3)
+    classes = scratch.settle(rows.selectExpr("c", "doc_id as low", "k1", "k2", "sketch", "n"), "classes")
+    members = near_duplicates.canopies(classes, 85, scratch)
+    # each of some seven lists, in three rounds at most
+    assert members.count() < 3000 * 21
+    left = [p for p in scratch.paths if "nd-left" in p]
+    assert not left or spark.read.parquet(left[0]).count() < 300
+    scratch.clear()
+
+
+def test_estimates_of_many_pairs(spark):
+    rng = np.random.default_rng(0)
+    sets = [np.sort(rng.choice(120, rng.integers(1, 49), replace=False)) for _ in range(60)] + [np.array([2**63 - 1, 5])]
+    sets[-1].sort()
+    filled = np.full((61, 48), 2**63 - 1)
+    for r, s in zip(filled, sets, strict=True):
+        r[: len(s)] = s
+    x, y = np.triu_indices(61, 1)
+    for least in (0.2, 0.45, 0.57):
+        got = near_duplicates.similar(filled, np.array([len(s) for s in sets]), x, y, least)
+        for a, b, g in zip(x, y, got, strict=True):
+            union = np.union1d(sets[a], sets[b])[:48]
+            assert g == (len(np.intersect1d(union, np.intersect1d(sets[a], sets[b]))) >= least * len(union))
+
+
+def test_twins_keep_their_own_columns(spark):
+    """Three twins of different source, two of them alike; the same rows however they are dealt."""
+    text = "a\nb\nc\nd"
+    rows = [(1, text, "s1"), (1, text, "s2"), (1, text, "s2"), (2, "x\na\nb\nc\ny", "s3"), (3, None, "s4"), (3, None, "s5"), (4, "p\nq", "s6"), (4, "p\nq", "s7")]
+    seen = set()
+    for parts in (1, 3, 8):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(parts)
+        got = sorted(((r.doc_id, r.source, r.text, r.n_lines, r.n_removed) for r in line_dedup.remove_repeats(df).collect()), key=str)
+        assert sorted(r[1] for r in got) == ["s1", "s2", "s2", "s3", "s4", "s5", "s6", "s7"]
+        assert sorted(r[2] for r in got if r[0] == 1) == ["", "", text]
+        assert [r[2] for r in got if r[0] == 2] == ["x\ny"]
+        assert [r[2] for r in got if r[0] == 4] == ["p\nq"] * 2
+        seen.add(tuple(got))
+    assert len(seen) == 1
