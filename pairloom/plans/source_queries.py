@@ -362,6 +362,23 @@ def asked(spark, sf_dir):
     return external.ask(rows, "n_nationkey", "prompt", service, retries=2, pause=0.0).select("n_nationkey", F.get_json_object("response", "$.n").cast("int").alias("said"))
 
 
+@query("EXT1 EXT2 STM3", "select c_custkey, case when c_custkey % 6 <> 0 then length(c_name) else 0 end as said, 2 as runs from customer")
+def asked_in_windows(spark, sf_dir):
+    """Windows of calls over all customers; what failed in the first run is asked again in the second."""
+    from pairloom.streaming import calls
+
+    def service(prompt: str) -> str:
+        name, key = prompt.rsplit(" ", 1)
+        return "not json" if int(key) % 6 == 0 else '```json\n{"n": %d}\n```' % len(name)
+
+    path = shared_path(spark, "answers")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.concat_ws(" ", "c_name", F.col("c_custkey").cast("string")).alias("prompt"))
+    calls.ask_into(rows, "key", "prompt", path, service, retries=2, pause=0.0, flush=500)
+    out = calls.ask_into(rows, "key", "prompt", path, lambda p: '{"n": 0}', flush=500)
+    runs = len(writers.list_names(spark, path))
+    return out.select(F.col("key").cast("bigint").alias("c_custkey"), F.get_json_object("response", "$.n").cast("int").alias("said"), F.lit(runs).alias("runs"))
+
+
 WORDS = "with w as (select n_nationkey as k, string_split(n_name || ' of the world', ' ') as w from nation), l as (select k, len(w) as n, list_transform(w, lambda x: cast(length(x) as double)) as s from w)"
 
 
