@@ -32,6 +32,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,9 +81,6 @@ class Vocabulary:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.merges = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.first = max(ranks.values()) + 1
-        self.pieces = [b""] * self.first
-        for piece, rank in ranks.items():
-            self.pieces[rank] = piece
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, none of which is a control. The library's pattern fails on endless white space, so it
@@ -96,7 +94,7 @@ class Vocabulary:
         return out + self.merges.encode_ordinary(text[at:])
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.pieces.__getitem__, ids)).decode()
+        return self.merges.decode_bytes(ids).decode()
 
 
 @lru_cache(maxsize=2)
@@ -120,7 +118,7 @@ def assemble(v: Vocabulary, roles: list[str], texts: list[str], learned: tuple[s
         segments += [v.encode(escape(text)), [v.first + TAILS.get(role, END)]]
     lengths = np.fromiter(map(len, segments), np.int64, len(segments))
     ends = np.cumsum(lengths)
-    ids = np.fromiter((i for s in segments for i in s), np.int32, int(lengths.sum()))
+    ids = np.fromiter(chain.from_iterable(segments), np.int32, int(lengths.sum()))
     taught = np.array([r in learned for r in roles], bool)
     body_end = ends[1::3][taught]
     edges = np.zeros(len(ids) + 1, np.int64)
@@ -150,11 +148,11 @@ def formatted(conversations: DataFrame, vocabulary: str | None = None, learned:
     return map_batches(in_order(conversations), run, "conv_id bigint, turn bigint, ids array<int>, mask array<tinyint>")
 
 
-def read_turn(v: Vocabulary, ids: list[int], mask: np.ndarray) -> tuple[str, str, str, int]:
+def read_turn(v: Vocabulary, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str, int]:
     """(role, text, text under the mask, characters of the formatted turn) from a turn's tokens."""
-    at = [i for i, t in enumerate(ids) if t >= v.first]
-    kinds = tuple(ids[i] - v.first for i in at)
-    decoded = [v.decode(ids[a + 1 : b]) for a, b in zip(at, at[1:], strict=False)]
+    at = np.flatnonzero(ids >= v.first).tolist()
+    kinds = tuple(int(ids[i]) - v.first for i in at)
+    decoded = [v.decode(ids[a + 1 : b].tolist()) for a, b in zip(at, at[1:], strict=False)]
     if not at or at[0] != 0 or at[-1] != len(ids) - 1:
         raise ValueError("a turn begins and ends with a control")
     for role, head in HEADS.items():
@@ -165,8 +163,8 @@ def read_turn(v: Vocabulary, ids: list[int], mask: np.ndarray) -> tuple[str, str
             raise ValueError(f"no turn has the controls {kinds}")
         role = unescape(decoded[1])
     chars = sum(map(len, decoded)) + sum(len(CONTROLS[k]) for k in kinds)
-    under = np.asarray(ids)[mask.astype(bool)].tolist()
-    return role, unescape(decoded[-1]), unescape(v.decode(under)), chars
+    under = ids[mask.view(bool)].tolist() if mask.any() else []
+    return role, unescape(decoded[-1]), unescape(v.decode(under)) if under else "", chars
 
 
 class Digest:
@@ -219,7 +217,7 @@ def _digests(spark: SparkSession, turns: DataFrame, vocabulary: str | None) -> D
                     first, sent = not now, False
                     out += held  # of the first conversation
                     now, digest, held, size = (conv,), Digest(), [], 0
-                read = read_turn(v, ids.as_py(), ids_mask(mask))
+                read = read_turn(v, numbers(ids), numbers(mask))
                 at += 1
                 digest.add(*read)
                 held.append((conv, part, at, *read, *none))
@@ -235,8 +233,8 @@ def _digests(spark: SparkSession, turns: DataFrame, vocabulary: str | None) -> D
     return turns.mapInArrow(run, f"{OPEN}, {DIGESTS}")
 
 
-def ids_mask(mask: pa.Scalar) -> np.ndarray:
-    return mask.values.to_numpy(zero_copy_only=False)
+def numbers(row: pa.Scalar) -> np.ndarray:
+    return row.values.to_numpy(zero_copy_only=False)
 
 
 def read_back(turns: DataFrame, vocabulary: str | None = None) -> DataFrame:
