@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -107,22 +108,24 @@ def settle(df: DataFrame, label: str = "stage") -> DataFrame:
         df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._settled_path = path
-    _settled.append(path)
+    if (own := _settled.get()) is not None:
+        own.append(path)
     return back
 
 
-_settled: list[str] = []
+_settled: ContextVar[list[str] | None] = ContextVar("settled", default=None)
 
 
 @contextmanager
 def swept(spark: SparkSession):
-    """Within, the tables that operators settle go in the end: for work whose result has been written."""
-    first = len(_settled)
+    """Within, the tables that operators settle go in the end: for work whose result has been written. Only those
+    of the caller's own context: queries of other threads keep theirs."""
+    token = _settled.set(paths := [])
     try:
         yield
     finally:
-        release(spark, *_settled[first:])
-        del _settled[first:]
+        _settled.reset(token)
+        release(spark, *paths)
 
 
 def release(spark: SparkSession, *paths: str) -> None:

@@ -183,3 +183,31 @@ def test_dry_run_stops_at_the_first_failure(spark):
 
     got = dry_run(spark.range(9), {"a": lambda df: df.withColumn("x", F.lit(1)), "b": lambda df: df.select("nothing"), "c": lambda df: df}, 3)
     assert [(r.step, r.ok, r.rows) for r in got.collect()] == [("a", True, 3), ("b", False, 0)]
+
+
+def test_a_sweep_leaves_tables_of_other_threads(spark):
+    import threading
+
+    from pairloom.session import settle, swept
+
+    kept, gone = [], []
+    ready, go = threading.Event(), threading.Event()
+
+    def other():
+        go.wait(60)
+        kept.append(settle(spark.range(3), "other"))
+        ready.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with swept(spark):
+        gone.append(settle(spark.range(3), "own"))
+        with swept(spark):
+            gone.append(settle(spark.range(3), "inner"))
+        go.set()
+        assert ready.wait(60)
+    thread.join()
+    assert kept[0].count() == 3
+    for df in gone:
+        with pytest.raises(Exception, match="NOT_EXIST|NOT_FOUND"):
+            df.count()
