@@ -99,3 +99,28 @@ def edit_summaries(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.regexp_replace("text", r"\bthe\b", "one").alias("edited"))
     s = E.diff_summary(edit_regions(F.col("text"), F.col("edited")), F.length("text"), F.length("edited"))
     return items.select("item_id", s.alias("s")).select("item_id", "s.*")
+
+
+RUNS = """r as (select p_brand as family, l_linenumber as layer, case l_partkey % 3 when 0 then 'add' when 1 then 'ablate' else 'control' end as run, l_orderkey // 8 as item, l_discount * 10 as base, l_tax * 10 as original, case when l_quantity > 3 then l_quantity / 10 end as after from lineitem join part on l_partkey = p_partkey),
+i as (select distinct family, run = 'control' as c, item from r), m as (select i.*, coalesce(o.item is not null, false) as hit from i left join (select family, item from i where not c) o on o.family = i.family and o.item = i.item),
+k as (select family, c, item from (select *, row_number() over (partition by family, c order by hit desc, md5(cast(item as varchar) || ':42'), item) as n from m) where n <= 30), u as (select r.* from r join k on k.family = r.family and k.c = (r.run = 'control') and k.item = r.item),
+s as (select family, layer, coalesce(avg(abs(after - base)) filter (where run = 'add'), 0) as added, coalesce(avg(case when abs(original - base) < 0.05 then 0.0 when after is not null then greatest(0.0, (after - base) / (original - base)) end) filter (where run = 'ablate'), 0) as ablated,
+  coalesce(avg(abs(after - base)) filter (where run = 'control'), 0) as control from u group by 1, 2)"""
+
+
+def _runs(spark, sf_dir):
+    run = F.when(F.col("l_partkey") % 3 == 0, "add").when(F.col("l_partkey") % 3 == 1, "ablate").otherwise("control")
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.select(F.col("p_brand").alias("family"), F.col("l_linenumber").alias("layer"), run.alias("run"), F.expr("l_orderkey div 8").alias("item"), (F.col("l_discount") * 10).alias("base"), (F.col("l_tax") * 10).alias("original"), F.when(F.col("l_quantity") > 3, F.col("l_quantity") / 10).alias("after"))
+
+
+@query("EXT10 SMP1 JN8", f"with {RUNS} select family, layer, round(added, 6) as added, round(ablated, 5) as ablated, round(control, 6) as control, round(added + ablated - 0.5 * control, 5) as score from s")
+def layer_scan(spark, sf_dir):
+    """Parts as families, lines as runs."""
+    made = E.layer_scores(_runs(spark, sf_dir))
+    return made.withColumns({c: F.round(c, 5 if c in ("ablated", "score") else 6) for c in ("added", "ablated", "control", "score")})
+
+
+@query("EXT10 SRT4", f"with {RUNS} select family, first(layer order by added + ablated - 0.5 * control desc, layer) as layer, round(max(added + ablated - 0.5 * control), 5) as score from s group by 1")
+def best_layer(spark, sf_dir):
+    return E.best_layers(E.layer_scores(_runs(spark, sf_dir))).withColumn("score", F.round("score", 5))

@@ -90,6 +90,40 @@ def strata_of(metrics: DataFrame, extra: dict[str, Column] | None = None) -> Dat
     return by_strata(metrics, strata, values, rates)
 
 
+# Weights of a layer's score.
+ADDED, ABLATED, CONTROLS = 1.0, 1.0, 0.5
+
+
+def layer_scores(runs: DataFrame, sample: int = 30, seed: int = 42) -> DataFrame:
+    """EXT10: how well each layer serves an intervention on a family: (family, layer, score, added, ablated, control).
+
+    ``runs`` has a row for each run: family, layer, ``run`` (``add``: the direction added to an original,
+    ``ablate``: removed from an edited text, ``control``: added to a control's text), ``item``, and the
+    margins ``base`` (of the text itself), ``original`` and ``after``. Of each family ``sample`` items are taken in
+    hash order, and as many controls, those whose item is among the family's first. A layer's score is the mean
+    |change| where the direction is added, plus the mean recovered part where it is removed (not under 0, 0 where
+    there was no effect), less half the mean |change| of controls; a part without runs is 0. Runs without
+    ``after`` (a span that was not found) don't count, but their items are among the sample."""
+    items = runs.select("family", (F.col("run") == "control").alias("of_control"), "item").distinct()
+    own = items.where(~F.col("of_control")).select("family", "item", F.lit(True).alias("matched"))
+    marked = items.join(own, ["family", "item"], "left")
+    order = [F.coalesce("matched", F.lit(False)).desc(), F.md5(F.concat(F.col("item").cast("string"), F.lit(f":{seed}"))), F.col("item")]
+    # only controls are told apart by it; a family's own items all match
+    taken = top_k(marked, ["family", "of_control"], order, sample).select("family", "of_control", "item")
+    used = runs.withColumn("of_control", F.col("run") == "control").join(taken, ["family", "of_control", "item"])
+    moved, effect = F.col("after") - F.col("base"), F.col("original") - F.col("base")
+    known = F.when(F.abs(effect) < V.EFFECT_GATE, 0.0).otherwise(F.when(moved.isNotNull(), F.greatest(F.lit(0.0), F.try_divide(moved, effect))))
+    mean = lambda run, x: F.coalesce(F.avg(F.when(F.col("run") == run, x)), F.lit(0.0))
+    made = used.groupBy("family", "layer").agg(mean("add", F.abs(moved)).alias("added"), mean("ablate", known).alias("ablated"), mean("control", F.abs(moved)).alias("control"))
+    return made.withColumn("score", ADDED * F.col("added") + ABLATED * F.col("ablated") - CONTROLS * F.col("control"))
+
+
+def best_layers(scores: DataFrame) -> DataFrame:
+    """EXT10: the layer of each family with the best score, the lower one on ties: (family, layer, score)."""
+    top = F.max_by(F.struct("layer", "score"), F.struct(F.col("score"), (-F.col("layer")).alias("_l"))).alias("top")
+    return scores.groupBy("family").agg(top).select("family", "top.layer", "top.score")
+
+
 def baselines(df: DataFrame, question: str, layer: str, vec: str) -> tuple[DataFrame, DataFrame]:
     """EXT7: mean vectors by layer, and by question and layer."""
     return centroid(df, [layer], vec), centroid(df, [question, layer], vec)
