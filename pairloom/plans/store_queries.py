@@ -25,18 +25,17 @@ def stored_pairs(spark, sf_dir):
     """Both kinds of every key from the store, joined."""
     path = shared_path(spark, "vectors")
     array_source.write_vectors(_vectors(spark, sf_dir), path, rows_per_file=200)
-    store = array_source.read_vectors(spark, path)
-    a, b = (store.where(F.col("kind") == k).select("key", F.col("vec").alias(k)) for k in ("original", "edited"))
+    a, b = (array_source.read_vectors(spark, path, [k]).select("key", F.col("vec").alias(k)) for k in ("original", "edited"))
     return a.join(b, "key").select("key", F.round(F.get("edited", F.lit(0)) - F.get("original", F.lit(0)), 6).alias("moved"), F.size("edited").alias("width"))
 
 
 @query("SRC11", "select 'q' || lpad(cast(vec_id as varchar), 8, '0') as key, round(2 * embedding[3]::double, 6) as third, 1 as tasks from embeddings where vec_id = (select max(vec_id) from embeddings)")
 def stored_key(spark, sf_dir):
-    """One key of one kind: the filters reach the store, which reads one file for it."""
+    """One key of one kind: one file is read for it."""
     path = shared_path(spark, "vectors")
     array_source.write_vectors(_vectors(spark, sf_dir), path, rows_per_file=50)
     last = table(spark, sf_dir, "embeddings").agg(F.format_string("q%08d", F.max("vec_id")).alias("k")).first().k
-    found = array_source.read_vectors(spark, path).where((F.col("kind") == "edited") & (F.col("key") == last))
+    found = array_source.read_vectors(spark, path, ["edited"], [last])
     return found.select("key", F.round(F.get("vec", F.lit(2)), 6).alias("third"), F.lit(found.rdd.getNumPartitions()).alias("tasks"))
 
 

@@ -6,8 +6,11 @@ than a task's share is read by several tasks, each of which seeks to its own row
 ``vector_shards`` is a store of (kind, key, vec). Its writer's tasks write archives of bounded length into a
 version's own folder and send what they hold as commit messages; the driver writes these as the version's
 manifest and then moves the pointer. A job that fails leaves no manifest, and the version before stays
-current. Its reader plans from the manifest: filters on kind and key leave only the archives, and the rows
-within, that can hold them.
+current. Its reader plans from the manifest: a kind, keys or a range of keys leave only the archives, and the
+rows within, that have them.
+
+Look-ups are options of a read and not pushed filters: Spark 4.1 keeps what was pushed with the loaded table, so
+that of two filters on it in one plan each would meet the other's rows.
 
 Files are opened by ``pyarrow.fs``, so a path is one on every machine (a shared mount, HDFS, S3).
 """
@@ -26,7 +29,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from pairloom.session import worker_path
 
@@ -45,6 +49,12 @@ def _option(options: dict, name: str, default: int) -> int:
     return int({k.lower(): v for k, v in options.items()}.get(name.lower(), default))
 
 
+def _names(options: dict, name: str) -> set[str] | None:
+    """An option that is a JSON list of names; None if it isn't given."""
+    said = {k.lower(): v for k, v in options.items()}.get(name.lower())
+    return None if said is None else set(json.loads(said))
+
+
 class Member:
     """An array inside an archive, read by rows of its first axis."""
 
@@ -89,15 +99,7 @@ class NpzReader(DataSourceReader):
     def __init__(self, options: dict):
         self.values, self.axes = options["values"], options["axes"].split(",")
         self.path, self.task = options["path"], _option(options, "taskBytes", TASK_BYTES)
-        self.names: set[str] | None = None  # of the first axis, where a filter names them
-
-    def pushFilters(self, filters: list[Filter]):
-        """Equality on the first axis leaves the slices that have the name; Spark checks the rows again."""
-        for f in filters:
-            if getattr(f, "attribute", None) == (self.axes[0],) and isinstance(f, (EqualTo, In)):
-                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.names = wanted if self.names is None else self.names & wanted
-            yield f
+        self.names = _names(options, "names")  # of the first axis: slices without one are not read
 
     def _files(self) -> list[str]:
         fs, path = _at(self.path)
@@ -146,7 +148,8 @@ class NpzReader(DataSourceReader):
 
 class NpzSource(DataSource):
     """SRC9 / SRC10. Options: ``path`` (an archive or a folder of them), ``values`` (the array), ``axes`` (names of all
-    its axes but the last, comma-separated; an array of that name gives the labels, else they are numbers), ``taskBytes``."""
+    its axes but the last, comma-separated; an array of that name gives the labels, else they are numbers), ``names`` (a JSON
+    list of labels of the first axis: slices without any are left out), ``taskBytes``."""
 
     @classmethod
     def name(cls) -> str:
@@ -203,24 +206,8 @@ def _manifest(fs: pafs.FileSystem, root: str) -> list[dict]:
 class ShardReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.task = options["path"], _option(options, "taskBytes", TASK_BYTES)
-        self.kinds: set[str] | None = None
-        self.keys: set[str] | None = None
-        self.low: str | None = None
-        self.high: str | None = None
-
-    def pushFilters(self, filters: list[Filter]):
-        """Kinds, keys and ranges of keys choose files and rows; Spark checks the rows again."""
-        for f in filters:
-            column = getattr(f, "attribute", None)
-            if isinstance(f, (EqualTo, In)) and column in (("kind",), ("key",)):
-                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                own = f"{column[0]}s"
-                setattr(self, own, wanted if getattr(self, own) is None else getattr(self, own) & wanted)
-            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)) and column == ("key",):
-                self.low = f.value if self.low is None else max(self.low, f.value)
-            elif isinstance(f, (LessThan, LessThanOrEqual)) and column == ("key",):
-                self.high = f.value if self.high is None else min(self.high, f.value)
-            yield f
+        self.kinds, self.keys = _names(options, "kinds"), _names(options, "keys")
+        self.low, self.high = options.get("low"), options.get("high")  # keys from and to, both included
 
     def _may_hold(self, file: dict) -> bool:
         if self.kinds is not None and file["kind"] not in self.kinds:
@@ -324,7 +311,8 @@ class ShardWriter(DataSourceArrowWriter):
 
 
 class ShardSource(DataSource):
-    """SRC11 / SRC14, SNK6-8. Options: ``path``, ``rowsPerFile`` (writing), ``taskBytes`` (reading)."""
+    """SRC11 / SRC14, SNK6-8. Options: ``path``; writing: ``rowsPerFile``; reading: ``kinds`` and ``keys`` (JSON lists), ``low``
+    and ``high`` (keys, both included), ``taskBytes``."""
 
     @classmethod
     def name(cls) -> str:
@@ -341,9 +329,8 @@ class ShardSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make both formats known to a session, with filters pushed down."""
+    """Make both formats known to a session."""
     worker_path(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(NpzSource)
     spark.dataSource.register(ShardSource)
 
@@ -356,13 +343,18 @@ def write_vectors(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE,
     rows.write.format("vector_shards").option("path", path).option("rowsPerFile", rows_per_file).mode("append" if append else "overwrite").save()
 
 
-def read_vectors(spark: SparkSession, path: str, **options) -> DataFrame:
-    """(kind, key, vec) of the current version."""
+def read_vectors(spark: SparkSession, path: str, kinds: list[str] | None = None, keys: list[str] | None = None, low: str | None = None, high: str | None = None, **options) -> DataFrame:
+    """(kind, key, vec) of the current version: all of it, or of some kinds, keys, or a range of keys (both ends included),
+    for which only the archives that have them are read."""
     register(spark)
-    return spark.read.format("vector_shards").options(path=path, **options).load()
+    asked = {"kinds": kinds and json.dumps(kinds), "keys": None if keys is None else json.dumps(keys), "low": low, "high": high}
+    return spark.read.format("vector_shards").options(path=path, **{k: v for k, v in asked.items() if v is not None}, **options).load()
 
 
-def read_arrays(spark: SparkSession, path: str, values: str, axes: list[str], **options) -> DataFrame:
-    """A named array of the archives under a path as rows: a column for each axis but the last, and ``vec``."""
+def read_arrays(spark: SparkSession, path: str, values: str, axes: list[str], names: list[str] | None = None, **options) -> DataFrame:
+    """A named array of the archives under a path as rows: a column for each axis but the last, and ``vec``; with
+    ``names`` only those of the first axis, from the slices that have them."""
     register(spark)
-    return spark.read.format("npz").options(path=path, values=values, axes=",".join(axes), **options).load()
+    asked = {"names": json.dumps(names)} if names is not None else {}
+    rows = spark.read.format("npz").options(path=path, values=values, axes=",".join(axes), **asked, **options).load()
+    return rows if names is None else rows.where(F.col(axes[0]).isin(names))

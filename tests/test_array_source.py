@@ -7,7 +7,6 @@ import os
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
 
 from pairloom.sources import array_source as A
 
@@ -47,12 +46,12 @@ def test_a_slice_does_not_read_the_archive(tmp_path):
 
 def test_names_choose_slices(spark, tmp_path):
     np.savez(tmp_path / "a.npz", x=np.zeros((40, 2)), k=np.array([f"k{i}" for i in range(40)]))
-    reader = A.NpzReader({"path": str(tmp_path), "values": "x", "axes": "k", "taskBytes": "160"})
-    assert len(reader.partitions()) == 4
-    assert list(reader.pushFilters([EqualTo(("k",), "k17")])) == [EqualTo(("k",), "k17")]
-    assert [(p.start, p.stop) for p in reader.partitions()] == [(10, 20)]
-    df = A.read_arrays(spark, str(tmp_path), "x", ["k"], taskBytes=160).where("k = 'k17'")
+    options = {"path": str(tmp_path), "values": "x", "axes": "k", "taskBytes": "160"}
+    assert len(A.NpzReader(options).partitions()) == 4
+    assert [(p.start, p.stop) for p in A.NpzReader(options | {"names": '["k17"]'}).partitions()] == [(10, 20)]
+    df = A.read_arrays(spark, str(tmp_path), "x", ["k"], ["k17"], taskBytes=160)
     assert df.count() == 1 and df.rdd.getNumPartitions() == 1
+    assert A.read_arrays(spark, str(tmp_path), "x", ["k"], []).count() == 0
 
 
 def test_pickles_are_refused(tmp_path):
@@ -66,20 +65,16 @@ def test_a_look_up_reads_one_file(spark, tmp_path):
     A.write_vectors(vectors(spark), root, rows_per_file=40)
     store = A.read_vectors(spark, root)
     assert {(r.kind, r.key): r.vec for r in store.collect()} == {(r.kind, r.key): r.vec for r in vectors(spark).collect()}
-    one = store.where("kind = 'edited' and key = 'q0123'")
+    one = A.read_vectors(spark, root, ["edited"], ["q0123"])
     assert one.rdd.getNumPartitions() == 1 and [r.vec for r in one.collect()] == [[123.0, -123.0, 0.5]]
-    assert store.where("key in ('q0003', 'q0290', 'none')").count() == 4
-    assert store.where("key > 'q0290' and key <= 'q0295' and kind = 'original'").count() == 5
-    assert store.where("key = 'none'").count() == 0
-
-    reader = A.ShardReader({"path": root})
-    all_files = len(reader.partitions())
-    assert all_files >= 15
-    list(reader.pushFilters([In(("key",), ("q0003", "q0004")), EqualTo(("kind",), "original")]))
-    assert len(reader.partitions()) == 1
-    reader = A.ShardReader({"path": root})
-    list(reader.pushFilters([GreaterThan(("key",), "q0290"), LessThanOrEqual(("key",), "q0295")]))
-    assert len(reader.partitions()) <= 4 < all_files
+    assert A.read_vectors(spark, root, keys=["q0003", "q0290", "none"]).count() == 4
+    assert A.read_vectors(spark, root, ["original"], low="q0291", high="q0295").count() == 5
+    assert A.read_vectors(spark, root, keys=["none"]).count() == 0 and A.read_vectors(spark, root, keys=[]).count() == 0
+    # two filters on one loaded table
+    a, b = (store.where(f"kind = '{k}'").select("key") for k in ("original", "edited"))
+    assert a.join(b, "key").count() == 300
+    files = lambda **options: len(A.ShardReader({"path": root} | options).partitions())
+    assert files() >= 15 and files(keys='["q0003", "q0004"]', kinds='["original"]') == 1 and files(low="q0291", high="q0295") <= 4
 
 
 def test_a_failed_job_leaves_the_last_version(spark, tmp_path):
@@ -89,7 +84,7 @@ def test_a_failed_job_leaves_the_last_version(spark, tmp_path):
     bad = F.udf(lambda k: 1 / 0 if k == "q0013" else k, "string")
     with pytest.raises(Exception, match="division by zero"):
         A.write_vectors(vectors(spark, 20, 5.0).withColumn("key", bad("key")), root)
-    assert sorted(os.listdir(root)) == before and A.read_vectors(spark, root).where("key = 'q0003'").first().vec[0] == 3.0
+    assert sorted(os.listdir(root)) == before and A.read_vectors(spark, root, keys=["q0003"]).first().vec[0] == 3.0
     with pytest.raises(Exception, match="must not be null"):
         A.write_vectors(vectors(spark, 3).withColumn("vec", F.lit(None)), root)
     assert sorted(os.listdir(root)) == before
