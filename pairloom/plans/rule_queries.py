@@ -181,7 +181,7 @@ TIER_FLAGS = ["conflicting"]
 @query(
     "DQ6 AGG10 AGG11 SET2 WIN8",
     f"""with p as (select l_orderkey as k, l_linenumber as o, l_partkey as i, {_pick(VALIDITY, 'l_orderkey // 3', True)} as validity, {_pick(COHERENCE, 'l_orderkey // 9', True)} as coherence, {_pick(ROLES[:5], 'l_orderkey + l_linenumber // 4', True)} as role, {_pick(INVARIANCE, 'l_orderkey // 7', True)} as invariance,
-  l_quantity / 50.0 as conf, case when l_orderkey % 11 <> 0 then 't' end as text from lineitem where l_linenumber <= 5),
+  l_quantity / 50.0 as conf, case when l_orderkey % 11 <> 0 then 't' end as text from lineitem),
 u as (select distinct k, o, validity, coherence, role, invariance, text, 0 as z from p),
 r as (select k, role, count(*) as c, min(o) as seen from p where role is not null group by 1, 2), rm as (select *, row_number() over (partition by k order by c desc, seen) as x, sum(c) over (partition by k) as n, count(*) over (partition by k) as nu from r),
 m as (select k, avg(conf) as conf, any_value(validity) as v, any_value(coherence) as co, any_value(invariance) as inv, any_value(text) as text from p group by k),
@@ -193,7 +193,7 @@ select k as l_orderkey, case when text is null then 'tier3' when v = 'invalid' o
 )
 def tiering(spark, sf_dir):
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
-    passes = table(spark, sf_dir, "lineitem").where("l_linenumber <= 5").select(
+    passes = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", _pick(VALIDITY, F.floor(k / 3), False).alias("counterfactual_validity"), _pick(COHERENCE, F.floor(k / 9), False).alias("clinical_coherence"),
         _pick(ROLES[:5], k + F.floor(n / 4), False).alias("target_attribute_role"), _pick(INVARIANCE, F.floor(k / 7), False).alias("gold_answer_invariance"), (F.col("l_quantity") / 50.0).alias("annotation_confidence"),
         F.when(k % 11 != 0, "t").alias("text"), F.lit(None).cast("string").alias("reason_if_null"), F.array().cast("array<string>").alias("uncertainty_flags"),

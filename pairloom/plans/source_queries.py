@@ -233,10 +233,10 @@ def confusion_matrix(spark, sf_dir):
     return writers.confusion_of_best(scored, "layer", "score", "truth", "guess", ["F", "O"])
 
 
-@query("ARR11", "select l_returnflag, " + ", ".join(f"round(avg(l_quantity) filter (where l_linenumber = {n}), 4) as L{n:02d}_m" for n in (1, 2, 3)) + " from lineitem group by 1")
+@query("ARR11", "select l_returnflag, " + ", ".join(f"round(avg(l_quantity) filter (where l_linenumber = {n}), 4) as L{n:02d}_m" for n in range(1, 8)) + " from lineitem group by 1")
 def wide_layers(spark, sf_dir):
     long = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linenumber").agg(F.round(F.avg("l_quantity"), 4).alias("m"))
-    return writers.wide(long, ["l_returnflag"], "l_linenumber", [1, 2, 3], ["m"])
+    return writers.wide(long, ["l_returnflag"], "l_linenumber", list(range(1, 8)), ["m"])
 
 
 # ---------------------------------------------------------------- resumable state

@@ -364,10 +364,10 @@ def head_overlap(spark, sf_dir):
     return pairs.select("a", "b", F.size(F.array_intersect("va", "vb")).cast("bigint").alias("n_common"), F.size(F.array_union("va", "vb")).cast("bigint").alias("n_union"), F.round(V.jaccard(F.col("va"), F.col("vb")), 6).alias("jaccard"))
 
 
-@query("SET7", f"with {TOP}, b as (select layer, head, sum(cast(pow(2, label) as bigint)) as bitmap from k where rank <= 10 and label < 4 group by 1, 2) select cast(bitmap as bigint) as bitmap, count(*) as n from b group by 1")
+@query("SET7", f"with {TOP}, b as (select layer, head, sum(cast(pow(2, label) as bigint)) as bitmap from k where rank <= 10 group by 1, 2) select cast(bitmap as bigint) as bitmap, count(*) as n from b group by 1")
 def head_memberships(spark, sf_dir):
-    m = long_heads(spark, sf_dir).where("label < 4").groupBy("label", "layer", "head").agg(F.avg("x").alias("s"))
-    return exclusive_memberships(windows.rank_heads(m, "s", 10, ["label"]), ["layer", "head"], "label", [0, 1, 2, 3])
+    m = long_heads(spark, sf_dir).groupBy("label", "layer", "head").agg(F.avg("x").alias("s"))
+    return exclusive_memberships(windows.rank_heads(m, "s", 10, ["label"]), ["layer", "head"], "label", list(range(10)))
 
 
 @query("AGG27", f"with {SH}, g as (select layer, head, label, avg(abs(x)) as m from h group by 1, 2, 3) select layer, head, round(stddev_pop(m) / (avg(m) + 1e-10), 6) as cv, count(*) as n_groups from g group by 1, 2")
