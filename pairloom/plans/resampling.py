@@ -63,6 +63,7 @@ MEAN, STD, VAR, MEDIAN, COHENS_D = Statistic("mean"), Statistic("std"), Statisti
 def _values(df: DataFrame, group: list[str], x: str, first: Column | None) -> DataFrame:
     """(g, x, c, k, part): how many rows have the value, how many of them are in the first sample; NULLs don't count.
     g is the group as JSON, part a range of (g, x)."""
+    worker_path(df.sparkSession)
     g = F.to_json(F.struct(*group), {"ignoreNullFields": "false"}) if group else F.lit("{}")
     side = F.coalesce(first, F.lit(False)).cast("int") if first is not None else F.lit(0)
     # about the mean of a group's values squares lose no digits
@@ -140,8 +141,6 @@ def _moment_draws(values: DataFrame, statistic: Statistic, two: bool, draws: int
     """(g, b, v)."""
     center = values.groupBy("g").agg((F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("m"))
     rows = _sides(values, two).join(center, "g").select("g", "side", "x", "c", (F.col("x") - F.col("m")).alias("d"))
-    worker_path(values.sparkSession)
-
     def run(batches):
         sums: dict = {}
         for batch in batches:
@@ -171,36 +170,41 @@ def _placed_draws(values: DataFrame, q: float, two: bool, draws: int, seed: int)
     """(g, b, v) of a quantile: sizes of the ranges in each draw, the range that holds the place, the value there."""
     sides = _sides(values, two)
 
-    def sizes(frame: pd.DataFrame) -> pd.DataFrame:
-        g, side = frame["g"].iloc[0], int(frame["side"].iloc[0])
-        total = np.zeros(draws, np.int64)
-        for x, c in zip(frame["x"], frame["c"], strict=True):
-            total += _weights(seed, g, side, x, c, draws)
-        return pd.DataFrame({"g": g, "side": side, "part": frame["part"].iloc[0], "b": np.arange(draws), "w": total})
-
-    parts = settle(sides.groupBy("g", "side", "part").applyInPandas(sizes, "g string, side int, part int, b bigint, w bigint"), "range-sizes")
+    def sizes(batches):
+        sums: dict = {}
+        for batch in batches:
+            for g, side, part, x, c in zip(*[batch.column(n).to_pylist() for n in ("g", "side", "part", "x", "c")], strict=True):
+                key = (g, side, part)
+                sums[key] = sums.get(key, 0) + _weights(seed, g, side, x, c, draws)
+        for (g, side, part), w in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * draws, pa.string()), pa.array([side] * draws, pa.int32()), pa.array([part] * draws, pa.int32()), pa.array(np.arange(draws)), pa.array(w.astype(np.int64))], ["g", "side", "part", "b", "w"])
+
+    parts = sides.mapInArrow(sizes, "g string, side int, part int, b bigint, w bigint").groupBy("g", "side", "part", "b").agg(F.sum("w").alias("w"))
+    parts = settle(parts, "range-sizes")
     own = Window.partitionBy("g", "side", "b")
     place = parts.select("*", (F.sum("w").over(own.orderBy("part")) - F.col("w")).alias("before"), F.sum("w").over(own).alias("n"))
     h = (F.col("n") - 1) * F.lit(q)
     at = place.where("n > 0").select("g", "side", "part", "b", "w", "before", F.floor(h).alias("low"), F.ceil(h).alias("high"), (h - F.floor(h)).alias("f"))
     here = at.where((F.col("low").between(F.col("before"), F.col("before") + F.col("w") - 1)) | (F.col("high").between(F.col("before"), F.col("before") + F.col("w") - 1)))
 
-    def find(inside: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        if not len(want) or not len(inside):
-            return pd.DataFrame({"g": [], "side": [], "b": [], "low": [], "high": [], "f": []})
-        inside = inside.sort_values("x")
-        g, side = inside["g"].iloc[0], int(inside["side"].iloc[0])
+    made = pa.schema([("g", pa.string()), ("side", pa.int32()), ("b", pa.int64()), ("low", pa.float64()), ("high", pa.float64()), ("f", pa.float64())])
+
+    def find(inside: pa.Table, want: pa.Table) -> pa.Table:
+        if not want.num_rows or not inside.num_rows:
+            return made.empty_table()
+        inside = inside.sort_by("x")
+        g, side = inside["g"][0].as_py(), inside["side"][0].as_py()
         b = want["b"].to_numpy()
         seen, found = want["before"].to_numpy().astype(np.int64), {k: np.full(len(b), np.nan) for k in ("low", "high")}
-        for x, c in zip(inside["x"], inside["c"], strict=True):
+        places = {k: want[k].to_numpy() for k in found}
+        for x, c in zip(inside["x"].to_pylist(), inside["c"].to_pylist(), strict=True):
             after = seen + _weights(seed, g, side, x, c, draws)[b]
             for k, v in found.items():
-                i = want[k].to_numpy()
-                v[(seen <= i) & (i < after)] = x
+                v[(seen <= places[k]) & (places[k] < after)] = x
             seen = after
-        return pd.DataFrame({"g": g, "side": side, "b": b, "low": found["low"], "high": found["high"], "f": want["f"].to_numpy()})
+        return pa.table([pa.array([g] * len(b), pa.string()), pa.array([side] * len(b), pa.int32()), pa.array(b), pa.array(found["low"]), pa.array(found["high"]), pa.array(want["f"].to_numpy().astype(float))], schema=made)
 
-    cells = sides.groupBy("g", "side", "part").cogroup(here.groupBy("g", "side", "part")).applyInPandas(find, "g string, side int, b bigint, low double, high double, f double")
+    cells = sides.groupBy("g", "side", "part").cogroup(here.groupBy("g", "side", "part")).applyInArrow(find, "g string, side int, b bigint, low double, high double, f double")
     low, high = (F.max(F.when(~F.isnan(c), F.col(c))) for c in ("low", "high"))
     each = cells.groupBy("g", "side", "b").agg((low + F.max("f") * (high - low)).alias("v"))
     if not two:
@@ -214,8 +218,6 @@ def permutation(df: DataFrame, group: list[str], x: str, first: Column, statisti
     either side. NULL without rows on both sides."""
     values = _values(df, group, x, first)
     sizes = values.groupBy("g", "part").agg(F.sum("c").alias("n"), F.sum("k").alias("k"))
-    worker_path(values.sparkSession)
-
     def start(g: str, *more: int) -> np.random.Generator:
         return np.random.default_rng([seed, zlib.crc32(g.encode()), *more])
 
