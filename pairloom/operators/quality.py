@@ -102,15 +102,19 @@ def high_edits(df: DataFrame, ratio: str, threshold: float = 0.35) -> DataFrame:
     return df.where(F.col(ratio) > threshold)
 
 
-def reconcile(passes: DataFrame, keys: list[str], order: str, critical_flags: list[str]) -> DataFrame:
-    """DQ6: majority labels, agreement and tier of each key over its annotation passes (a row each)."""
+def reconcile(passes: DataFrame, keys: list[str], order: str, critical_flags: list[str], sequence: str | None = None) -> DataFrame:
+    """DQ6: majority labels, agreement and tier of each key over its annotation passes (a row each). Confidences are
+    added up in the order of ``sequence`` (default ``order``), which should have no ties within a key: in another order
+    the mean's last place is another, and a mean at a tier's edge falls on the other side."""
     reason = F.coalesce(F.lower("reason_if_null"), F.lit(""))
     state = F.when(F.col("text").isNull() & reason.contains("identical"), "identical").when(F.col("text").isNull(), "null").otherwise("has_text")
     # one shuffle by the key serves every aggregation below: a key has as many rows as passes
     df = passes.withColumn("text_state", state).repartition(*keys)
     flags = F.flatten(F.collect_list(F.coalesce("uncertainty_flags", F.array().cast("array<string>"))))
+    sure = F.array_sort(F.collect_list(F.when(F.col("annotation_confidence").isNotNull(), F.struct(F.col(sequence or order).alias("at"), F.col("annotation_confidence").cast("double").alias("x")))))  # a key's passes
+    mean = F.try_divide(F.aggregate(sure, F.lit(0.0), lambda total, c: total + c["x"]), F.size(sure))
     out = df.groupBy(*keys).agg(
-        F.coalesce(F.avg("annotation_confidence"), F.lit(0.5)).alias("mean_confidence"),
+        F.coalesce(mean, F.lit(0.5)).alias("mean_confidence"),
         F.min_by("text", F.when(F.col("text").isNotNull(), F.col(order))).alias("text"),
         F.size(F.array_intersect(F.array_distinct(flags), F.array(*[F.lit(f) for f in critical_flags]))).alias("critical"),
         F.count("*").alias("n_passes"),

@@ -197,8 +197,9 @@ def tiering(spark, sf_dir):
         "l_orderkey", "l_linenumber", _pick(VALIDITY, F.floor(k / 3), False).alias("counterfactual_validity"), _pick(COHERENCE, F.floor(k / 9), False).alias("clinical_coherence"),
         _pick(ROLES[:5], k + F.floor(n / 4), False).alias("target_attribute_role"), _pick(INVARIANCE, F.floor(k / 7), False).alias("gold_answer_invariance"), (F.col("l_quantity") / 50.0).alias("annotation_confidence"),
         F.when(k % 11 != 0, "t").alias("text"), F.lit(None).cast("string").alias("reason_if_null"), F.array().cast("array<string>").alias("uncertainty_flags"),
+        F.struct("_metadata.file_path", "_metadata.row_index").alias("row"),  # an order has line numbers twice
     )
-    out = quality.reconcile(passes, ["l_orderkey"], "l_linenumber", TIER_FLAGS)
+    out = quality.reconcile(passes, ["l_orderkey"], "l_linenumber", TIER_FLAGS, "row")
     return out.select("l_orderkey", "tier", F.round("mean_confidence", 6).alias("mean_confidence"))
 
 
