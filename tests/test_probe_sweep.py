@@ -123,3 +123,42 @@ def test_left_out_of_odd_groups(spark):
     assert {r.key for r in coefs.collect()} == {"single", None}
     assert [r["rank"] for r in left_out.ranked_coefficients(coefs, "key").collect()] == [1, 1]
     assert left_out.leave_one_out(df.where("key = 'no'"), "key", "v", "y")[0].count() == 0
+
+
+def no_step(*_):
+    raise AssertionError("an exact step over all rows")
+
+
+def test_equal_rows_are_refitted_once(spark, monkeypatch):
+    """However often they come: six different rows need no blocks."""
+    monkeypatch.setattr(left_out, "_step", no_step)
+    rows = [("k", [float(b == i) for i in range(3)], i_ % 10 < 3 + 2 * b) for b in range(3) for i_ in range(800)]
+    df = spark.createDataFrame(rows, "key string, v array<double>, y boolean").repartition(5)
+    got = left_out.leave_one_out(df, "key", "v", "y", None, 1e4)[0].first()
+    # 3, 5 and 7 of 10 are positive; of the band of equal halves every row is a miss
+    assert (got.hits, got.n) == (560 + 0 + 560, 2400)
+
+
+def test_large_groups_need_no_exact_steps(spark, monkeypatch):
+    """The expansion's bound holds for all rows of a large group, and the refits are those from scratch."""
+    monkeypatch.setattr(left_out, "_step", no_step)
+    rng = np.random.default_rng(8)
+    x, noise = rng.uniform(-1, 1, (4000, 3)), rng.normal(size=4000)
+    y = x[:, 0] - x[:, 1] / 2 + noise > 0.1
+    df = spark.createDataFrame([("k", v.tolist(), bool(t)) for v, t in zip(x, y, strict=True)], "key string, v array<double>, y boolean").repartition(5)
+    found, coefs = left_out.leave_one_out(df, "key", "v", "y", None, 0.1)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    hits, want = refits(z, y.astype(float), 0.1)
+    assert found.first().hits == hits
+    assert np.allclose([r.mean_coef for r in coefs.orderBy("place").collect()], want, atol=1e-7)
+
+
+def test_two_classes_go_to_the_refits_in_blocks(spark, monkeypatch):
+    """Keys of two classes meet no task that holds the group; keys of more keep the other way."""
+    from pairloom.plans import probes
+
+    seen, plain = [], left_out.leave_one_out
+    monkeypatch.setattr(left_out, "leave_one_out", lambda df, *a: seen.append(sorted(r[0] for r in df.select("g").distinct().collect())) or plain(df, *a))
+    rows = [(k, [float(i), float(i * i % 7)], "abc"[i * (2 if k == "two" else 3) // 40]) for k in ("two", "three") for i in range(40)]
+    got = {r.k: r for r in probes.leave_one_out(spark.createDataFrame(rows, "k string, v array<double>, y string"), "k", "v", "y", 2, 1.0).collect()}
+    assert seen == [["two"]] and {k: r.n for k, r in got.items()} == {"two": 40, "three": 40} and got["two"].accuracy > 0.9
