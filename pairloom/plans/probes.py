@@ -136,18 +136,19 @@ def layer_probes(df: DataFrame, layer: str, vec: str, label: str, group: str, te
     return split.groupBy(layer).applyInPandas(run, f"`{layer}` {kind}, {METRICS}")
 
 
-def fit_binary(x: np.ndarray, y: np.ndarray, c: float, start: np.ndarray | None = None, steps: int = 100) -> np.ndarray:
+def fit_binary(x: np.ndarray, y: np.ndarray, c: float, start: np.ndarray | None = None, steps: int = 100, n: np.ndarray | None = None) -> np.ndarray:
     """Logistic regression of 0 or 1 (ridge 1 / c, the intercept, which is last, free), Newton steps that are
-    halved until the loss falls."""
+    halved until the loss falls. ``n`` is how often each row counts."""
+    n = np.ones(len(y)) if n is None else n
     x1 = np.column_stack([x, np.ones(len(x))])
     ridge = np.append(np.full(x.shape[1], 1.0 / c), 0.0)
     w = np.zeros(x1.shape[1]) if start is None else start.copy()
-    loss = lambda v: np.logaddexp(0, s := x1 @ v).sum() - y @ s + ridge @ (v * v) / 2
+    loss = lambda v: n @ np.logaddexp(0, s := x1 @ v) - (n * y) @ s + ridge @ (v * v) / 2
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -500, 500)))
-        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(ridge + 1e-9), x1.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x1 * (n * p * (1 - p))[:, None]).T @ x1 + np.diag(ridge + 1e-9), x1.T @ (n * (p - y)) + ridge * w)
         have = loss(w)
-        while loss(w - step) > have + 1e-9 and np.abs(step).max() > 1e-10:
+        while loss(w - step) > have + 1e-9 * max(1.0, 1e-6 * abs(have)) and np.abs(step).max() > 1e-10:
             step /= 2
         w = w - step
         if np.abs(step).max() < 1e-8:
@@ -160,9 +161,23 @@ HELD_OUT = 256  # refits of a task
 
 def leave_one_out(df: DataFrame, key: str, vec: str, label: str, components: int = 50, c: float = 0.01) -> DataFrame:
     """ST11 / ST16 / SMP9: accuracy of leave-one-out logistic probes for each key. Principal components and
-    scaling are those of the whole group; then the probe is fitted again without each row, and
-    the refits of a group are dealt to tasks. Groups of fewer than three rows or of one class give NULL."""
+    scaling are those of the whole group; then the probe is fitted again without each row. Keys of two classes at most are
+    left to :mod:`pairloom.plans.left_out`; with more, the refits of a group are dealt to tasks. Groups of fewer
+    than three rows or of one class give NULL."""
+    from pairloom.plans import left_out
+
     kind = df.schema[key].dataType.simpleString()
+    said = df.select(F.col(key).cast("string").alias("g"), F.col(label).cast("string").alias("y"), vec).where("y is not null")
+    classes = said.groupBy("g").agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    mixed = left_out.same(said.select("g", "y"), classes, ["g"]).where("y <> low and y <> high").select("g").distinct()
+    many = [r.g for r in mixed.collect()]  # keys are layers or folds
+    if not many:
+        two = left_out.same(said, F.broadcast(classes.select("g", "high")), ["g"]).select("g", (F.col("y") == F.col("high")).alias("y"), vec)
+        found, _ = left_out.leave_one_out(two, "g", vec, "y", components, c)
+        return found.select(F.col("g").cast(kind).alias(key), "accuracy", "n")
+    few = ~F.coalesce(F.col(key).cast("string").isin([g for g in many if g is not None]), F.lit(None in many))
+    if not df.where(few).isEmpty():
+        return leave_one_out(df.where(few), key, vec, label, components, c).unionByName(leave_one_out(df.where(~few), key, vec, label, components, c))
 
     def reduce(frame: pd.DataFrame) -> pd.DataFrame:
         n, names = len(frame), sorted(frame["y"].dropna().unique())
