@@ -36,11 +36,11 @@ def running(counts: DataFrame, group: list[str], order: str, sums: list[str]) ->
     return both.select(*counts.columns, *[(F.col(f"_b_{c}") + F.col(f"_w_{c}")).alias(f"{c}_before") for c in sums])
 
 
-def quantiles(df: DataFrame, group: list[str], x: str, probs: list[float], name: str = "q", upper: bool = False) -> DataFrame:
+def quantiles(df: DataFrame, group: list[str], x: str, probs: list[float], name: str = "q", upper: bool = False, times: str | None = None) -> DataFrame:
     """AGG6 / AGG14 / WIN10: (group, n, ``name``): exact quantiles with linear interpolation, as an array in the order
     of ``probs``; with ``upper`` its last is the element at n // 2 of the sorted values (T12). NULLs don't count, and
-    groups without a value have no row."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(*group, x).agg(F.count("*").alias("_n"))
+    groups without a value have no row. ``times`` is how often a row counts."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(*group, x).agg((F.sum(times) if times else F.count("*")).alias("_n"))
     placed = running(counts, group, x, ["_n"])
     n = placed.groupBy(*group).agg(F.sum("_n").alias("n"))
     place = F.array(*[(F.col("n") - 1) * F.lit(float(p)) for p in probs], *([F.floor(F.col("n") / 2).cast("double")] if upper else []))
