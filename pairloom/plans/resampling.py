@@ -111,7 +111,8 @@ def _mixed(z: np.ndarray) -> np.ndarray:
 def _steps(c: int) -> list[np.uint64]:
     """Where the Poisson distribution of mean c passes to the next number, in parts of 2^64."""
     out, p, total, k = [], math.exp(-c), 0.0, 0
-    while (total := total + p) < 1 - 2.0**-53 and int(total * 2.0**64) < 2**64:
+    # a sum of rounded terms may stop short of 1: past the mean, terms that are too small to add end it as well
+    while (total := total + p) < 1 - 2.0**-53 and (k <= c or p > 2.0**-60):
         out.append(np.uint64(int(total * 2.0**64)))
         k += 1
         p *= c / k
