@@ -289,29 +289,28 @@ def shard_manifest(spark, sf_dir):
 
 @query("STM1 STM3", "select c_custkey, round(c_acctbal * 2, 2) as doubled, case when c_custkey % 3 = 0 then 0 else 1 end as run from customer")
 def streamed_once(spark, sf_dir):
-    """Three files that share keys; the query stops in its second batch, and goes on in another run."""
+    """Three arrivals of files that share keys; the query stops in its second batch, and goes on in another run."""
     from pyspark.errors import StreamingQueryException
 
     from pairloom.streaming import keyed
 
     root, rows = shared_path(spark, "stream"), table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    for n in range(3):  # each file has its third of the keys and those of the files before
-        rows.where(f"c_custkey % 3 <= {n}").coalesce(1).write.mode("append").parquet(f"{root}/in")
-    runs = []
+    runs, batches = [], []
 
     def work(batch):
-        if not runs and batch.where("c_custkey % 3 <> 0").limit(1).count():
+        batches.append(len(runs))
+        if len(batches) == 2:
             raise InterruptedError("stopped on the way")
         return batch.select("c_custkey", F.round(F.col("c_acctbal") * 2, 2).alias("doubled"), F.lit(len(runs)).alias("run"))
 
-    start = lambda: keyed.stream_once(spark, f"{root}/in", "c_custkey bigint, c_acctbal double", f"{root}/out", f"{root}/state", work, ["c_custkey"], files=1)
-    try:
-        start().awaitTermination()
-    except StreamingQueryException as error:
-        if "stopped on the way" not in str(error):
-            raise
-        runs.append("stopped")
-    start().awaitTermination()
+    for n in range(3):  # each arrival has its third of the keys and those of the ones before
+        rows.where(f"c_custkey % 3 <= {n}").write.mode("append").parquet(f"{root}/in")
+        try:
+            keyed.stream_once(spark, f"{root}/in", "c_custkey bigint, c_acctbal double", f"{root}/out", f"{root}/state", work, ["c_custkey"]).awaitTermination()
+        except StreamingQueryException as error:
+            if "stopped on the way" not in str(error):
+                raise
+            runs.append("stopped")
     return spark.read.parquet(f"{root}/out").drop("batch")
 
 

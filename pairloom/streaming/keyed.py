@@ -2,39 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import BooleanType, StructField, StructType
-
-from pairloom.session import worker_path
+from pyspark.sql.streaming import StreamingQuery
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-class Once(StatefulProcessor):
-    """The first row of a key that no earlier batch had."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.done = handle.getValueState("done", StructType([StructField("done", BooleanType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.done.exists():
-            return
-        for frame in rows:
-            if len(frame):
-                self.done.update((True,))
-                yield frame.iloc[:1]
-                return
-
-    def close(self) -> None:
-        pass
-
-
 @contextmanager
 def rocks_state(spark: SparkSession):
     """State that may outgrow memory: RocksDB's store for the queries started within."""
@@ -49,8 +26,7 @@ def rocks_state(spark: SparkSession):
 def unseen(stream: DataFrame, keys: list[str]) -> DataFrame:
     """STM1: of a stream, each key's first row; rows of a key that the state knows are left out. The state grows with
     the keys, on the executors that own them, and comes back from the query's checkpoint."""
-    worker_path(stream.sparkSession)
-    return stream.groupBy(*keys).transformWithStateInPandas(Once(), stream.schema, "Append", "None")
+    return stream.dropDuplicates(keys)
 
 
 def stream_once(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], keys: list[str], files: int = 1000) -> StreamingQuery:
