@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pairloom.operators.joins import not_done
+from pairloom.session import spread
 from pairloom.sources.writers import list_names, read_text, write_text
 
 
@@ -106,8 +107,12 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
 def write_shards(df: DataFrame, root: str, rows_per_shard: int, key: str) -> DataFrame:
     """STM6: rows in files of bounded length, and a manifest of which keys each file holds. Both are new
     folders, and a pointer that is written last makes them current: a failure in between leaves the
-    old shards with their old manifest. Returns the manifest (file, n, first, last)."""
+    old shards with their old manifest. Returns the manifest (file, n, first, last). A table whose scan has fewer
+    tasks than there are cores is spread over them if it fills a shard for each: to open a file costs more than its rows do."""
     spark, name = df.sparkSession, uuid.uuid4().hex
+    cores = spark.sparkContext.defaultParallelism
+    if df.limit(cores * rows_per_shard).count() == cores * rows_per_shard:
+        df = spread(df)
     df.write.option("maxRecordsPerFile", rows_per_shard).parquet(f"{root}/{name}/shards")
     back = spark.read.parquet(f"{root}/{name}/shards").select(key, F.col("_metadata.file_name").alias("file"))
     back.groupBy("file").agg(F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last")).write.parquet(f"{root}/{name}/manifest")
