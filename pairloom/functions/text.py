@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,12 +22,35 @@ def tags(text: Column, patterns: dict[str, str], lowered: bool = False) -> Colum
     return F.filter(F.array(*[F.when(low.rlike(p), F.lit(name)) for name, p in patterns.items()]), lambda x: x.isNotNull())
 
 
+HEAD = re.compile(r"[A-Za-z0-9]{2}(?![?*+{])[^|]+", re.DOTALL)  # two plain characters, then more, all one alternative
+
+
+def _branches(pattern: str) -> list[str]:
+    """The alternatives of a pattern that begins at a word boundary, without it; none of others."""
+    if not pattern.startswith(r"\b"):
+        return []
+    inner = re.fullmatch(r"\\b\((?:\?:)?([^()]*)\)(\\b)?", pattern)
+    if inner and re.search(r"\[[^\]]*\||\\\||\\Q", inner[1]):  # a bar that parts no alternatives
+        inner = None
+    return [p + (inner[2] or "") for p in inner[1].split("|")] if inner else [pattern[2:]]
+
+
 def any_of(patterns: list[str]) -> str:
     """One pattern that occurs where any of them does. Those that begin at a word boundary share the
-    check for it, so a text without a hit is passed over once, not once for each pattern."""
-    bounded = [p[2:] for p in patterns if p.startswith(r"\b")]
-    others = [p for p in patterns if not p.startswith(r"\b")]
-    return "|".join(([r"\b(?:" + "|".join(bounded) + ")"] if bounded else []) + others)
+    check for it, and of a word only the alternatives with its first two letters are tried: a look ahead tells
+    whether there are any, so most words of a text are passed over at once."""
+    bounded = sorted({b for p in patterns for b in _branches(p)})
+    others = [p for p in patterns if not _branches(p)]
+    heads: dict[str, list[str]] = {}
+    rest = []
+    for b in bounded:
+        heads.setdefault(b[:2], []).append(b[2:]) if HEAD.fullmatch(b) else rest.append(b)
+    firsts: dict[str, list[str]] = {}
+    for head, tails in heads.items():
+        firsts.setdefault(head[0], []).append(head[1] + "(?:" + "|".join(tails) + ")")
+    seconds = [f"{c}(?:" + "|".join(tails) + ")" for c, tails in firsts.items()]
+    ahead = "" if rest else "(?=[" + "".join(firsts) + "][" + "".join(sorted({h[1] for h in heads})) + "])"
+    return "|".join(([r"\b" + ahead + "(?:" + "|".join(seconds + rest) + ")"] if bounded else []) + others)
 
 
 def tags_any_case(text: Column, patterns: dict[str, str]) -> Column:
@@ -134,9 +158,9 @@ def contains_any_case(value: Column, part: Column) -> Column:
 
 def anatomy_sensitive(features: Column, text: Column, keywords: list[str]) -> Column:
     """STR17: a keyword in one of the features, or else in the text."""
-    any_of = "|".join(keywords)
-    inside = F.exists(features, lambda f: F.lower(f).rlike(any_of))
-    return F.coalesce(inside, F.lit(False)) | F.coalesce(F.lower(text).rlike(any_of), F.lit(False))
+    keyword = "|".join(keywords)
+    inside = F.exists(features, lambda f: F.lower(f).rlike(keyword))
+    return F.coalesce(inside, F.lit(False)) | F.coalesce(F.lower(text).rlike(keyword), F.lit(False))
 
 
 def blank_to_null(value: Column) -> Column:

@@ -37,7 +37,8 @@ def _labels_sql() -> str:
 
 @query("STR1 AGG3 T16", _labels_sql())
 def audit_labels(spark, sf_dir):
-    every = F.flatten(F.array(*[F.transform(X.tags(F.col("low"), p, lowered=True), _pair(c)) for c, p in ASCII_PATTERNS.items()]))
+    some = lambda p: F.when(F.col("low").rlike(X.any_of(list(p.values()))), X.tags(F.col("low"), p, lowered=True)).otherwise(F.array().cast("array<string>"))
+    every = F.flatten(F.array(*[F.transform(some(p), _pair(c)) for c, p in ASCII_PATTERNS.items()]))
     hit = F.col("low").rlike(X.any_of([p for ps in ASCII_PATTERNS.values() for p in ps.values()]))
     return spread(table(spark, sf_dir, "documents").select("text")).select(F.lower("text").alias("low")).where(hit).select(F.explode(every).alias("e")).groupBy("e.category", "e.label").agg(F.count("*").alias("n"))
 
