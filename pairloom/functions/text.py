@@ -58,11 +58,11 @@ def tags_any_case(text: Column, patterns: dict[str, str]) -> Column:
 
 
 def hit_count(text: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur in the lower-cased text."""
+    """How many of the patterns occur in the lower-cased text. They are counted one by one only where any does."""
     low, out = F.lower(text), F.lit(0)
     for p in patterns:
         out = out + F.coalesce(low.rlike(p).cast("int"), F.lit(0))
-    return out
+    return F.when(low.rlike(any_of(patterns)), out).otherwise(0) if patterns else out
 
 
 def nonclinical(text: Column, statistics: list[str], clinical: list[str]) -> Column:
@@ -158,7 +158,7 @@ def contains_any_case(value: Column, part: Column) -> Column:
 
 def anatomy_sensitive(features: Column, text: Column, keywords: list[str]) -> Column:
     """STR17: a keyword in one of the features, or else in the text."""
-    keyword = "|".join(keywords)
+    keyword = any_of(keywords)
     inside = F.exists(features, lambda f: F.lower(f).rlike(keyword))
     return F.coalesce(inside, F.lit(False)) | F.coalesce(F.lower(text).rlike(keyword), F.lit(False))
 

@@ -162,7 +162,7 @@ def _nonclinical_sql() -> str:
 @query("FLT9 STR17", _nonclinical_sql())
 def clinical_filters(spark, sf_dir):
     empty = F.array().cast("array<string>")
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(
+    return spread(table(spark, sf_dir, "documents").select("lang", "text")).groupBy("lang").agg(
         F.count_if(X.nonclinical(F.col("text"), R.STATISTICS_WORDS, R.CLINICAL_WORDS)).alias("nonclinical"),
         F.count_if(X.anatomy_sensitive(empty, F.col("text"), R.ANATOMY_WORDS)).alias("anatomy"),
         F.count("*").alias("n"),
