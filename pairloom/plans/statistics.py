@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pairloom.session import settle
+
 
 def cohens_d(x: Column, first: Column, second: Column) -> Column:
     """ST2, an aggregate: difference of means over the pooled deviation; 0 where it is degenerate."""
@@ -32,19 +34,27 @@ def correlation(x: Column, y: Column) -> Column:
 
 def ranked(df: DataFrame, column: str, name: str, group: list[str] | None = None, ties: str | None = None) -> DataFrame:
     """Average ranks from 1 under ``name`` (``ties``: how many rows share the value), by group. No task sorts
-    a group: counts per value, running sums over range-partitioned values, and a join back, whose sides
-    AQE can split at a common value."""
+    a group: :func:`value_ranks`, and a join back. The ranks are settled, so that their size is known when the join is
+    planned: those of a column of few values are broadcast, and the rows are not shuffled; otherwise AQE can split the
+    sides at a common value."""
     group = group or []
     keys = [*group, column]
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    parts = counts.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id())
+    ranks = settle(value_ranks(df.groupBy(*keys).agg(F.count("*").alias("_n")), column, name, group), "ranks")
+    ranks = ranks.select(*keys, name, *([F.col("_n").alias(ties)] if ties else []))
+    return _same(df, ranks, keys)
+
+
+def value_ranks(counts: DataFrame, column: str, name: str, group: list[str]) -> DataFrame:
+    """Average ranks from 1 under ``name`` of values with their counts ``_n``, by running sums over range-partitioned
+    values. These are settled with their partition's number, which the sums of partitions and those within must share."""
+    keys = [*group, column]
+    parts = settle(counts.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), "parts")
     sums = parts.groupBy("_p", *group).agg(F.sum("_n").alias("_s"))  # a row for each partition, and for each group inside
     before = Window.partitionBy(*group).orderBy("_p") if group else Window.orderBy("_p")
     base = sums.select("_p", *group, (F.sum("_s").over(before) - F.col("_s")).alias("_base"))
     within = F.sum("_n").over(Window.partitionBy("_p", *group).orderBy(column))
     ranks = _same(parts.withColumn("_c", within), base, ["_p", *group])
-    ranks = ranks.select(*keys, (F.col("_base") + F.col("_c") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(name), *([F.col("_n").alias(ties)] if ties else []))
-    return _same(df, ranks, keys)
+    return ranks.select(*counts.columns, (F.col("_base") + F.col("_c") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(name))
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,12 +81,20 @@ def spearman(df: DataFrame, x: str, y: str, group: list[str] | None = None) -> D
 def partial_spearman(df: DataFrame, x: str, y: str, z: str, group: list[str] | None = None) -> DataFrame:
     """ST4: correlation of x and y without z, its t value; p by :func:`t_two_sided`."""
     group = group or []
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
-    for c in (x, y, z):
-        rows = ranked(rows, c, f"_{c}", group)
-    r = rows.groupBy(*group).agg(
-        correlation(F.col(f"_{x}"), F.col(f"_{y}")).alias("rxy"), correlation(F.col(f"_{x}"), F.col(f"_{z}")).alias("rxz"), correlation(F.col(f"_{y}"), F.col(f"_{z}")).alias("ryz"), F.count("*").alias("n")
-    )
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).select(*[F.col(g) for g in group], F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(z).alias("_z"))
+    rows = ranked(ranked(rows, "_x", "_rx", group), "_z", "_rz", group)
+    # y's ranks meet the other two's sums by value of y, so the rows are shuffled once, and summed before
+    sums = [F.sum(c).alias(n) for n, c in {"_sx": F.col("_rx"), "_sz": F.col("_rz"), "_sxz": F.col("_rx") * F.col("_rz"), "_sxx": F.col("_rx") ** 2, "_szz": F.col("_rz") ** 2}.items()]
+    values = rows.groupBy(*group, "_y").agg(F.count("*").alias("_n"), *sums)
+    values = value_ranks(values, "_y", "_ry", group)
+    ry = F.col("_ry")
+    total = values.groupBy(*group).agg(
+        F.sum("_n").alias("n"), F.sum(ry * F.col("_sx")).alias("_xy"), F.sum(ry * F.col("_sz")).alias("_yz"), F.sum(ry * ry * F.col("_n")).alias("_yy"),
+        *[F.sum(c).alias(c) for c in ("_sxz", "_sxx", "_szz")],
+    )
+    middle = F.col("n") * ((F.col("n") + 1) / 2.0) ** 2  # average ranks have this mean, whatever the ties
+    of = lambda a, b, c: F.try_divide(F.col(a) - middle, F.nullif(F.sqrt((F.col(b) - middle) * (F.col(c) - middle)), F.lit(0.0)))
+    r = total.select(*group, of("_xy", "_sxx", "_yy").alias("rxy"), of("_sxz", "_sxx", "_szz").alias("rxz"), of("_yz", "_yy", "_szz").alias("ryz"), "n")
     floor = F.lit(1e-10)
     rho = (F.col("rxy") - F.col("rxz") * F.col("ryz")) / (F.sqrt(F.greatest(1 - F.col("rxz") ** 2, floor)) * F.sqrt(F.greatest(1 - F.col("ryz") ** 2, floor)))
     out = r.withColumn("rho", rho)
