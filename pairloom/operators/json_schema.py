@@ -1,9 +1,10 @@
 """Validation of JSON texts against a JSON Schema: every violation with its path.
 
 The schema becomes a table of nodes (a ``$ref`` is the node it names, so definitions are compiled once).
-Texts are parsed to VARIANT and walked one level of the schema at a time, all in columns: a row's frontier
-is an array of (path, node, value), each level adds its violations and makes the next frontier from members and
-items. There is one scan, no shuffle, and expressions grow with the schema, not with the data.
+Texts are parsed to VARIANT and walked one level of the schema at a time: a row is a value with its path and its
+node, each level checks it and gives a row for each of its members or items. A value's violations travel with the
+first row below it, so there is one scan and no shuffle. Nothing is done in lambdas, which Spark interprets: the
+checks of a level are plain columns of its own nodes' keywords, compiled with the stage.
 
 Keywords: type, enum, const, minimum, maximum, exclusiveMinimum, exclusiveMaximum, minLength, maxLength,
 pattern, required, properties, patternProperties, additionalProperties, minProperties, maxProperties, items,
@@ -66,7 +67,7 @@ class Nodes:
 
     def next(self, n: int) -> list[int]:
         r = self.rules[n]
-        return [*r["members"].values(), *[i for _, i in r["patterns"]], *([r["rest"]] if (r["rest"] or -1) >= 0 else []), *([r["items"]] if r["items"] is not None else [])]
+        return [*r["members"].values(), *[i for _, i in r["patterns"]], *([r["rest"]] if r["rest"] not in (None, -1) else []), *([r["items"]] if r["items"] is not None else [])]
 
     def together(self, n: int) -> list[int]:
         """A node and all that hold with it."""
@@ -83,10 +84,25 @@ class Nodes:
             seen += 1
         return seen
 
-    def table(self, keyword: str, kind: str, change=lambda v: v) -> Column | None:
-        """A map from node to a keyword's value; None if no node has it."""
-        pairs = [(n, change(r["own"][keyword])) for n, r in enumerate(self.rules) if keyword in r["own"]]
-        return F.from_json(F.lit(json.dumps({str(n): v for n, v in pairs})), f"map<string,{kind}>") if pairs else None
+    def meets(self, n: int) -> list[int]:
+        """The nodes that a value of ``n`` is held against: those that hold with it and ask something."""
+        return [m for m in self.together(n) if self.rules[m]["own"].keys() & CHECKED or self.rules[m]["rest"] == -1 or self.next(m)]
+
+    def levels(self) -> list[tuple[list[int], bool]]:
+        """For each level the nodes that its values can meet, and whether one value can meet several."""
+        out = [(first := self.meets(self.root), len(first) > 1)]
+        while len(out) < self.depth():
+            level, several = out[-1]
+            to = [self.meets(j) for n in level for j in self.next(n)]
+            split = any(len(r["patterns"]) + bool(r["members"]) > 1 for r in (self.rules[n] for n in level) if r["patterns"])
+            out.append((sorted({m for ms in to for m in ms}), several or split or any(len(ms) > 1 for ms in to)))
+        return out
+
+
+OF_MEMBERS, OF_ITEMS = {"required", "minProperties", "maxProperties"}, {"minItems", "maxItems", "uniqueItems"}
+OF_SCALARS = {"minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern"}
+CHECKED = {"type", "enum", "const"} | OF_MEMBERS | OF_ITEMS | OF_SCALARS
+FOUND = "array<struct<path:string,message:string>>"
 
 
 def _canonical(value) -> str:
@@ -94,134 +110,173 @@ def _canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def _kind(v: Column) -> Column:
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-
-
-def _whole(v: Column) -> Column:
-    d = F.try_variant_get(v, "$", "double")
-    return d == F.floor(d)
-
-
-def _has_type(name: Column, v: Column, kind: Column) -> Column:
-    number = kind.isin("BIGINT", "TINYINT", "SMALLINT", "INT", "DECIMAL", "DOUBLE", "FLOAT")
-    return (
-        F.when(name == "object", kind == "OBJECT").when(name == "array", kind == "ARRAY").when(name == "string", kind == "STRING").when(name == "boolean", kind == "BOOLEAN")
-        .when(name == "null", kind == "VOID").when(name == "number", number).when(name == "integer", number & _whole(v)).otherwise(False)
-    )
-
-
-def _checks(nodes: Nodes, path: Column, node: Column, v: Column) -> Column:
-    """The violations of one value: array of (path, message)."""
-    key = node.cast("string")
-    kind = _kind(v)
-    members, items = F.try_variant_get(v, "$", "map<string,variant>"), F.try_variant_get(v, "$", "array<variant>")
-    text, number = F.when(kind == "STRING", F.try_variant_get(v, "$", "string")), F.when(~kind.isin("STRING", "BOOLEAN", "VOID", "OBJECT", "ARRAY"), F.try_variant_get(v, "$", "double"))
-    names = F.map_keys(F.when(kind == "OBJECT", members))
-    own = F.when(kind == "ARRAY", items)
-
-    def said(table: Column | None, wrong, message) -> list[Column]:
-        """A violation where a node has the keyword and ``wrong`` holds of its value."""
-        if table is None:
-            return []
-        rule = F.try_element_at(table, key)
-        return [F.when(rule.isNotNull() & F.coalesce(wrong(rule), F.lit(False)), F.struct(path.alias("path"), message(rule).alias("message")))]
-
-    def plain(words: str):
-        return lambda rule: F.concat(F.lit(words + " "), rule.cast("string"))
-
-    t = nodes.table
-    texts = lambda rule: F.concat(F.lit("is none of "), F.array_join(rule, ", "))
-    one = [
-        *said(t("type", "array<string>", lambda x: x if isinstance(x, list) else [x]), lambda r: ~F.exists(r, lambda n: _has_type(n, v, kind)), lambda r: F.concat(F.lit("is not of type "), F.array_join(r, ", "))),
-        *said(t("enum", "array<string>", lambda x: [_canonical(e) for e in x]), lambda r: ~F.array_contains(r, F.to_json(v)), texts),
-        *said(t("const", "string", _canonical), lambda r: F.to_json(v) != r, plain("is not")),
-        *said(t("minimum", "double"), lambda r: number < r, plain("is less than")),
-        *said(t("maximum", "double"), lambda r: number > r, plain("is more than")),
-        *said(t("exclusiveMinimum", "double"), lambda r: number <= r, plain("is not more than")),
-        *said(t("exclusiveMaximum", "double"), lambda r: number >= r, plain("is not less than")),
-        *said(t("minLength", "bigint"), lambda r: F.length(text) < r, plain("is shorter than")),
-        *said(t("maxLength", "bigint"), lambda r: F.length(text) > r, plain("is longer than")),
-        *said(t("pattern", "string"), lambda r: ~F.regexp_like(text, r), plain("does not match")),
-        *said(t("minProperties", "bigint"), lambda r: F.size(names) < r, plain("has fewer members than")),
-        *said(t("maxProperties", "bigint"), lambda r: F.size(names) > r, plain("has more members than")),
-        *said(t("minItems", "bigint"), lambda r: F.size(own) < r, plain("has fewer items than")),
-        *said(t("maxItems", "bigint"), lambda r: F.size(own) > r, plain("has more items than")),
-        *said(t("uniqueItems", "boolean"), lambda r: r & (F.size(F.array_distinct(F.transform(own, lambda x: F.to_json(x)))) < F.size(own)), lambda r: F.lit("has items twice")),
-    ]
-    found = F.array_compact(F.array(*one)) if one else F.array().cast("array<struct<path:string,message:string>>")
-    every = [found]
-    if (required := t("required", "array<string>")) is not None:
-        lost = F.array_except(F.try_element_at(required, key), names)
-        every.append(F.transform(F.coalesce(lost, F.array().cast("array<string>")), lambda n: F.struct(path.alias("path"), F.concat(F.lit("lacks "), n).alias("message"))))
-    if any(r["rest"] == -1 for r in nodes.rules):
-        closed = F.array(*[F.lit(n) for n, r in enumerate(nodes.rules) if r["rest"] == -1])
-        alien = F.filter(F.when(F.array_contains(closed, node), names), lambda n: _member(nodes, key, n).isNull())
-        every.append(F.transform(F.coalesce(alien, F.array().cast("array<string>")), lambda n: F.struct(path.alias("path"), F.concat(F.lit("must not have "), n).alias("message"))))
-    return F.concat(*every)
-
-
-def _literal(value: dict, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(value)), kind)
-
-
-def _member(nodes: Nodes, key: Column, name: Column) -> Column:
-    """The nodes that a member's value must meet: array of node numbers; NULL if the schema doesn't know the name."""
-    named = _literal({str(n): r["members"] for n, r in enumerate(nodes.rules) if r["members"]}, "map<string,map<string,int>>")
-    own = F.try_element_at(F.try_element_at(named, key), name)
-    known = F.when(own.isNotNull(), F.array(own))
-    if any(r["patterns"] for r in nodes.rules):
-        shapes = _literal({str(n): [{"p": p, "n": i} for p, i in r["patterns"]] for n, r in enumerate(nodes.rules) if r["patterns"]}, "map<string,array<struct<p:string,n:int>>>")
-        fits = F.transform(F.filter(F.try_element_at(shapes, key), lambda s: F.regexp_like(name, s["p"])), lambda s: s["n"])
-        fits = F.when(F.size(fits) > 0, fits)
-        known = F.coalesce(F.concat(known, fits), known, fits)
+def _types(rule: dict) -> list[str]:
+    named = rule["own"].get("type", [])
+    return named if isinstance(named, list) else [named]
+
+
+def _asks(rule: dict) -> set[str]:
+    """What a node's checks need of a value."""
+    own, told = rule["own"].keys(), set(_types(rule))
+    names = {"names"} if own & OF_MEMBERS or "object" in told else set()
+    size = {"size"} if own & OF_ITEMS or "array" in told else set()
+    return names | size | ({"kind"} if own & OF_SCALARS or told - {"object", "array"} else set())
+
+
+# names and size are NULL for values of other types; members and items themselves are not copied
+FACTS = {
+    "names": lambda v: F.map_keys(F.try_variant_get(v, "$", "map<string,struct<>>")),
+    "size": lambda v: F.array_size(F.try_variant_get(v, "$", "array<struct<>>")),
+    "kind": F.schema_of_variant,
+}
+
+
+def _is_number(kind: Column) -> Column:
+    return kind.isin("BIGINT", "TINYINT", "SMALLINT", "INT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+
+
+def _has_type(name: str, v: Column, kind: Column, names: Column, size: Column) -> Column:
+    if name == "integer":
+        number = F.try_variant_get(v, "$", "double")
+        return _is_number(kind) & (number == F.floor(number))
+    if name in ("object", "array", "number"):
+        return {"object": names.isNotNull(), "array": size.isNotNull(), "number": _is_number(kind)}[name]
+    plain = {"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}
+    return kind == plain[name] if name in plain else F.lit(False)
+
+
+def _checks(rule: dict, v: Column, kind: Column, names: Column, size: Column) -> list[Column]:
+    """For each check of a node the message if a value fails, else NULL."""
+    own, out = rule["own"], []
+
+    def say(wrong: Column, message: Column) -> None:
+        out.append(F.when(wrong, message))
+
+    def limit(keyword: str, kind_of, wrong, words: str) -> None:
+        if keyword in own:
+            r = F.lit(kind_of(own[keyword]))
+            say(wrong(r), F.concat(F.lit(words + " "), r.cast("string")))
+
+    def of_number(wrong):
+        return lambda r: _is_number(kind) & wrong(F.try_variant_get(v, "$", "double"), r)
+
+    def of_text(wrong):
+        return lambda r: (kind == "STRING") & wrong(F.try_variant_get(v, "$", "string"), r)
+
+    if "type" in own:
+        fits = F.lit(False)
+        for name in _types(rule):
+            fits = fits | F.coalesce(_has_type(name, v, kind, names, size), F.lit(False))
+        say(~fits, F.lit("is not of type " + ", ".join(_types(rule))))
+    if "enum" in own:
+        allowed = [_canonical(e) for e in own["enum"]]
+        say(~F.to_json(v).isin(*allowed) if allowed else F.lit(True), F.lit("is none of " + ", ".join(allowed)))
+    if "const" in own:
+        say(F.to_json(v) != _canonical(own["const"]), F.lit("is not " + _canonical(own["const"])))
+    limit("minimum", float, of_number(lambda x, r: x < r), "is less than")
+    limit("maximum", float, of_number(lambda x, r: x > r), "is more than")
+    limit("exclusiveMinimum", float, of_number(lambda x, r: x <= r), "is not more than")
+    limit("exclusiveMaximum", float, of_number(lambda x, r: x >= r), "is not less than")
+    limit("minLength", int, of_text(lambda x, r: F.length(x) < r), "is shorter than")
+    limit("maxLength", int, of_text(lambda x, r: F.length(x) > r), "is longer than")
+    limit("pattern", str, of_text(lambda x, r: ~F.regexp_like(x, r)), "does not match")
+    limit("minProperties", int, lambda r: F.array_size(names) < r, "has fewer members than")
+    limit("maxProperties", int, lambda r: F.array_size(names) > r, "has more members than")
+    limit("minItems", int, lambda r: size < r, "has fewer items than")
+    limit("maxItems", int, lambda r: size > r, "has more items than")
+    if own.get("uniqueItems"):
+        texts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.to_json(x))
+        say(F.array_size(F.array_distinct(texts)) < size, F.lit("has items twice"))
+    for name in dict.fromkeys(own.get("required", [])):
+        say(~F.array_contains(names, name), F.lit(f"lacks {name}"))
+    return out
+
+
+def _known(rule: dict, key: Column) -> Column:
+    """Whether a node names a member or has a pattern for it."""
+    known = key.isin(*rule["members"]) if rule["members"] else F.lit(False)
+    for pattern, _ in rule["patterns"]:
+        known = known | F.regexp_like(key, F.lit(pattern))
     return known
 
 
-def _below(nodes: Nodes, path: Column, node: Column, v: Column) -> Column:
-    """The next frontier from one value: array of (path, node, v)."""
-    key, kind = node.cast("string"), _kind(v)
-    members = F.map_entries(F.when(kind == "OBJECT", F.try_variant_get(v, "$", "map<string,variant>")))
-    items = F.when(kind == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
-    rest = _literal({str(n): r["rest"] for n, r in enumerate(nodes.rules) if (r["rest"] or -1) >= 0}, "map<string,int>")
-    item = F.try_element_at(_literal({str(n): r["items"] for n, r in enumerate(nodes.rules) if r["items"] is not None}, "map<string,int>"), key)
-
-    def step(name: Column, to: Column, value: Column) -> Column:
-        where = F.when(path == "", name).otherwise(F.concat(path, F.lit("/"), name))
-        return F.transform(to, lambda n: F.struct(where.alias("path"), n.alias("node"), value.alias("v")))
-
-    def other() -> Column:
-        r = F.try_element_at(rest, key)
-        return F.when(r.isNotNull(), F.array(r))
-
-    of_members = F.flatten(F.transform(members, lambda e: F.coalesce(step(e["key"], F.coalesce(_member(nodes, key, e["key"]), other()), e["value"]), F.array())))
-    of_items = F.flatten(F.transform(F.when(item.isNotNull(), items), lambda x, i: step(i.cast("string"), F.array(item), x)))
-    none = F.array()
-    return F.concat(F.coalesce(of_members, none), F.coalesce(of_items, none))
-
-
-def _with_all(nodes: Nodes, frontier: Column) -> Column:
-    """Nodes that hold together stand side by side."""
-    if not any(r["also"] for r in nodes.rules):
-        return frontier
-    every = _literal({str(n): nodes.together(n) for n in range(len(nodes.rules))}, "map<string,array<int>>")
-    return F.flatten(F.transform(frontier, lambda f: F.transform(F.try_element_at(every, f["node"].cast("string")), lambda n: F.struct(f["path"].alias("path"), n.alias("node"), f["v"].alias("v")))))
+def _leads(nodes: Nodes, rule: dict, key: Column, pos: Column) -> list[tuple[Column, list[int]]]:
+    """Where a node leads: conditions on a member or an item with the nodes that it then meets."""
+    out = [(key == name, nodes.meets(n)) for name, n in rule["members"].items()]
+    out += [(F.regexp_like(key, F.lit(pattern)), nodes.meets(n)) for pattern, n in rule["patterns"]]
+    if rule["rest"] not in (None, -1):
+        out.append((key.isNotNull() & ~_known(rule, key), nodes.meets(rule["rest"])))
+    if rule["items"] is not None:
+        out.append((key.isNull() & pos.isNotNull(), nodes.meets(rule["items"])))
+    return [(condition, to) for condition, to in out if to]
+
+
+def _cases(pairs: list[tuple[Column, Column]], kind: str) -> Column:
+    """The value of the first condition that holds."""
+    out = F
+    for condition, value in pairs:
+        out = out.when(condition, value)
+    return out.cast(kind) if pairs else F.lit(None).cast(kind)
+
+
+def _checked(nodes: Nodes, rows: DataFrame, own: list[str], level: list[int], at) -> DataFrame:
+    """``rows`` with the violations of their values added; nodes that a value can't meet together share columns."""
+    facts = {name: [n for n in level if name in _asks(nodes.rules[n])] for name in FACTS}
+    rows = rows.select(*own, "_p", "_n", "_v", "_i", *[_cases([(at(ns), FACTS[name](F.col("_v")))] if ns else [], "array<string>" if name == "names" else "int" if name == "size" else "string").alias(f"_{name}") for name, ns in facts.items()])
+    checks = {n: _checks(nodes.rules[n], F.col("_v"), F.col("_kind"), F.col("_names"), F.col("_size")) for n in level}
+    shared = [{n: c[j] for n, c in checks.items() if j < len(c)} for j in range(max(map(len, checks.values()), default=0))]
+    if rows.schema["_n"].dataType.typeName() == "array":
+        shared = [{n: c} for n, cs in checks.items() for c in cs]
+    said = [f"_m{j}" for j in range(len(shared))]
+    rows = rows.select(*own, "_p", "_n", "_v", "_i", *[_cases([(at([n]), c) for n, c in s.items()], "string").alias(m) for s, m in zip(shared, said, strict=True)])
+    if not said:
+        return rows
+    found = F.array(*[F.when(F.col(m).isNotNull(), F.struct(F.col("_p").alias("path"), F.col(m).alias("message"))) for m in said])
+    some = F.coalesce(*[F.col(m) for m in said]).isNotNull()
+    return rows.select(*own, "_p", "_n", "_v", F.when(some, F.concat(F.coalesce("_i", F.array().cast(FOUND)), found)).otherwise(F.col("_i")).alias("_i"))
+
+
+def _below(nodes: Nodes, rows: DataFrame, own: list[str], level: list[int], at, several: bool) -> DataFrame:
+    """A row for each member and item with the node it meets. The violations so far go with the first; where nothing
+    is below a row, it stays for them alone."""
+    leading = [n for n in level if nodes.next(n) or nodes.rules[n]["rest"] == -1]
+    rows = rows.withColumn("_v", _cases([(at(leading), F.col("_v"))] if leading else [], "variant"))
+    rows = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("_v").outer()).toDF("_pos", "_key", "_value"))
+    key, pos = F.col("_key"), F.col("_pos")
+    if several:
+        none = F.array().cast("array<int>")
+        to = F.concat(none, *[F.when(at([n]) & condition, F.array(*map(F.lit, ms))).otherwise(none) for n in leading for condition, ms in _leads(nodes, nodes.rules[n], key, pos)])
+        to = F.nullif(F.array_distinct(to), none)
+    else:
+        to = _cases([(at([n]), _cases([(condition, F.lit(ms[0])) for condition, ms in _leads(nodes, nodes.rules[n], key, pos)], "int")) for n in leading], "int")
+    so_far = F.when(F.coalesce(pos, F.lit(0)) == 0, F.col("_i"))
+    for n in leading:
+        if nodes.rules[n]["rest"] == -1:
+            alien = F.struct(F.col("_p").alias("path"), F.concat(F.lit("must not have "), key).alias("message"))
+            so_far = F.when(at([n]) & key.isNotNull() & ~_known(nodes.rules[n], key), F.concat(F.coalesce(so_far, F.array().cast(FOUND)), F.array(alien))).otherwise(so_far)
+    name = F.coalesce(key, pos.cast("string"))
+    path = F.when(F.col("_p") == "", name).otherwise(F.concat("_p", F.lit("/"), name))
+    return rows.select(*own, path.alias("_p"), to.alias("_n"), F.col("_value").alias("_v"), so_far.alias("_i")).where("_n is not null or _i is not null")
 
 
 def violations(df: DataFrame, json_column: str, schema: dict, keys: list[str]) -> DataFrame:
     """DQ1: (keys, path, message) of every violation; the path is of names and indices with slashes, empty for the
-    whole. A text that is no JSON has one violation, a NULL none."""
+    whole. A text that is no JSON has one violation, a NULL none. Nodes that say the same of one value say it once."""
     nodes = Nodes(schema)
-    v = F.try_parse_json(F.col(json_column))
-    start = F.array(F.struct(F.lit("").alias("path"), F.lit(nodes.root).alias("node"), v.alias("v")))
-    none = F.array().cast("array<struct<path:string,message:string>>")
+    levels = nodes.levels()
+    own, text, v = [f"_k{i}" for i in range(len(keys))], F.col(json_column), F.col("_v")
+    root, several = levels[0]
+    start = F.array(*map(F.lit, root)) if several else F.lit(root[0] if root else None).cast("int")
     bad = F.array(F.struct(F.lit("").alias("path"), F.lit("is no JSON").alias("message")))
-    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    rows = df.where(F.col(json_column).isNotNull()).select(*named, F.when(v.isNotNull(), _with_all(nodes, start)).alias("_f"), F.when(v.isNull(), bad).otherwise(none).alias("_i"))
-    own = [f"_k{i}" for i in range(len(keys))]
-    for _ in range(nodes.depth()):
-        found = F.flatten(F.transform("_f", lambda f: _checks(nodes, f["path"], f["node"], f["v"])))
-        below = F.flatten(F.transform("_f", lambda f: _below(nodes, f["path"], f["node"], f["v"])))
-        rows = rows.select(*own, _with_all(nodes, below).alias("_f"), F.concat("_i", F.coalesce(found, none)).alias("_i"))
-    out = rows.select(*own, F.explode(F.array_distinct("_i")).alias("_i"))
-    return out.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], "_i.path", "_i.message")
+    rows = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], text.isNotNull().alias("_given"), F.try_parse_json(text).alias("_v"))
+    rows = rows.select(*own, F.lit("").alias("_p"), F.when(v.isNotNull(), start).alias("_n"), "_v", F.when(F.col("_given") & v.isNull(), bad).cast(FOUND).alias("_i"))
+    for (level, several), (_, next_several) in zip(levels, [*levels[1:], (None, None)], strict=True):
+
+        def at(ns: list[int], several=several) -> Column:
+            return F.arrays_overlap(F.col("_n"), F.array(*map(F.lit, ns))) if several else F.col("_n").isin(*ns)
+
+        rows = _checked(nodes, rows, own, level, at)
+        if next_several is not None:
+            rows = _below(nodes, rows, own, level, at, next_several)
+    found = rows.select(*own, F.explode(F.array_distinct("_i")).alias("_i")).where("_i is not null")
+    return found.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], "_i.path", "_i.message")
